@@ -908,7 +908,7 @@ def pixel_features(spark, d):
     return out.select("frame_idx", text(F.transform("features", lambda x: F.round(x * 1000).cast("int"))).alias("cells"))
 
 
-@query("select cast(vec_id % 20 as varchar) as session, min(least(b, g, r)) as radar_min, max(greatest(b, g, r)) as radar_max, round(avg((b + g + r) / 3), 4) as radar_mean, "
+@query("select cast(vec_id % 20 as varchar) as session, min(least(b, g, r)) as radar_min, max(greatest(b, g, r)) as radar_max, round(sum(b + g + r) / (3 * count(*)), 4) as radar_mean, "
        "max(greatest(b, g, r)) - min(least(b, g, r)) < 5 as radar_flat from px group by 1", _PIX)
 def pixel_sample_range(spark, d):
     dense = v.images(spark, d).withColumn("frame_idx", F.floor(F.col("frame_idx") / 20))

@@ -22,7 +22,7 @@ def _replay(spark: SparkSession, rows: DataFrame, files: int) -> tuple[DataFrame
     row: the last rows of a stream are only released once the watermark has passed them."""
     folder = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
     rows.repartition(files, "n").write.parquet(f"{folder}/in")
-    end = rows.agg((F.max("t") + 10 * 86400).alias("t")).select(
+    end = rows.agg((F.max("t") + 100 * 86400).alias("t")).select(
         F.lit("~end").alias("session"), "t", F.lit("frame").alias("kind"), F.lit(-1).cast("long").alias("n"),
         F.lit(None).cast("string").alias("value"), F.lit(0).alias("dx"), F.lit(0).alias("dy"))
     end.coalesce(1).write.mode("append").parquet(f"{folder}/in")
