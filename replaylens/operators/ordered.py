@@ -35,7 +35,7 @@ def time_block(t: str, seconds: float | None) -> str | Column:
 
 
 def add_block(df: DataFrame, keys: list[str], block: str | Column,
-              rows: int = TIME_BLOCK_ROWS) -> DataFrame:
+              rows: int | None = None) -> DataFrame:
     """Add the block column: an expression, or time blocks of a numeric column.
 
     Given a column name, each series with more than ``rows`` rows is cut into equal
@@ -45,6 +45,7 @@ def add_block(df: DataFrame, keys: list[str], block: str | Column,
     """
     if isinstance(block, Column):
         return df.withColumn(BLOCK, block)
+    rows = rows or TIME_BLOCK_ROWS
     long = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(block).alias("_lo"), F.max(block).alias("_hi"))
             .where(F.col("_n") > rows).withColumn("_parts", F.ceil(F.col("_n") / rows)).drop("_n"))
     span = F.when(F.col("_hi") > F.col("_lo"), F.floor(

@@ -26,7 +26,7 @@ def header_alignment(headers: DataFrame) -> DataFrame:
     checks = []
     for name in MANDATORY_ARRAYS + OPTIONAL_ARRAYS:
         have = F.col("lengths")[name]
-        checks.append(F.sum(F.coalesce(have, F.lit(0))).alias(f"n_{name}"))
+        checks.append(F.sum(F.coalesce(have, F.lit(0))).alias(f"len_{name}"))
         bad = have.isNotNull() & (have != n)
         if name in MANDATORY_ARRAYS:
             bad = bad | have.isNull()
@@ -37,7 +37,7 @@ def header_alignment(headers: DataFrame) -> DataFrame:
                     | ~F.col(f"_in_{a}").isin(0) & (F.col(f"_in_{a}") < F.col("n_chunks")), F.lit(a))
              for a in MANDATORY_ARRAYS + OPTIONAL_ARRAYS]
     out = agg.withColumn("misaligned", F.array_compact(F.array(*wrong)))
-    keep = ["session", "n_frames", "n_chunks"] + [f"n_{a}" for a in MANDATORY_ARRAYS[1:] + OPTIONAL_ARRAYS]
+    keep = ["session", "n_frames", "n_chunks"] + [f"len_{a}" for a in MANDATORY_ARRAYS + OPTIONAL_ARRAYS]
     return out.select(*keep, "misaligned", (F.size("misaligned") == 0).alias("aligned"))
 
 
