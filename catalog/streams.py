@@ -49,7 +49,7 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _typed(spark: SparkSession, d: str, lines: DataFrame) -> DataFrame:
-    schema = v.states(spark, d).schema["state"].dataType
+    schema = v.updates(spark, d).schema["state"].dataType
     return lines.withColumn("state", F.from_json("value", schema))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from replaylens.fixed_values import KEY_NAMES
 from replaylens.operators.ordered import number_rows
+from replaylens.session import written
 from replaylens.sources.state_log import parse_lines
 
 TOKEN = "good"
@@ -117,8 +118,8 @@ def updates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def states(spark: SparkSession, d: str) -> DataFrame:
-    """Good state updates: (session, t, n, state)."""
-    return updates(spark, d).where("bad_line IS NULL").select("session", "t", "n", "state")
+    """Good state updates: (session, t, n, state), parsed once into a table."""
+    return written(updates(spark, d).where("bad_line IS NULL").select("session", "t", "n", "state"), "states")
 
 
 def sessions(spark: SparkSession, d: str) -> DataFrame:

@@ -12,7 +12,7 @@ WEAPON = "STRUCT<name: STRING, state: STRING, ammo_clip: INT, ammo_reserve: INT>
 PAYLOAD_SCHEMA = (
     "STRUCT<provider: STRUCT<steamid: STRING>, "
     "player: STRUCT<steamid: STRING, activity: STRING, observer_slot: INT, "
-    f"state: STRUCT<health: INT>, weapons: MAP<STRING, {WEAPON}>>, "
+    f"state: MAP<STRING, STRING>, weapons: MAP<STRING, {WEAPON}>>, "
     "round: STRUCT<phase: STRING>, map: STRUCT<phase: STRING>, auth: STRUCT<token: STRING>>")
 
 STATE_FIELDS = ["has_local_state", "spectating", "own_pov", "health", "alive", "round_phase",
@@ -20,22 +20,20 @@ STATE_FIELDS = ["has_local_state", "spectating", "own_pov", "health", "alive", "
                 "ammo_reserve", "steamid", "player_steamid"]
 
 
-def extract_state(payload: str = "payload", has_state: Column | None = None) -> Column:
+def extract_state(payload: str = "payload") -> Column:
     """The 14 state fields of one payload.
 
     The payload is our own view unless both ids are present and differ; ``alive``
     needs our own view and health above 0, and is null without a health value.
-    ``has_state`` overrides the test for a non-empty player state, which a parsed
-    struct cannot tell from a state without health.
+    An empty player state counts as none.
     """
     player = F.col(f"{payload}.player")
     ours, theirs = F.col(f"{payload}.provider.steamid"), player["steamid"]
-    health = player["state"]["health"]
+    health = F.try_element_at(player["state"], F.lit("health")).try_cast("int")
     own = F.when(ours.isNotNull() & theirs.isNotNull(), ours == theirs).otherwise(F.lit(True))
     active = F.get(F.filter(F.map_values(player["weapons"]), lambda w: w["state"] == "active"), 0)
-    local = has_state if has_state is not None else player["state"].isNotNull()
     return F.struct(
-        F.coalesce(local, F.lit(False)).alias("has_local_state"),
+        (F.coalesce(F.size(player["state"]), F.lit(0)) > 0).alias("has_local_state"),
         (~own).alias("spectating"), own.alias("own_pov"), health.alias("health"),
         F.when(health.isNotNull(), own & (health > 0)).alias("alive"),
         F.col(f"{payload}.round.phase").alias("round_phase"),

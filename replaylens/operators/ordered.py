@@ -150,10 +150,31 @@ def order_blocks(df: DataFrame, key: str, blocks: int = ORDER_BLOCKS) -> DataFra
     """
     splitters = (df.select(F.col(key).alias("_k")).distinct()
                  .orderBy(F.xxhash64("_k"), "_k").limit(blocks - 1)
-                 .agg(F.sort_array(F.collect_list("_k")).alias("_s")))
+                 .agg(F.sort_array(F.collect_list("_k")).alias("_s"))
+                 .select(F.struct(*_two_levels("_s", blocks)).alias("_s")))
+
+    def reached(ladder):
+        return F.size(F.filter(ladder, lambda s: s <= F.col(key)))
+    step = _ladder_step(blocks)
     return (df.withColumn("_splitters", splitters.scalar())
-            .withColumn(BLOCK, F.size(F.filter("_splitters", lambda s: s <= F.col(key))))
-            .drop("_splitters"))
+            .withColumn("_top", reached(F.col("_splitters.top")))
+            .withColumn(BLOCK, F.col("_top") * step + F.coalesce(
+                F.greatest(reached(F.get("_splitters.low", F.col("_top"))), F.lit(0)), F.lit(0)))
+            .drop("_splitters", "_top"))
+
+
+def _ladder_step(blocks: int) -> int:
+    return max(2, round(blocks ** 0.5))
+
+
+def _two_levels(sorted_array: str, blocks: int) -> list[Column]:
+    """Every step-th splitter, and the splitters in between: two short searches per row."""
+    step = _ladder_step(blocks)
+    n = F.size(sorted_array)
+    tops = F.filter(F.sequence(F.lit(step), F.lit(blocks + step), F.lit(step)), lambda i: i <= n)
+    starts = F.sequence(F.lit(1), F.lit(blocks), F.lit(step))
+    return [F.transform(tops, lambda i: F.element_at(sorted_array, i)).alias("top"),
+            F.transform(starts, lambda i: F.slice(sorted_array, i, step - 1)).alias("low")]
 
 
 def running_total(df: DataFrame, key: str, value: str, name: str = "before",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
@@ -35,7 +38,7 @@ def scale(df: DataFrame, scaling: DataFrame, features: str = "features") -> Data
 
 
 def fit_keys(train: DataFrame, keys: list[str], l2: float = PROBE_L2, max_iter: int = 200,
-             weight: str | None = None):
+             tol: float = 1e-9, weight: str | None = None, parallelism: int = 8):
     """One L2 logistic model per key; returns {key: model} and a convergence table.
 
     ``train`` needs ``x`` and one ``k_<key>`` column per key. The penalty is l2 / n
@@ -43,24 +46,26 @@ def fit_keys(train: DataFrame, keys: list[str], l2: float = PROBE_L2, max_iter:
     constant is the prediction.
     """
     stats = train.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"k_{k}").alias(k) for k in keys]).first()
-    models, rows = {}, []
-    for k in keys:
-        if stats["n"] == 0:
-            raise ValueError("no training rows")
+    def fit(k: str):
         if stats[k] in (0.0, 1.0):
-            models[k] = float(stats[k])
-            rows.append((k, 0.0, 0.0, True))
-            continue
+            return float(stats[k]), (k, 0.0, 0.0, True)
         lr = LogisticRegression(featuresCol="x", labelCol="_y", regParam=l2 / stats["n"], elasticNetParam=0.0,
-                                standardization=False, maxIter=max_iter, tol=1e-9)
+                                standardization=False, maxIter=max_iter, tol=tol)
         if weight:
             lr = lr.setWeightCol(weight)
         model = lr.fit(train.withColumn("_y", F.col(f"k_{k}").cast("double")))
         history = list(model.summary.objectiveHistory)
         first, last = float(history[0]), float(history[-1])
-        models[k] = model
-        rows.append((k, first, last, last == last and last <= first + 1e-6))
-    table = train.sparkSession.createDataFrame(rows, "key STRING, loss_first DOUBLE, loss_last DOUBLE, converged BOOLEAN")
+        return model, (k, first, last, last == last and last <= first + 1e-6)
+
+    if stats["n"] == 0:
+        raise ValueError("no training rows")
+    # Each iteration is a short job: independent fits side by side keep the cluster busy.
+    with ThreadPool(min(len(keys), parallelism)) as pool:
+        done = pool.map(inheritable_thread_target(train.sparkSession)(fit), keys)
+    models = {k: model for k, (model, _) in zip(keys, done)}
+    table = train.sparkSession.createDataFrame(
+        [row for _, row in done], "key STRING, loss_first DOUBLE, loss_last DOUBLE, converged BOOLEAN")
     return models, table
 
 

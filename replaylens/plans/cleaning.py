@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..fixed_values import RADAR_HW
 from ..functions.pixels import radar_variance
 from ..operators.threshold import clean_report, pooled_cut
-from ..session import shared_folder
+from ..session import written
 from ..sources.masks import build_mask, write_mask
 
 
@@ -15,13 +15,6 @@ class NotBimodal(ValueError):
     """Blank and present frames do not separate; a cut would drop the wrong ones."""
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Materialize a small result of an image pass in the shared checkpoint folder,
-    so later steps and retries do not read the images again."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def clean(spark: SparkSession, frames: DataFrame, mask_path: str, force: bool = False,
           hw=RADAR_HW) -> DataFrame:
     """Write a keep-mask for every session and return the report.
@@ -29,8 +22,8 @@ def clean(spark: SparkSession, frames: DataFrame, mask_path: str, force: bool =
     Images are read once; variance is 8 bytes per frame from then on. Without a
     clearly bimodal distribution nothing is written unless forced.
     """
-    variance = settled(radar_variance(frames, ["session", "frame_idx"], "radar", hw))
-    cut = settled(pooled_cut(variance))
+    variance = written(radar_variance(frames, ["session", "frame_idx"], "radar", hw), "variance")
+    cut = written(pooled_cut(variance), "cut")
     row = cut.first()
     if row["reason"] == "no data":
         raise ValueError("no frames to mask")

@@ -18,8 +18,8 @@ from ..operators.split import balanced_split, split_sessions, split_volume, with
 from ..operators.threshold import pooled_cut
 from ..operators.windows import flag_eventful, key_balance, look_balance, oversample, sliding_windows
 from ..sources.chunks import place_chunks, read_frames, read_headers, session_metadata
+from ..session import written
 from ..sources.manifests import listed_chunks, scan_sessions, usable_sessions
-from .cleaning import settled
 
 
 @dataclass
@@ -71,13 +71,13 @@ def run_probe(features: DataFrame, lengths: DataFrame, keys: list[str] = PROBE_K
     if filter_blank:
         # One cut for both sides.
         rows = above_threshold(rows, pooled_cut(features).select("threshold").scalar())
-    rows = settled(rows)
+    rows = written(rows, "probe")
     sides = {r["side"]: r["n"] for r in rows.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sides) < 2:
         raise ValueError(f"the probe needs frames on both sides, got {sides}")
     train = rows.where("side = 'train'")
     scaled, scaling = probe.probe_features(train)
-    train_x = settled(scaled.drop("features"))
+    train_x = written(scaled.drop("features"), "train")
     models, fit = probe.fit_keys(train_x, keys)
     pred = probe.predict_keys(probe.scale(rows, scaling), models, keys)
     lifts = evaluate.key_lift(pred, keys, baseline_from="same")
@@ -96,21 +96,22 @@ def run_baseline(frames: DataFrame, split: DataFrame, keys: list[str] = MOVEMENT
     never oversampled.
     """
     windows = with_side(probe.window_features(sliding_windows(frames, length, gather=["features"])), split)
-    windows = settled(windows)
+    windows = written(windows, "windows")
     train = windows.where("side = 'train'")
-    stats = settled(look_balance(train))
+    stats = written(look_balance(train), "look")
     balance = key_balance(windows, keys, ["side"])
     volume = split_volume(frames, windows, split)
-    scaling = settled(probe.feature_scale(train))
+    scaling = written(probe.feature_scale(train), "scaling")
     fit_rows = oversample(flag_eventful(train, keys), times) if times > 1 else train
     row = stats.agg(F.struct(*[F.first(c).alias(c) for c in ("dx_mean", "dx_std", "dy_mean", "dy_std")]).alias("s")).scalar()
     fit_rows = fit_rows.withColumn("_st", row)
     for a in ("dx", "dy"):
         fit_rows = fit_rows.withColumn(f"{a}_z", standardize(
             F.col(a).cast("double"), F.col(f"_st.{a}_mean"), F.col(f"_st.{a}_std")))
-    fit_rows = settled(probe.scale(fit_rows, scaling).withColumn("_w", F.lit(float(look_weight)))
-                       .drop("features", "_st"))
-    key_models, fit = probe.fit_keys(fit_rows, keys)
+    # MLlib keeps its own copy while it iterates; each fit reads this table once.
+    fit_rows = written(probe.scale(fit_rows, scaling).withColumn("_w", F.lit(float(look_weight)))
+                       .drop("features", "_st"), "train")
+    key_models, fit = probe.fit_keys(fit_rows, keys, tol=1e-6)
     look_models = probe.fit_look(fit_rows, weight="_w" if look_weight != 1.0 else None)
     pred = probe.predict_look(probe.predict_keys(probe.scale(windows, scaling), key_models, keys), look_models)
     pred = pred.select("session", "last_idx", "side", "probs", "truth", "look_pred", "look_true")
