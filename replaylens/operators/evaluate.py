@@ -102,8 +102,10 @@ def confusion(pred: DataFrame, keys: list[str], threshold: float = PRESS_THRESHO
 
 def pearson(a: Column, b: Column) -> Column:
     """Correlation; NaN when either side is constant."""
-    flat = (F.stddev_pop(a) < 1e-9) | (F.stddev_pop(b) < 1e-9)
-    return F.when(flat, F.lit(float("nan"))).otherwise(F.corr(a, b))
+    spread_a, spread_b = F.stddev_pop(a), F.stddev_pop(b)
+    flat = (spread_a < 1e-9) | (spread_b < 1e-9)
+    return F.when(flat, F.lit(float("nan"))).otherwise(
+        F.try_divide(F.covar_pop(a, b), spread_a * spread_b))
 
 
 def look_collapse(pred: DataFrame, stats: DataFrame | None = None) -> DataFrame:

@@ -73,7 +73,7 @@ def pooled_cut(variance: DataFrame, bins: int = OTSU_BINS) -> DataFrame:
                            F.first("reason").alias("reason")).alias("c")).scalar()
     gap = F.coalesce(F.col("high_mean") - F.col("low_mean"), F.lit(0.0))
     return sides.withColumn("_c", row).select(
-        "_c.*", "n_frames", "n_low", F.coalesce(F.col("n_low") / F.col("n_frames"), F.lit(0.0)).alias("frac_below"),
+        "_c.*", "n_frames", "n_low", F.coalesce(F.try_divide("n_low", "n_frames"), F.lit(0.0)).alias("frac_below"),
         gap.alias("gap_decades"), (gap >= MODE_GAP_DECADES).alias("bimodal"))
 
 

@@ -33,8 +33,20 @@ _SLOT_SCHEMA = ("alive INT, round_phase STRING, health INT, active_weapon STRING
                 "dx BIGINT, dy BIGINT, events BIGINT, last_t DOUBLE")
 
 
-def _event_time(t: Column) -> Column:
-    return F.timestamp_micros(F.round(t * 1_000_000).cast("long"))
+# Session clocks may start at 0, and a watermark starts at the epoch: rows at or
+# below it would be late. Shifting derived event times by a year avoids that.
+_ORIGIN_S = 365 * 86_400
+
+
+def _event_time(df: DataFrame) -> Column:
+    """The row's own ``ts`` if it has one, else its session clock.
+
+    All sessions share one watermark. Give ``ts`` (wall-clock time) when session
+    clocks have different origins; order within a session is always that of ``t``.
+    """
+    if "ts" in df.columns:
+        return F.col("ts")
+    return F.timestamp_micros(F.round((F.col("t") + _ORIGIN_S) * 1_000_000).cast("long"))
 
 
 def _shape(df: DataFrame, kind: str, state: bool = False, motion: bool = False) -> DataFrame:
@@ -42,7 +54,7 @@ def _shape(df: DataFrame, kind: str, state: bool = False, motion: bool = False)
     columns = ([c.cast(t) for c, t in zip(stored_state("state"), types)] if state
                else [F.lit(None).cast(t) for t in types])
     return df.select(
-        "session", _event_time(F.col("t")).alias("ts"), "t", F.lit(_KINDS[kind]).alias("kind"),
+        "session", _event_time(df).alias("ts"), "t", F.lit(_KINDS[kind]).alias("kind"),
         F.col("n").cast("long").alias("n"), *[c.alias(n) for c, n in zip(columns, STATE_COLUMNS)],
         *[(F.col(c).cast("int") if motion else F.lit(None).cast("int")).alias(c) for c in ("dx", "dy")])
 
@@ -138,7 +150,7 @@ def with_metrics(frames: DataFrame, fps: float = LOOP_FPS, name: str = "recordin
     return frames.observe(
         name, F.count(F.lit(1)).alias("frames"),
         F.count_if(F.col("gap") > LONG_GAP_FACTOR / fps).alias("long_gaps"),
-        (F.count("gap") / F.sum("gap")).alias("fps"), F.max("state_age").alias("max_state_age"))
+        F.try_divide(F.count("gap"), F.sum("gap")).alias("fps"), F.max("state_age").alias("max_state_age"))
 
 
 def write_chunks(frames: DataFrame, path: str) -> DataStreamWriter:
