@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import CONTACT_GRACE_S
-from .ordered import BLOCK, add_block, carry, time_block, within
+from .ordered import add_block, attach, carry, time_block, within
 
 def asof_state(frames: DataFrame, states: DataFrame, seconds: float | None = None) -> DataFrame:
     """Give each frame the newest state received at or before it, and its age.
@@ -32,7 +32,7 @@ def asof_state(frames: DataFrame, states: DataFrame, seconds: float | None = Non
         F.max_by(seen, F.when(F.col("_kind") == 0, F.struct("t", "_n"))), "last")})
     newest = F.last(seen, ignorenulls=True).over(
         within(["session"], "t", "_kind", "_n").rowsBetween(Window.unboundedPreceding, 0))
-    return (both.join(before, ["session", BLOCK])
+    return (attach(both, ["session"], before)
             .withColumn("_s", F.coalesce(newest, F.col("_carry")))
             .where("_kind = 1")
             .select("session", "t", "_frame.*", F.col("_s._state").alias("state"),
@@ -53,7 +53,7 @@ def accumulate_mouse(frames: DataFrame, mouse: DataFrame, seconds: float | None
         F.col("_kind") == 1, F.struct("t", "frame_idx"))), "first")}, later=True)
     closing = F.first("frame_idx", ignorenulls=True).over(
         within(["session"], "t", "_kind", "frame_idx").rowsBetween(0, Window.unboundedFollowing))
-    return (both.join(after, ["session", BLOCK])
+    return (attach(both, ["session"], after)
             .withColumn("frame_idx", F.coalesce(closing, F.col("_next")))
             .where("frame_idx IS NOT NULL")
             .groupBy("session", "frame_idx").agg(

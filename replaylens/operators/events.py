@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import SYNC_DIRECTION_SHARE, SYNC_TOLERANCE_FRAMES
-from .ordered import (BLOCK, BLOCK_ROWS, carry, index_block, order_statistics, time_block,
-                      with_previous, within)
+from .ordered import (BLOCK, add_block, attach, carry, order_statistics, time_block, with_previous,
+                      within)
 
 WATCHED = ["alive", "health", "round_phase", "map_phase", "active_weapon", "spectating"]
 
@@ -114,15 +114,15 @@ def coverage(sampled: DataFrame) -> DataFrame:
                           .when(F.col("saw_alive"), "PARTIAL: no death seen").otherwise("INCONCLUSIVE"))
 
 
-def neighbours_in_state(frames: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+def neighbours_in_state(frames: DataFrame, rows: int | None = None) -> DataFrame:
     """Next and previous kept / dropped frame of each frame; itself where there is none."""
-    blocked = frames.withColumn(BLOCK, index_block("frame_idx", rows))
+    blocked = add_block(frames, ["session"], "frame_idx", rows)
     i = F.col("frame_idx")
     which = {"kept": F.when(F.col("keep"), i), "dropped": F.when(~F.col("keep"), i)}
     ahead = carry(blocked, ["session"], {f"_n_{k}": (F.min(c), "first") for k, c in which.items()}, later=True)
     behind = carry(blocked, ["session"], {f"_p_{k}": (F.max(c), "last") for k, c in which.items()})
     w = within(["session"], "frame_idx")
-    out = blocked.join(ahead.join(behind, ["session", BLOCK]), ["session", BLOCK])
+    out = attach(blocked, ["session"], ahead, behind)
     for k, c in which.items():
         out = (out.withColumn(f"next_{k}", F.coalesce(
                    F.min(c).over(w.rowsBetween(1, Window.unboundedFollowing)), F.col(f"_n_{k}"), i))
@@ -131,18 +131,18 @@ def neighbours_in_state(frames: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     return out.drop(BLOCK, *[f"_{d}_{k}" for d in "np" for k in which])
 
 
-def switch_point(frames: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+def switch_point(frames: DataFrame, rows: int | None = None) -> DataFrame:
     """Best frame k to split a session into a rightward and a leftward part.
 
     The score of k counts dx > 0 before k and dx < 0 from k on. It equals the sum
     of signs before k plus all leftward frames, so one prefix sum replaces trying
     every k. The first maximum wins.
     """
-    blocked = (frames.select("session", "frame_idx", F.signum("dx").cast("int").alias("_s"))
-               .withColumn(BLOCK, index_block("frame_idx", rows)))
+    blocked = add_block(frames.select("session", "frame_idx", F.signum("dx").cast("int").alias("_s")),
+                        ["session"], "frame_idx", rows)
     before = carry(blocked, ["session"], {"_base": (F.sum("_s"), "sum")})
     inside = within(["session"], "frame_idx").rowsBetween(Window.unboundedPreceding, -1)
-    scored = (blocked.join(before, ["session", BLOCK])
+    scored = (attach(blocked, ["session"], before)
               .withColumn("_score", F.coalesce("_base", F.lit(0)) + F.coalesce(F.sum("_s").over(inside), F.lit(0))))
     best = F.max(F.when(F.col("frame_idx") >= 1, F.struct("_score", (-F.col("frame_idx")).alias("_neg"))))
     agg = scored.groupBy("session").agg(
@@ -152,7 +152,7 @@ def switch_point(frames: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
                       ((F.col("_b._score") + F.col("_left")) / F.col("n")).alias("separation"))
 
 
-def sync_verdict(frames: DataFrame, splits: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+def sync_verdict(frames: DataFrame, splits: DataFrame, rows: int | None = None) -> DataFrame:
     """Judge a scripted sweep: right until ``split_at``, left from there.
 
     ``splits`` holds (session, split_at). Direction is judged on moving frames only.
@@ -176,7 +176,7 @@ def sync_verdict(frames: DataFrame, splits: DataFrame, rows: int = BLOCK_ROWS) -
                         .when(ok_right & ok_left, "MOSTLY OK").otherwise("FAIL")))
 
 
-def key_edges(frames: DataFrame, managed: list[str], rows: int = BLOCK_ROWS) -> DataFrame:
+def key_edges(frames: DataFrame, managed: list[str], rows: int | None = None) -> DataFrame:
     """Press and release events from ``held`` key sets; everything is released at the end.
 
     Only changes count and unmanaged keys are ignored.
@@ -184,7 +184,7 @@ def key_edges(frames: DataFrame, managed: list[str], rows: int = BLOCK_ROWS) ->
     mine = frames.withColumn("held", F.array_intersect(
         F.coalesce("held", F.array().cast("array<string>")), F.array(*[F.lit(k) for k in managed])))
     s = with_previous(mine.select("session", "frame_idx", "held"), ["session"], ["frame_idx"],
-                      index_block("frame_idx", rows), ["held"])
+                      "frame_idx", ["held"], rows=rows)
     none = F.array().cast("array<string>")
     was = F.coalesce("prev.held", none)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import FREEZETIME, PHASE_NONE
-from .ordered import BLOCK_ROWS, even_positions, hashed_rank, index_block, number_rows, running_total
+from .ordered import even_positions, hashed_rank, number_rows, running_total
 
 
 def is_alive() -> Column:
@@ -104,17 +104,16 @@ def even_sample(frames: DataFrame, k: int, idx: str = "frame_idx") -> DataFrame:
     return frames.join(picks, ["session", idx], "left_semi")
 
 
-def even_sample_where(frames: DataFrame, condition: Column, k: int, rows: int = BLOCK_ROWS) -> DataFrame:
+def even_sample_where(frames: DataFrame, condition: Column, k: int, rows: int | None = None) -> DataFrame:
     """Evenly spaced sample of the frames that meet a condition, such as dropped ones."""
-    chosen = number_rows(frames.where(condition), ["session"], ["frame_idx"],
-                         index_block("frame_idx", rows), "_nth")
+    chosen = number_rows(frames.where(condition), ["session"], ["frame_idx"], "frame_idx", "_nth", rows)
     return even_sample(chosen, k, "_nth").drop("_nth")
 
 
-def stride_sample(rows: DataFrame, k: int, idx: str = "last_idx", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def stride_sample(rows: DataFrame, k: int, idx: str = "last_idx", block_rows: int | None = None) -> DataFrame:
     """Up to ``k`` rows at a fixed stride over all sessions, in (session, index) order."""
     counts = rows.groupBy("session").agg(F.count(F.lit(1)).alias("n_frames"))
-    numbered = number_rows(rows, ["session"], [idx], index_block(idx, block_rows), "_nth")
+    numbered = number_rows(rows, ["session"], [idx], idx, "_nth", block_rows)
     placed = (numbered.join(session_bases(counts).select("session", "global_base"), "session")
               .withColumn("position", F.col("global_base") + F.col("_nth")).drop("global_base", "_nth"))
     picks = (rows.agg(F.count(F.lit(1)).alias("_n"))

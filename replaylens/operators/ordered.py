@@ -35,23 +35,27 @@ def time_block(t: str, seconds: float | None) -> str | Column:
 
 
 def add_block(df: DataFrame, keys: list[str], block: str | Column,
-              rows: int | None = None) -> DataFrame:
-    """Add the block column: an expression, or time blocks of a numeric column.
+              rows: int | None = None, sized_by: DataFrame | None = None) -> DataFrame:
+    """Add the block column: an expression, or blocks of a numeric column by density.
 
     Given a column name, each series with more than ``rows`` rows is cut into equal
-    spans of about that many rows; all others are one block. The cut series come in
-    a table with at most one row per ``rows`` rows of data (100 billion rows give
-    under 100 000 entries, 4 MB), which is why it may be broadcast.
+    spans of about that many rows; all others are one block and need no carry
+    (``_long`` is false). The cut series come in a table with at most one row per
+    ``rows`` rows of data (100 billion rows give under 100 000 entries, 4 MB), which
+    is why it may be broadcast. Series are measured on ``sized_by`` where that is
+    cheaper to read than ``df``.
     """
     if isinstance(block, Column):
         return df.withColumn(BLOCK, block)
     rows = rows or TIME_BLOCK_ROWS
-    long = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(block).alias("_lo"), F.max(block).alias("_hi"))
+    long = ((df if sized_by is None else sized_by).groupBy(*keys)
+            .agg(F.count(F.lit(1)).alias("_n"), F.min(block).alias("_lo"), F.max(block).alias("_hi"))
             .where(F.col("_n") > rows).withColumn("_parts", F.ceil(F.col("_n") / rows)).drop("_n"))
     span = F.when(F.col("_hi") > F.col("_lo"), F.floor(
         (F.col(block) - F.col("_lo")) * F.col("_parts") / (F.col("_hi") - F.col("_lo"))))
     return (df.join(F.broadcast(long), keys, "left")
             .withColumn(BLOCK, F.coalesce(F.least(span, F.col("_parts") - 1), F.lit(0)).cast("long"))
+            .withColumn("_long", F.col("_parts").isNotNull())
             .drop("_lo", "_hi", "_parts"))
 
 
@@ -98,8 +102,10 @@ def carry(blocked: DataFrame, keys: list[str],
 
     ``spec`` maps a name to (aggregate within a block, how to combine blocks:
     last, first, sum, max or min). Rows are reduced map-side before the shuffle;
-    the window runs over block rows only.
+    the window runs over block rows only. Series of one block are left out.
     """
+    if "_long" in blocked.columns:
+        blocked = blocked.where("_long")
     per_block = blocked.groupBy(*keys, BLOCK).agg(
         *[agg.alias(name) for name, (agg, _) in spec.items()])
     order = Window.partitionBy(*keys).orderBy(BLOCK)
@@ -109,20 +115,34 @@ def carry(blocked: DataFrame, keys: list[str],
         _COMBINE[how](F.col(name)).over(span).alias(name) for name, (_, how) in spec.items()])
 
 
+def attach(blocked: DataFrame, keys: list[str], *tables: DataFrame) -> DataFrame:
+    """Join carries to the rows of their blocks.
+
+    Density blocks number at most two per TIME_BLOCK_ROWS rows of data, so their
+    carries are broadcast and the rows are shuffled only once, for the window. With
+    other blocks Spark chooses; a sorted join shares the window's partitioning.
+    """
+    bounded = "_long" in blocked.columns
+    for table in tables:
+        blocked = blocked.join(F.broadcast(table) if bounded else table, [*keys, BLOCK], "left")
+    return blocked.drop("_long")
+
+
 def with_previous(df: DataFrame, keys: list[str], order: list[str], block: str | Column,
-                  cols: list[str], seen: dict[str, Column] | None = None) -> DataFrame:
+                  cols: list[str], seen: dict[str, Column] | None = None,
+                  rows: int | None = None) -> DataFrame:
     """Add ``prev``: the previous row's ``cols`` in the series, across block edges.
 
     ``seen`` adds flags telling whether a condition held on any earlier row. Works
     for rows with gaps, where a halo cannot be found by arithmetic.
     """
-    blocked = add_block(df, keys, block).withColumn("_cur", F.struct(*cols))
+    blocked = add_block(df, keys, block, rows).withColumn("_cur", F.struct(*cols))
     flags = {name: F.coalesce(cond.cast("int"), F.lit(0)) for name, cond in (seen or {}).items()}
     spec = {"_carry": (F.max_by("_cur", F.struct(*order)), "last")}
     spec.update({f"_c_{name}": (F.max(flag), "max") for name, flag in flags.items()})
     w = within(keys, *order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    out = (blocked.join(carry(blocked, keys, spec), [*keys, BLOCK])
+    out = (attach(blocked, keys, carry(blocked, keys, spec))
            .withColumn("prev", F.coalesce(F.lag("_cur").over(w), F.col("_carry"))))
     for name, flag in flags.items():
         out = out.withColumn(name, F.greatest(
@@ -131,11 +151,11 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], block: str |
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list[str], block: str | Column,
-                name: str = "frame_idx") -> DataFrame:
+                name: str = "frame_idx", rows: int | None = None) -> DataFrame:
     """Dense 0-based row number per key, without sorting a key in one task."""
-    blocked = add_block(df, keys, block)
+    blocked = add_block(df, keys, block, rows)
     base = carry(blocked, keys, {"_base": (F.count(F.lit(1)), "sum")})
-    return (blocked.join(base, [*keys, BLOCK])
+    return (attach(blocked, keys, base)
             .withColumn(name, (F.coalesce("_base", F.lit(0)) - 1
                                + F.row_number().over(within(keys, *order))).cast("long"))
             .drop("_base", BLOCK))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import RARE_KEYS, WINDOW_FRAMES
-from .ordered import BLOCK, BLOCK_ROWS, carry, index_block, own_rows, with_halo, within
+from .ordered import BLOCK_ROWS, add_block, attach, carry, own_rows, with_halo, within
 
 
 def _check(length: int) -> None:
@@ -54,14 +54,14 @@ def window_stats(kept: DataFrame, length: int = WINDOW_FRAMES, rows: int = BLOCK
     return agg.select("session", "runs", (F.col("runs") - F.col("_long")).alias("runs_too_short"), "windows")
 
 
-def runs(kept: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+def runs(kept: DataFrame, rows: int = BLOCK_ROWS, block_rows: int | None = None) -> DataFrame:
     """Maximal runs of consecutive kept frames: start, end and length."""
     marked = mark_windows(kept.select("session", "frame_idx"), 1, rows=rows)
-    blocked = (marked.withColumn(BLOCK, index_block("frame_idx", rows))
+    blocked = (add_block(marked, ["session"], "frame_idx", block_rows, sized_by=kept)
                .withColumn("_start", F.when(F.col("opens_run"), F.col("frame_idx"))))
     before = carry(blocked, ["session"], {"_carry": (F.max("_start"), "last")})
     opened = F.last("_start", ignorenulls=True).over(within(["session"], "frame_idx"))
-    return (blocked.join(before, ["session", BLOCK])
+    return (attach(blocked, ["session"], before)
             .withColumn("run_start", F.coalesce(opened, F.col("_carry")))
             .groupBy("session", "run_start").agg(
                 F.max("frame_idx").alias("run_end"), F.count(F.lit(1)).alias("run_length")))

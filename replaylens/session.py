@@ -12,8 +12,8 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # A frame row carries up to 170 KB of pixels: 256 rows are about 44 MB.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    # A frame row carries up to 170 KB of pixels, so batches are bounded by bytes.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }

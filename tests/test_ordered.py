@@ -44,7 +44,7 @@ def test_windows_do_not_depend_on_blocks(hot, length, rows):
     assert all(list(r["w_dx"]) == [dx[r["session"], i] for i in range(r["first_idx"], r["last_idx"] + 1)] for r in got)
     s = {r["session"]: (r["runs"], r["runs_too_short"]) for r in windows.window_stats(kept, length, rows).collect()}
     assert s == {k: x for k, x in stats.items() if x[0]}
-    run_rows = windows.runs(kept, rows).collect()
+    run_rows = windows.runs(kept, rows, rows).collect()
     assert all(r["run_end"] - r["run_start"] + 1 == r["run_length"] for r in run_rows)
     assert len(run_rows) == sum(x[0] for x in stats.values())
 
