@@ -13,6 +13,7 @@ from replaylens.functions.geometry import geometry_columns
 from replaylens.operators import (activity, asof, evaluate, events, frames as fr, probe, split, threshold,
                                   timing, validate, windows)
 from replaylens.plans import inspection, training
+from replaylens.session import written
 from replaylens.sources import manifests, masks, state_log
 from replaylens.streaming.state_stream import latest_state
 
@@ -296,7 +297,8 @@ def split_report(spark, d):
   (select *, cast(coalesce(sum(n_frames) over (order by n_frames desc, session rows between unbounded preceding and 1 preceding), 0) as bigint)
    as before, sum(n_frames) over () as total from s)""", v.SESSIONS)
 def split_balanced(spark, d):
-    return split.balanced_split(v.sessions(spark, d).select("session", "n_frames"))
+    # The split walks its session table a few times: store the counted join once.
+    return split.balanced_split(written(v.sessions(spark, d).select("session", "n_frames"), "sessions"))
 
 
 @query("""select side, count(*) as n_sessions, cast(sum(n_frames) as bigint) as n_frames, cast(sum(greatest(n_frames - 7, 0)) as bigint) as n_windows

@@ -162,13 +162,13 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], block: str | C
 
 
 def order_blocks(df: DataFrame, key: str, blocks: int = ORDER_BLOCKS) -> DataFrame:
-    """Cut rows into ordered blocks by ``key``.
+    """Cut rows into ordered blocks by a unique ``key``.
 
-    The splitters are the ``blocks - 1`` distinct keys with the smallest hash, so
+    The splitters are the ``blocks - 1`` keys with the smallest hash, so
     their number is fixed, every retry picks the same ones, and nothing has to be
     counted first.
     """
-    splitters = (df.select(F.col(key).alias("_k")).distinct()
+    splitters = (df.select(F.col(key).alias("_k"))
                  .orderBy(F.xxhash64("_k"), "_k").limit(blocks - 1)
                  .agg(F.sort_array(F.collect_list("_k")).alias("_s"))
                  .select(F.struct(*_two_levels("_s", blocks)).alias("_s")))

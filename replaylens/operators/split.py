@@ -56,20 +56,19 @@ def balanced_split(sessions: DataFrame, fraction: float = PROBE_HOLDOUT_FRACTION
     two or more: the smallest of TRAIN, or the largest of HOLDOUT, changes side.
     """
     keyed = sessions.withColumn("_key", F.struct((-F.col("n_frames")).alias("a"), F.col("session").alias("b")))
-    total = sessions.agg(F.sum("n_frames").alias("total")).scalar()
-    placed = (running_total(keyed, "_key", "n_frames", "before")
-              .withColumn("_goal", total * (1.0 - fraction))
-              .withColumn("_train", F.col("before") < F.col("_goal")))
-    ends = placed.agg(F.struct(
-        F.count_if("_train").alias("n_train"), F.count_if(~F.col("_train")).alias("n_test"),
+    ends = keyed.agg(F.struct(
+        F.count(F.lit(1)).alias("n"), F.sum("n_frames").alias("total"),
         F.min("_key").alias("largest"), F.max("_key").alias("smallest")).alias("e")).scalar()
-    moved = placed.withColumn("_e", ends)
-    several = F.col("_e.n_train") + F.col("_e.n_test") >= 2
-    side = (F.when(several & (F.col("_e.n_test") == 0) & (F.col("_key") == F.col("_e.smallest")), HOLDOUT)
-            .when(several & (F.col("_e.n_train") == 0) & (F.col("_key") == F.col("_e.largest")), TRAIN)
-            .when(F.col("_train"), TRAIN).otherwise(HOLDOUT))
-    return (moved.withColumn("side", side).where(F.col("_goal").isNotNull() & (F.col("_e.largest.a") < 0))
-            .drop("_key", "_goal", "_train", "_e"))
+    placed = (running_total(keyed, "_key", "n_frames", "before").withColumn("_e", ends)
+              .withColumn("_goal", F.col("_e.total") * (1.0 - fraction)))
+    several = F.col("_e.n") >= 2
+    # The last session starts latest: if even that is below the goal, all are TRAIN.
+    no_holdout = F.col("_e.total") + F.col("_e.smallest.a") < F.col("_goal")
+    no_train = F.col("_goal") <= 0
+    side = (F.when(several & no_holdout & (F.col("_key") == F.col("_e.smallest")), HOLDOUT)
+            .when(several & no_train & (F.col("_key") == F.col("_e.largest")), TRAIN)
+            .when(F.col("before") < F.col("_goal"), TRAIN).otherwise(HOLDOUT))
+    return placed.withColumn("side", side).where("_e.total > 0").drop("_key", "_goal", "_e")
 
 
 def on_side(df: DataFrame, split: DataFrame, side: str) -> DataFrame:

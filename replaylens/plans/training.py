@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,8 @@ from ..functions.actions import key_columns, mouse_step, pressed_keys
 from ..functions.numeric import standardize, unstandardize
 from ..operators import evaluate, probe
 from ..operators.events import key_edges
-from ..operators.frames import above_threshold, gameplay
-from ..operators.split import balanced_split, split_sessions, split_volume, with_side
+from ..operators.frames import above_threshold, gameplay, stride_sample
+from ..operators.split import balanced_split, on_side, split_sessions, split_volume, with_side
 from ..operators.threshold import pooled_cut
 from ..operators.windows import flag_eventful, key_balance, look_balance, oversample, sliding_windows
 from ..sources.chunks import place_chunks, read_frames, read_headers, session_metadata
@@ -31,10 +32,20 @@ class Dataset:
     metadata: DataFrame
 
     def frames(self, arrays: list[str] | None = None) -> DataFrame:
-        """Frames of all usable sessions with key names and side."""
-        raw = read_frames(place_chunks(self.headers), arrays)
-        # Metadata is one row per session; Spark broadcasts it only if it is small.
-        return with_side(raw.join(self.metadata.select("session", "key_names"), "session"), self.split)
+        """Frames of all usable sessions with key names and side.
+
+        Both are joined to the chunk list, so frames come out of the decoding task
+        complete and are not shuffled here.
+        """
+        chunks = with_side(place_chunks(self.headers).join(
+            self.metadata.select("session", "key_names"), "session"), self.split)
+        return read_frames(chunks, arrays, keep=["key_names", "side"])
+
+    def side(self, name: str) -> Dataset:
+        """The same dataset restricted to one side; other sessions' files are never opened."""
+        sessions = on_side(self.sessions, self.split, name)
+        headers = read_headers(listed_chunks(sessions))
+        return Dataset(sessions, self.split, headers, session_metadata(headers))
 
 
 def open_recordings(spark: SparkSession, root: str, holdout_fraction: float = HOLDOUT_FRACTION,
@@ -121,6 +132,19 @@ def run_baseline(frames: DataFrame, split: DataFrame, keys: list[str] = MOVEMENT
             "verdict": evaluate.baseline_verdict(volume)}
 
 
+def diagnose(windows: DataFrame, score: Callable[[DataFrame], DataFrame], keys: list[str],
+             stats: DataFrame | None = None, sample: int = 2000,
+             threshold: float = PRESS_THRESHOLD) -> dict[str, DataFrame]:
+    """What a model predicts on a fixed-stride sample of windows.
+
+    ``score`` adds probs, truth, look_pred and look_true: a fitted model's transform,
+    or a pandas UDF around any other model.
+    """
+    pred = written(score(stride_sample(windows, sample)), "predictions")
+    return {"keys": evaluate.confusion(pred, keys, threshold), "look": evaluate.look_collapse(pred, stats),
+            "turns": evaluate.hardest_turns(pred, stats)}
+
+
 def replay_policy(pred: DataFrame, keys: list[str], stats: DataFrame | None = None,
                   threshold: float = PRESS_THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """What a policy would have done: key events and mouse steps, as tables only."""

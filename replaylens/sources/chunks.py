@@ -118,9 +118,13 @@ def place_chunks(headers: DataFrame) -> DataFrame:
         F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
-def read_frames(placed: DataFrame, arrays: list[str] | None = None, tasks: int | None = None) -> DataFrame:
+def read_frames(placed: DataFrame, arrays: list[str] | None = None, tasks: int | None = None,
+                keep: list[str] = ()) -> DataFrame:
     """Rows of the placed chunks with the wanted arrays; absent optional arrays are null.
 
+    ``keep`` names columns of the chunk table, such as side and key names, that every
+    frame of the chunk should carry: joined there, they never shuffle an image.
+
     A chunk whose arrays differ in length is refused, as is an unknown version.
     """
     wanted = list(arrays if arrays is not None else SCALAR_ARRAYS)
@@ -131,7 +135,7 @@ def read_frames(placed: DataFrame, arrays: list[str] | None = None, tasks: int |
     versions = set(SUPPORTED_VERSIONS)
     types = [(a, _ARROW[ARRAY_TYPES[a]]) for a in wanted]
 
-    def rows_of(row: dict) -> Iterator[pa.RecordBatch]:
+    def rows_of(row: dict, kept_types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
         lengths = dict(row["lengths"])
         where = row["chunk_path"]
         if row["chunk_version"] is not None and row["chunk_version"] not in versions:
@@ -150,6 +154,7 @@ def read_frames(placed: DataFrame, arrays: list[str] | None = None, tasks: int |
             columns = [pa.array([row["session"]] * (hi - lo)),
                        pa.array(np.full(hi - lo, row["chunk_idx"], np.int32)),
                        pa.array(local + row["frame_base"], type=pa.int64())]
+            columns += [pa.array([row[c]] * (hi - lo), kind) for c, kind in zip(keep, kept_types)]
             for name, kind in types:
                 if name not in data:
                     columns.append(pa.nulls(hi - lo, kind))
@@ -165,15 +170,18 @@ def read_frames(placed: DataFrame, arrays: list[str] | None = None, tasks: int |
                     columns.append(pa.array(data[name][lo:hi]).cast(kind))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    names = ["session", "chunk_idx", "frame_idx"] + wanted
+    keep = list(keep)
+    names = ["session", "chunk_idx", "frame_idx"] + keep + wanted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            kept_types = [batch.schema.field(c).type for c in keep]
             for row in batch.to_pylist():
-                yield from rows_of(row)
+                yield from rows_of(row, kept_types)
 
     schema = "session STRING, chunk_idx INT, frame_idx BIGINT" + "".join(
-        f", {a} {ARRAY_TYPES[a]}" for a in wanted)
-    source = placed.select("session", "chunk_idx", "chunk_path", "lengths", "chunk_version", "frame_base")
+        [f", {c} {placed.schema[c].dataType.simpleString()}" for c in keep]
+        + [f", {a} {ARRAY_TYPES[a]}" for a in wanted])
+    source = placed.select("session", "chunk_idx", "chunk_path", "lengths", "chunk_version", "frame_base", *keep)
     frames = spread(source, tasks).mapInArrow(run, schema)
     return frames.withColumnRenamed("timestamps", "t") if "timestamps" in wanted else frames

@@ -1,5 +1,7 @@
 """Pixel features, the pooled cut, cleaning, probe and baseline against NumPy."""
 
+import json
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,10 +9,11 @@ from pyspark.sql import functions as F
 
 from replaylens.functions import pixels
 from replaylens.functions.actions import key_columns
-from replaylens.operators import evaluate, probe, threshold
+from replaylens.operators import evaluate, probe, threshold, validate
 from replaylens.operators.split import split_sessions
 from replaylens.plans import inspection, training
 from replaylens.plans.cleaning import NotBimodal, clean
+from replaylens.sources.manifests import session_sizes
 from replaylens.sources.masks import read_mask
 
 
@@ -153,6 +156,22 @@ def test_baseline_and_replay(spark, labelled):
     assert moves.where("dy <> 3").count() == 0
 
 
+def test_diagnosis_of_any_scorer(spark, labelled):
+    windows = labelled.withColumnRenamed("frame_idx", "last_idx")
+
+    @F.pandas_udf("double")
+    def prob(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: float(v[0] > 0))
+
+    def score(df):
+        return df.select("session", "last_idx", F.array(prob("features")).alias("probs"), F.array("k_w").alias("truth"),
+                         F.array(F.lit(0.0), F.lit(0.0)).alias("look_pred"), F.slice("features", 1, 2).alias("look_true"))
+    out = training.diagnose(windows, score, ["w"], sample=300)
+    row = out["keys"].first()
+    assert row["n"] == 300 and row["precision"] > 0.8 and row["recall"] > 0.8
+    assert all(r["collapsed"] for r in out["look"].collect()) and out["turns"].count() == 8
+
+
 def test_verdicts(spark):
     def verdict(lift, frames=30_000, sessions=4, converged=True):
         lifts = spark.createDataFrame([("holdout", lift)], "side STRING, lift DOUBLE")
@@ -192,3 +211,26 @@ def test_flagship_on_recordings(spark, recordings):
         else:
             assert side not in got
     assert key_columns(["w"])
+    holdout = data.side("holdout")
+    assert {r["session"] for r in holdout.frames(["dx"]).collect()} == {"b"}
+
+
+def test_full_inspection(spark, recordings):
+    recordings.folder("a", [7, 5], 5, seed=3)
+    recordings.file("old", 4)
+    data = training.open_recordings(spark, recordings.root)
+    sizes = session_sizes(spark, recordings.root, data.sessions)
+    versions = data.sessions.select("session", "is_folder", "schema_version").join(data.metadata, "session").select(
+        "session", validate.kind_label(F.coalesce("schema_version", "file_version"), F.col("is_folder")).alias("kind"))
+    rows = {r["session"]: r for r in inspection.inspection(
+        data.sessions, validate.header_alignment(data.headers), sizes, data.frames(), versions).collect()}
+    a, t = rows["a"], recordings.joined("a", "timestamps")
+    gaps = np.diff(t)
+    assert a["fps"] == pytest.approx(1 / gaps.mean()) and a["jitter_ms"] == pytest.approx(gaps.std() * 1000)
+    assert (a["frames"], a["boundaries"], a["aligned"], a["kind"][:2]) == (12, 1, True, "v5")
+    alive = recordings.joined("a", "alive")
+    assert a["n_alive"] == alive.sum() and a["alive_flips"] == np.count_nonzero(np.diff(alive.astype(int)))
+    health = recordings.joined("a", "health")[alive > 0]
+    assert (a["health_n"], a["health_min"]) == (len(health), health.min() if len(health) else None)
+    assert rows["old"]["kind"] == "v1 single file" and rows["old"]["health_n"] == 0
+    assert json.loads(a["report"])["session"] == "a"
