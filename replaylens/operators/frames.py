@@ -98,7 +98,13 @@ def first_rows(frames: DataFrame, k: int) -> DataFrame:
 
 
 def even_sample(frames: DataFrame, k: int, idx: str = "frame_idx") -> DataFrame:
-    """Up to ``k`` evenly spaced frames of each session, by a dense index."""
+    """Up to ``k`` evenly spaced frames of each session, by a dense index.
+
+    Frames that carry their session's ``n_frames`` are picked one by one, so rows with
+    images never shuffle. Without it the picks are joined: pass narrow rows then.
+    """
+    if "n_frames" in frames.columns:
+        return frames.where(F.array_contains(even_positions(F.col("n_frames"), k), F.col(idx)))
     picks = (frames.groupBy("session").agg((F.max(idx) + 1).alias("_n"))
              .select("session", F.explode(even_positions(F.col("_n"), k)).alias(idx)))
     return frames.join(picks, ["session", idx], "left_semi")

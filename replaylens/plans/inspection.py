@@ -14,8 +14,13 @@ from ..operators.frames import even_sample
 
 
 def pixel_sample(frames: DataFrame, column: str, hw, k: int = 50) -> DataFrame:
-    """Pixel range over up to k evenly spaced frames of each session."""
-    sampled = even_sample(frames.select("session", "frame_idx", column), k)
+    """Pixel range over up to k evenly spaced frames of each session.
+
+    Give frames their ``n_frames`` (read from ``chunks_to_sample``), so that chunks
+    without a picked frame stay closed and images are not shuffled.
+    """
+    kept = ["session", "frame_idx", column] + (["n_frames"] if "n_frames" in frames.columns else [])
+    sampled = even_sample(frames.select(*kept), k)
     return (pixel_range(sampled, ["session"], column, hw).groupBy("session").agg(
                 F.min("px_min").alias(f"{column}_min"), F.max("px_max").alias(f"{column}_max"),
                 (F.sum("px_sum") / F.sum("px_n")).alias(f"{column}_mean"))

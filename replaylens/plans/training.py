@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +14,12 @@ from ..functions.actions import key_columns, mouse_step, pressed_keys
 from ..functions.numeric import standardize, unstandardize
 from ..operators import evaluate, probe
 from ..operators.events import key_edges
-from ..operators.frames import above_threshold, gameplay, stride_sample
+from ..operators.frames import above_threshold, even_sample, gameplay, stride_sample
 from ..operators.split import balanced_split, on_side, split_sessions, split_volume, with_side
 from ..operators.threshold import pooled_cut
 from ..operators.windows import flag_eventful, key_balance, look_balance, oversample, sliding_windows
-from ..sources.chunks import place_chunks, read_frames, read_headers, session_metadata
+from ..operators.validate import counted_frames
+from ..sources.chunks import chunks_to_sample, place_chunks, read_frames, read_headers, session_metadata
 from ..session import written
 from ..sources.manifests import listed_chunks, scan_sessions, usable_sessions
 
@@ -31,15 +32,24 @@ class Dataset:
     headers: DataFrame
     metadata: DataFrame
 
-    def frames(self, arrays: list[str] | None = None) -> DataFrame:
-        """Frames of all usable sessions with key names and side.
+    def frames(self, arrays: list[str] | None = None, sample: int | None = None) -> DataFrame:
+        """Frames of all usable sessions with key names, side and session length.
 
-        Both are joined to the chunk list, so frames come out of the decoding task
-        complete and are not shuffled here.
+        These are joined to the chunk list, so frames come out of the decoding task
+        complete and are not shuffled here. ``sample`` keeps that many evenly spaced
+        frames per session and opens only the chunks that hold one.
         """
-        chunks = with_side(place_chunks(self.headers).join(
-            self.metadata.select("session", "key_names"), "session"), self.split)
-        return read_frames(chunks, arrays, keep=["key_names", "side"])
+        placed = place_chunks(self.headers)
+        if sample is not None:
+            placed = chunks_to_sample(placed, sample)
+        chunks = with_side(placed.join(self.metadata.select("session", "key_names"), "session"), self.split)
+        rows = read_frames(chunks, arrays, keep=["key_names", "side", "n_frames"])
+        return rows if sample is None else even_sample(rows, sample)
+
+    def balanced(self, fraction: float = PROBE_HOLDOUT_FRACTION) -> Dataset:
+        """The same sessions under the frame-balanced split."""
+        lengths = counted_frames(self.headers).withColumnRenamed("n_counted", "n_frames")
+        return replace(self, split=balanced_split(lengths, fraction))
 
     def side(self, name: str) -> Dataset:
         """The same dataset restricted to one side; other sessions' files are never opened."""
@@ -68,17 +78,21 @@ def window_key_balance(frames: DataFrame, keys: list[str] = PROBE_KEYS, length:
     return key_balance(sliding_windows(narrow, length), keys, ["side"])
 
 
-def run_probe(features: DataFrame, lengths: DataFrame, keys: list[str] = PROBE_KEYS,
+def run_probe(features: DataFrame, lengths: DataFrame | None, keys: list[str] = PROBE_KEYS,
               fraction: float = PROBE_HOLDOUT_FRACTION, balanced: bool = False,
               filter_blank: bool = False, hash_name: str = "blake2b") -> dict[str, DataFrame]:
     """Is there a linear movement signal in the minimap?
 
     ``features`` holds (session, frame_idx, variance, features, k_<key>...), already
-    materialized; ``lengths`` (session, n_frames).
+    materialized; ``lengths`` (session, n_frames). Features that bring their ``side``
+    (from a dataset's frames) keep it, and are not joined by session again.
     """
-    split = (balanced_split(lengths, fraction) if balanced
-             else split_sessions(lengths, fraction, hash_name=hash_name))
-    rows = with_side(features, split)
+    if "side" in features.columns:
+        rows, split = features, features.select("session", "side").distinct()
+    else:
+        split = (balanced_split(lengths, fraction) if balanced
+                 else split_sessions(lengths, fraction, hash_name=hash_name))
+        rows = with_side(features, split)
     if filter_blank:
         # One cut for both sides.
         rows = above_threshold(rows, pooled_cut(features).select("threshold").scalar())

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import MANDATORY_ARRAYS, OPTIONAL_ARRAYS, SUPPORTED_VERSIONS
 from ..functions.pixels import as_binary
+from ..operators.ordered import even_positions
 
 # Column type of each array; images stay raw bytes, row-major height x width x 3.
 ARRAY_TYPES = {
@@ -115,7 +116,15 @@ def place_chunks(headers: DataFrame) -> DataFrame:
     order = Window.partitionBy("session").orderBy("chunk_idx")
     n = F.col("lengths")["frames"]
     return headers.withColumn("frame_base", F.coalesce(
-        F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn(
+        "n_frames", F.sum(n).over(Window.partitionBy("session")))
+
+
+def chunks_to_sample(placed: DataFrame, k: int) -> DataFrame:
+    """Chunks that hold at least one of the k evenly spaced frames of their session."""
+    first = F.col("frame_base")
+    last = first + F.col("lengths")["frames"] - 1
+    return placed.where(F.exists(even_positions(F.col("n_frames"), k), lambda p: p.between(first, last)))
 
 
 def read_frames(placed: DataFrame, arrays: list[str] | None = None, tasks: int | None = None,

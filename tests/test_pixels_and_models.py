@@ -13,6 +13,8 @@ from replaylens.operators import evaluate, probe, threshold, validate
 from replaylens.operators.split import split_sessions
 from replaylens.plans import inspection, training
 from replaylens.plans.cleaning import NotBimodal, clean
+from replaylens.session import written
+from replaylens.sources import chunks
 from replaylens.sources.manifests import session_sizes
 from replaylens.sources.masks import read_mask
 
@@ -215,6 +217,40 @@ def test_flagship_on_recordings(spark, recordings):
     assert {r["session"] for r in holdout.frames(["dx"]).collect()} == {"b"}
 
 
+def test_sampling_opens_only_needed_chunks(spark, recordings):
+    recordings.folder("long", [6, 6, 6], 3)
+    recordings.folder("short", [3], 3)
+    data = training.open_recordings(spark, recordings.root)
+    placed = chunks.place_chunks(data.headers)
+    assert sorted((r["session"], r["chunk_idx"]) for r in chunks.chunks_to_sample(placed, 2).collect()) == [
+        ("long", 0), ("long", 2), ("short", 0)]
+    got = data.frames(["radar"], sample=2)
+    assert sorted((r["session"], r["frame_idx"]) for r in got.collect()) == [("long", 0), ("long", 17), ("short", 0), ("short", 2)]
+    sampled = inspection.pixel_sample(data.frames(["radar"], sample=2), "radar", (128, 128), 2)
+    plan = sampled._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") + plan.count("BroadcastHashJoin") <= 2  # chunk-level joins only
+    radar = recordings.joined("long", "radar")[[0, 17]]
+    assert sampled.where("session = 'long'").first()["radar_mean"] == pytest.approx(radar.mean())
+
+
+def test_probe_on_recordings(spark, recordings):
+    rng = np.random.default_rng(0)
+
+    def signal(i, arrays):
+        w = arrays["keys"][:, 0].astype(bool)
+        arrays["radar"] = rng.integers(0, 60, arrays["radar"].shape, dtype=np.uint8)
+        arrays["radar"][w, :64, :64] += 150
+    for i, n in enumerate((30, 24, 20)):
+        recordings.folder(f"s{i}", [n], 3, seed=i + 1, change=signal)
+    data = training.open_recordings(spark, recordings.root).balanced()
+    frames = data.frames(["radar", "keys"]).select("session", "frame_idx", "side", "radar", *key_columns(["w", "a"]))
+    feats = written(pixels.radar_features(frames, ["session", "frame_idx", "side", "k_w", "k_a"], size=8), "features")
+    out = training.run_probe(feats, None, ["w", "a"], balanced=False)
+    lift = {(r["side"], r["key"]): r["acc"] for r in out["lift"].collect()}
+    assert lift["holdout", "w"] == 1.0
+    assert {r["side"] for r in out["predictions"].select("side").distinct().collect()} == {"train", "holdout"}
+
+
 def test_full_inspection(spark, recordings):
     recordings.folder("a", [7, 5], 5, seed=3)
     recordings.file("old", 4)
