@@ -224,7 +224,7 @@ def batch_ids(spark, d):
 
 
 @query("select l_orderkey * 10 + l_linenumber as pos, session, frame_idx, event_id, dx, dy from (select distinct l_orderkey, l_linenumber, "
-       "cast(l_suppkey as varchar) as session, l_linenumber as frame_idx from lineitem) join f using (session, frame_idx)", v.FRAMES)
+       "cast(l_suppkey as varchar) as session, cast(l_linenumber as bigint) as frame_idx from lineitem) join f using (session, frame_idx)", v.FRAMES)
 def fetch_batch(spark, d):
     request = v.table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", F.col("l_suppkey").cast("string").alias("session"),
@@ -329,9 +329,9 @@ def asof_state(spark, d):
                               F.col("state.state.active_weapon").alias("active_weapon")), "state_age")
 
 
-@query("""select pf.session, event_id as frame_idx, case when coalesce(alive, false) then 1 else 0 end as alive,
-  coalesce(round_phase, '?') as round_phase, coalesce(health, 0) as health, coalesce(active_weapon, '') as active_weapon,
-  coalesce(ammo_clip, -1) as ammo_clip, coalesce(ammo_reserve, -1) as ammo_reserve
+@query("""select pf.session, event_id as frame_idx, cast(case when coalesce(alive, false) then 1 else 0 end as tinyint) as alive,
+  coalesce(round_phase, '?') as round_phase, cast(coalesce(health, 0) as smallint) as health, coalesce(active_weapon, '') as active_weapon,
+  cast(coalesce(ammo_clip, -1) as smallint) as ammo_clip, cast(coalesce(ammo_reserve, -1) as smallint) as ammo_reserve
   from pf asof left join st on pf.session = st.session and pf.t >= st.t""", v.STATES + ",\n" + v.PLAIN.split(",\n", 2)[2])
 def stored_state(spark, d):
     out = asof.asof_state(v.plain_frames(spark, d).drop("n"), v.states(spark, d))

@@ -51,8 +51,9 @@ def accumulate_mouse(frames: DataFrame, mouse: DataFrame, seconds: float | None
     both = add_block(left.unionByName(right), ["session"], time_block("t", seconds))
     after = carry(both, ["session"], {"_next": (F.min_by("frame_idx", F.when(
         F.col("_kind") == 1, F.struct("t", "frame_idx"))), "first")}, later=True)
-    closing = F.first("frame_idx", ignorenulls=True).over(
-        within(["session"], "t", "_kind", "frame_idx").rowsBetween(0, Window.unboundedFollowing))
+    # In falling order the next frame is the last one seen; see carry().
+    closing = F.last("frame_idx", ignorenulls=True).over(
+        within(["session"], F.desc("t"), F.desc("_kind"), F.desc("frame_idx")).rowsBetween(Window.unboundedPreceding, 0))
     return (attach(both, ["session"], after)
             .withColumn("frame_idx", F.coalesce(closing, F.col("_next")))
             .where("frame_idx IS NOT NULL")

@@ -121,13 +121,13 @@ def neighbours_in_state(frames: DataFrame, rows: int | None = None) -> DataFrame
     which = {"kept": F.when(F.col("keep"), i), "dropped": F.when(~F.col("keep"), i)}
     ahead = carry(blocked, ["session"], {f"_n_{k}": (F.min(c), "first") for k, c in which.items()}, later=True)
     behind = carry(blocked, ["session"], {f"_p_{k}": (F.max(c), "last") for k, c in which.items()})
-    w = within(["session"], "frame_idx")
+    # Rising order for what lies behind, falling order for what lies ahead; see carry().
+    rising = within(["session"], "frame_idx").rowsBetween(Window.unboundedPreceding, -1)
+    falling = within(["session"], F.desc("frame_idx")).rowsBetween(Window.unboundedPreceding, -1)
     out = attach(blocked, ["session"], ahead, behind)
     for k, c in which.items():
-        out = (out.withColumn(f"next_{k}", F.coalesce(
-                   F.min(c).over(w.rowsBetween(1, Window.unboundedFollowing)), F.col(f"_n_{k}"), i))
-               .withColumn(f"prev_{k}", F.coalesce(
-                   F.max(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col(f"_p_{k}"), i)))
+        out = (out.withColumn(f"next_{k}", F.coalesce(F.last(c, ignorenulls=True).over(falling), F.col(f"_n_{k}"), i))
+               .withColumn(f"prev_{k}", F.coalesce(F.last(c, ignorenulls=True).over(rising), F.col(f"_p_{k}"), i)))
     return out.drop(BLOCK, *[f"_{d}_{k}" for d in "np" for k in which])
 
 

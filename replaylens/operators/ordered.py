@@ -108,11 +108,13 @@ def carry(blocked: DataFrame, keys: list[str],
         blocked = blocked.where("_long")
     per_block = blocked.groupBy(*keys, BLOCK).agg(
         *[agg.alias(name) for name, (agg, _) in spec.items()])
-    order = Window.partitionBy(*keys).orderBy(BLOCK)
-    span = (order.rowsBetween(1, Window.unboundedFollowing) if later
-            else order.rowsBetween(Window.unboundedPreceding, -1))
+    # Frames that grow from the start cost one step per row; frames that shrink to the
+    # end are recomputed for every row. "Later" is therefore read in falling order.
+    span = (Window.partitionBy(*keys).orderBy(F.desc(BLOCK) if later else F.asc(BLOCK))
+            .rowsBetween(Window.unboundedPreceding, -1))
+    turned = {"first": "last", "last": "first"} if later else {}
     return per_block.select(*keys, BLOCK, *[
-        _COMBINE[how](F.col(name)).over(span).alias(name) for name, (_, how) in spec.items()])
+        _COMBINE[turned.get(how, how)](F.col(name)).over(span).alias(name) for name, (_, how) in spec.items()])
 
 
 def attach(blocked: DataFrame, keys: list[str], *tables: DataFrame) -> DataFrame:
