@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import licenses, toxicity, url_filters
+from . import bpe, licenses, packing, toxicity, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_bpe(spark, sf_dir):
+    vocabulary = bpe.Vocabulary.load(public_tokenizers.path("word_bpe_49k.json"))
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_packing(spark, sf_dir):
+    tokens = packing.ByteTokens.load(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), tokens)
+
+
 def op6_url_filters(spark, sf_dir):
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -23,5 +38,5 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_url_filters, op7_toxicity, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op5_packing, op6_url_filters, op7_toxicity, op10_license_scan)}
 ORACLES = {"op6_url_filters": url_filters.oracle_sql(), "op10_license_scan": licenses.oracle_sql()}
