@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, packing, toxicity, url_filters
+from . import bpe, fingerprints, licenses, packing, toxicity, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_bpe(spark, sf_dir):
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_fingerprints(spark, sf_dir):
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark, sf_dir):
     tokens = packing.ByteTokens.load(public_tokenizers.path("byte_bpe_50k.json"))
     return packing.pack(table(spark, sf_dir, "documents"), tokens)
@@ -38,5 +42,5 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op5_packing, op6_url_filters, op7_toxicity, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op4_fingerprints, op5_packing, op6_url_filters, op7_toxicity, op10_license_scan)}
 ORACLES = {"op6_url_filters": url_filters.oracle_sql(), "op10_license_scan": licenses.oracle_sql()}
