@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, licenses, packing, toxicity, url_filters
+from . import bpe, chat, fingerprints, licenses, packing, toxicity, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,9 +38,28 @@ def op7_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_chat(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in
+                                 enumerate(("user", "assistant"))], conversations.schema)
+    return chat.digests(conversations.unionByName(odd))
+
+
 def op10_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_fingerprints, op5_packing, op6_url_filters, op7_toxicity, op10_license_scan)}
-ORACLES = {"op6_url_filters": url_filters.oracle_sql(), "op10_license_scan": licenses.oracle_sql()}
+QUERIES = {f.__name__: f for f in (op2_bpe, op4_fingerprints, op5_packing, op6_url_filters, op7_toxicity, op9_chat, op10_license_scan)}
+_CONTROL = chat.CONTROL % ""
+_SEGMENT_CHARS = " + ".join(f"length(regexp_replace({c}, '{_CONTROL}', '\\1\\\\\\2\\3', 'g'))" for c in ("role", "text"))
+CHAT_SQL = f"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+       sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), ''))
+           as loss_sha256,
+       sum(10 + {_SEGMENT_CHARS})::bigint as formatted_chars
+from t group by 1"""
+ORACLES = {"op9_chat": CHAT_SQL, "op6_url_filters": url_filters.oracle_sql(), "op10_license_scan": licenses.oracle_sql()}
