@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, licenses, packing, toxicity, url_filters
+from . import bpe, chat, fingerprints, licenses, ngram_join, packing, toxicity, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_bpe(spark, sf_dir):
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_ngram_join(spark, sf_dir):
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_fingerprints(spark, sf_dir):
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_fingerprints, op5_packing, op6_url_filters, op7_toxicity, op9_chat, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_ngram_join, op4_fingerprints, op5_packing, op6_url_filters, op7_toxicity, op9_chat, op10_license_scan)}
 _CONTROL = chat.CONTROL % ""
 _SEGMENT_CHARS = " + ".join(f"length(regexp_replace({c}, '{_CONTROL}', '\\1\\\\\\2\\3', 'g'))" for c in ("role", "text"))
 CHAT_SQL = f"""
