@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, licenses, ngram_join, packing, toxicity, url_filters
+from . import bpe, chat, fingerprints, licenses, ngram_join, packing, suffix_dedup, toxicity, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op7_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_suffix_dedup(spark, sf_dir):
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_chat(spark, sf_dir):
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = spark.createDataFrame([(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in
@@ -53,7 +58,7 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_ngram_join, op4_fingerprints, op5_packing, op6_url_filters, op7_toxicity, op9_chat, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_ngram_join, op4_fingerprints, op5_packing, op6_url_filters, op7_toxicity, op8_suffix_dedup, op9_chat, op10_license_scan)}
 _CONTROL = chat.CONTROL % ""
 _SEGMENT_CHARS = " + ".join(f"length(regexp_replace({c}, '{_CONTROL}', '\\1\\\\\\2\\3', 'g'))" for c in ("role", "text"))
 CHAT_SQL = f"""
