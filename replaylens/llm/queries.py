@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, licenses, ngram_join, packing, suffix_dedup, toxicity, url_filters
+from . import (bpe, chat, embeddings, fingerprints, licenses, ngram_join, packing, suffix_dedup, toxicity,
+               url_filters)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark, sf_dir):
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_bpe(spark, sf_dir):
     vocabulary = bpe.Vocabulary.load(public_tokenizers.path("word_bpe_49k.json"))
     coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
@@ -58,7 +63,7 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_ngram_join, op4_fingerprints, op5_packing, op6_url_filters, op7_toxicity, op8_suffix_dedup, op9_chat, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_bpe, op3_ngram_join, op4_fingerprints, op5_packing, op6_url_filters, op7_toxicity, op8_suffix_dedup, op9_chat, op10_license_scan)}
 _CONTROL = chat.CONTROL % ""
 _SEGMENT_CHARS = " + ".join(f"length(regexp_replace({c}, '{_CONTROL}', '\\1\\\\\\2\\3', 'g'))" for c in ("role", "text"))
 CHAT_SQL = f"""
