@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from replaylens.session import written
@@ -111,7 +111,7 @@ def short_lists(docs: DataFrame, often: np.ndarray, words: int, percent: int) ->
             yield pd.DataFrame({"shingle": _signed(np.concatenate([np.zeros(0, np.uint64), *keys])),
                                 "class": np.repeat(np.array(classes, dtype=np.int64), lengths),
                                 "n": np.repeat(np.array(sizes, dtype=np.int64), lengths)})
-    return docs.select("text").mapInPandas(run, "shingle long, class long, n long").distinct()
+    return docs.select("text").mapInPandas(run, "shingle long, class long, n long")
 
 
 def _enough(shared: Column, n: Column, other: Column) -> Column:
@@ -155,11 +155,12 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     """
     classes, frequent = shingle_classes(docs, words, common)
     often = np.sort(np.array([r.shingle for r in frequent.select("shingle").collect()], dtype=np.int64).view(np.uint64))
-    lists = written(short_lists(docs, often, words, percent), "short-lists")
-    per_list = lists.groupBy("shingle").agg(F.min(F.struct("class", "n")).alias("least"),
-                                            F.max(F.struct("class", "n")).alias("greatest"))
-    shared = lists.join(per_list.where("least.class < greatest.class"), "shingle")
-    shared = written(shared, "shared-lists")  # lists of one class are gone: most of them
+    # One shuffle by shingle serves the distinct rows and the ends of each list.
+    per_list = Window.partitionBy("shingle")
+    end = F.struct("class", "n")
+    lists = short_lists(docs, often, words, percent).repartition("shingle").distinct().select(
+        "*", F.min(end).over(per_list).alias("least"), F.max(end).over(per_list).alias("greatest"))
+    shared = written(lists.where("least.class < greatest.class"), "shared-lists")  # most lists have one class only
     # A class can only be alike another if enough of its short lists are shared at all.
     active = shared.groupBy("class", "n").agg(F.count("*").alias("k")).where(
         F.col("k") > F.floor(percent * F.col("n") / 2000)).select("class", "n")
