@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from replaylens.session import written
@@ -350,6 +350,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
         "__id", "__text", "__of", "__spans", "__kept")
 
 
+def whole_characters(kept: Column) -> Column:
+    """Bytes as text. Where a removed run cut a character, its remaining bytes are left out."""
+    @F.pandas_udf("string")
+    def decode(kept: pd.Series) -> pd.Series:
+        return pd.Series([bytes(k).decode("utf-8", "ignore") if k is not None else None for k in kept], dtype=object)
+    return decode(kept)
+
+
 def _tag(name: str):
     @F.pandas_udf("long")
     def tag(text: pd.Series) -> pd.Series:

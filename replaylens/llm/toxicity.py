@@ -104,7 +104,7 @@ class Index:
         self.toxic, self.ids, self.weight, vectors = (x[some] for x in (self.toxic, self.ids, self.weight, vectors))
         n = len(vectors)
         self.starts = list(range(0, n, BLOCK))
-        self.most = np.array([vectors[s:s + BLOCK].max(axis=0) for s in self.starts]).reshape(-1, len(terms))
+        self.most = np.array([vectors[s:s + BLOCK].max(axis=0) for s in self.starts]).reshape(len(self.starts), len(terms))
         self.postings = []  # per block: term -> (rows, weights)
         for s in self.starts:
             part = vectors[s:s + BLOCK]
