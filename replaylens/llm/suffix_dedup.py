@@ -148,8 +148,9 @@ def _occurrences(length: int, gram: int):
                     continue
                 tag = text_tag(raw)
                 key = hashlib.blake2b(raw, digest_size=16).digest()
-                if seen.setdefault(key, doc_id) < doc_id:
-                    continue  # a copy: found by its digest
+                if seen.get(key, doc_id + 1) <= doc_id:
+                    continue  # a copy, found by its digest, or the same document again
+                seen[key] = doc_id
                 if len(seen) > 500_000:
                     seen.clear()
                 held.append((doc_id, tag, raw))
@@ -276,7 +277,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
         _occurrences(length, gram), "anchor long, around long, doc_id long, tag_at long, upto long")
     by_anchor = Window.partitionBy("anchor")
     same = Window.partitionBy("anchor", "around").orderBy("doc_id", "tag_at")
-    rows = rows.repartition("anchor").withColumn("nth", F.row_number().over(same)).withColumn(
+    rows = rows.repartition("anchor").withColumn("nth", F.rank().over(same)).withColumn(
         "kinds", F.sum((F.col("nth") == 1).cast("int")).over(by_anchor))
     rows = rows.where("upto > 0 or nth > 1 or kinds > 1").withColumns({
         "tag": F.shiftright("tag_at", 32), "at": F.col("tag_at").bitwiseAND((1 << 32) - 1)})
@@ -297,7 +298,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
                     out.append((p["anchor"], p["kinds"], doc_id, tag, low, raw[low:p["at"] + length]))
             yield pd.DataFrame(out, columns=["anchor", "kinds", "doc_id", "tag", "low", "around"])
     open_ = rows.where("upto = 0 and nth = 1").groupBy("doc_id", "tag").agg(
-        F.collect_list(F.struct("anchor", "kinds", "at")).alias("places"))  # no more than a document's anchors
+        F.collect_set(F.struct("anchor", "kinds", "at")).alias("places"))  # no more than a document's anchors
     around = open_.join(docs.select("doc_id", "text").distinct(), "doc_id").mapInPandas(
         cut, "anchor long, kinds long, doc_id long, tag long, low long, around binary")
     around = written(around, "surroundings")
