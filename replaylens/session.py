@@ -29,7 +29,7 @@ def tune(spark: SparkSession) -> SparkSession:
 def local_session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and the bench."""
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("replaylens")
-             .config("spark.ui.enabled", "false")
+             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", memory)
              .config("spark.sql.shuffle.partitions", str(cpus))
              .getOrCreate())
