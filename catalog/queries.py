@@ -223,14 +223,16 @@ def batch_ids(spark, d):
     return fr.batches(v.frames(spark, d).select("session", "frame_idx"), "frame_idx", 64, seed=7, drop_last=True)
 
 
-@query("select l_orderkey * 10 + l_linenumber as pos, session, frame_idx, event_id, dx, dy from (select distinct l_orderkey, l_linenumber, "
-       "cast(l_suppkey as varchar) as session, cast(l_linenumber as bigint) as frame_idx from lineitem) join f using (session, frame_idx)", v.FRAMES)
+@query("select l_orderkey * 10 + l_linenumber as pos, session, frame_idx, event_id, dx, dy, event_id is not null as found from "
+       "(select distinct l_orderkey, l_linenumber, cast(l_suppkey as varchar) as session, cast(l_linenumber as bigint) * 3 as frame_idx "
+       "from lineitem) left join f using (session, frame_idx)", v.FRAMES)
 def fetch_batch(spark, d):
     request = v.table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", F.col("l_suppkey").cast("string").alias("session"),
-        F.col("l_linenumber").cast("long").alias("frame_idx")).distinct().select(
+        (F.col("l_linenumber").cast("long") * 3).alias("frame_idx")).distinct().select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), "session", "frame_idx")
-    return fr.fetch(request, v.frames(spark, d).select("session", "frame_idx", "event_id", "dx", "dy"))
+    return fr.fetch(request, v.frames(spark, d).select("session", "frame_idx", "event_id", "dx", "dy"),
+                    strict=False)
 
 
 @query("select session, frame_idx, dx from f order by session, frame_idx limit 8", v.FRAMES)
@@ -476,19 +478,28 @@ def stride_sample(spark, d):
 _GAPS = v.FRAMES + """,
 g as (select session, frame_idx, chunk_idx, lead(t) over w - t as gap, lead(chunk_idx) over w <> chunk_idx as at_boundary,
   lead(alive) over w <> alive as flips from f window w as (partition by session order by frame_idx)),
-gg as (select * from g where gap is not null)"""
+gg as (select *, case when cast(session as bigint) % 2 = 0 then 20000 else 40000 end as budget from g where gap is not null)"""
 _TIMING = ["fps", "mean_ms", "max_ms", "min_ms", "jitter_ms"]
 
 
+def _two_rates(spark, d):
+    """Frames of sessions recorded at two rates."""
+    return v.frames(spark, d).withColumn("file_fps", F.when(F.col("user_id") % 2 == 0, FPS).otherwise(FPS / 2))
+
+
 def _gaps(spark, d):
-    return timing.gaps(v.frames(spark, d))
+    return timing.gaps(_two_rates(spark, d))
 
 
 @query("""select session, count(*) + 1 as n_frames, round(1e6 / avg(gap), 4) as fps, round(avg(gap), 4) as mean_ms, round(max(gap), 4) as max_ms,
-  round(min(gap), 4) as min_ms, round(stddev_pop(gap), 4) as jitter_ms, count(*) filter (gap > 1.8 * 20000) as long_gaps from gg group by 1""", _GAPS)
+  round(min(gap), 4) as min_ms, round(stddev_pop(gap), 4) as jitter_ms, count(*) filter (gap > 1.8 * budget) as long_gaps from gg group by 1""", _GAPS)
 def timing_summary(spark, d):
-    out = timing.timing_summary(_gaps(spark, d), FPS)
-    scaled = {c: F.round(F.col(c) / 1000, 4) for c in _TIMING[1:]}  # gaps are hours: report seconds
+    return _in_seconds(timing.timing_summary(_gaps(spark, d)))
+
+
+def _in_seconds(out):
+    """Gaps are hours: report seconds."""
+    scaled = {c: F.round(F.col(c) / 1000, 4) for c in _TIMING[1:]}
     return out.withColumns({**scaled, "fps": F.round(F.col("fps") * 1e6, 4)})
 
 
@@ -505,10 +516,10 @@ def boundary_gaps(spark, d):
 
 @query("""select session, boundaries, stalls, boundary_stalls, round(boundary_stalls / greatest(stalls, 1), 6) as boundary_share,
   case when boundaries = 0 then 'single chunk' when boundary_stalls > 0 then 'boundary stalls' else 'stalls elsewhere' end as diagnosis
-  from (select session, count(*) filter (at_boundary) as boundaries, count(*) filter (gap > 60000) as stalls,
-  count(*) filter (gap > 60000 and at_boundary) as boundary_stalls from gg group by 1)""", _GAPS)
+  from (select session, count(*) filter (at_boundary) as boundaries, count(*) filter (gap > 3 * budget) as stalls,
+  count(*) filter (gap > 3 * budget and at_boundary) as boundary_stalls from gg group by 1)""", _GAPS)
 def stall_diagnosis(spark, d):
-    return rounded(timing.stall_diagnosis(_gaps(spark, d), FPS), "boundary_share")
+    return rounded(timing.stall_diagnosis(_gaps(spark, d)), "boundary_share")
 
 
 @query("select session, count(*) filter (flips) as alive_flips from gg group by 1", _GAPS)
@@ -517,10 +528,15 @@ def alive_flips(spark, d):
 
 
 @query("select session, key, frames_held, round(100.0 * frames_held / n, 6) as pct_held from (select session, count(*) as n, "
-       + ", ".join(f"cast(sum(k_{k}) as bigint) as c_{k}" for k in _KEYS) + " from f group by 1), lateral (values "
-       + ", ".join(f"('{k}', c_{k})" for k in _KEYS) + ") x(key, frames_held)", v.FRAMES)
+       + ", ".join(f"cast(sum(k_{k}) as bigint) as c_{k}" for k in _KEYS)
+       + ", count(*) filter (k % 2 = 0) as c_mouse4, count(*) filter (k % 17 = 0) as c_tab from f group by 1), lateral (values "
+       + ", ".join(f"('{k}', c_{k})" for k in [*_KEYS, "mouse4", "tab"]) + ") x(key, frames_held)", v.FRAMES)
 def key_activity(spark, d):
-    return rounded(activity.key_activity(v.frames(spark, d)), "pct_held")
+    """Sessions that log two keys more than usual."""
+    more = F.array((F.col("k") % 2 == 0).cast("tinyint"), (F.col("k") % 17 == 0).cast("tinyint"))
+    frames = v.frames(spark, d).withColumns({
+        "keys": F.concat("keys", more), "key_names": F.concat("key_names", F.array(F.lit("mouse4"), F.lit("tab")))})
+    return rounded(activity.key_activity(frames), "pct_held")
 
 
 @query("""select session, cast(sum(lclick) as bigint) as left_held, round(100.0 * sum(lclick) / count(*), 6) as left_pct,
@@ -561,13 +577,17 @@ def top_weapons(spark, d):
     return activity.top_weapons(v.frames(spark, d), 3)
 
 
-@query("""select a.session, a.frames, a.left_held, a.n_alive, a.dx_moving, b.long_gaps, b.boundaries, b.stalls, b.alive_flips from
-  (select session, count(*) as frames, cast(sum(lclick) as bigint) as left_held, count(*) filter (alive = 1) as n_alive, count(*) filter (dx <> 0) as dx_moving from f group by 1) a
-  left join (select session, count(*) filter (gap > 36000) as long_gaps, count(*) filter (at_boundary) as boundaries, count(*) filter (gap > 60000) as stalls,
-  count(*) filter (flips) as alive_flips from gg group by 1) b using (session)""", _GAPS)
+_PARTS = ["clicks", "mouse_summary", "alive_summary", "health_ammo"]
+
+
+@query("select * from (select session, count(*) as frames from f group by 1) "
+       + " ".join(f"join ({ORACLES[name]}) using (session)" for name in _PARTS)
+       + f" left join (select * exclude (n_frames) from ({ORACLES['timing_summary']})) using (session)"
+       + f" left join ({ORACLES['stall_diagnosis']}) using (session) left join ({ORACLES['alive_flips']}) using (session)", v.FRAMES)
 def inspection_report(spark, d):
-    return inspection.inspect_frames(v.frames(spark, d), FPS).select(
-        "session", "frames", "left_held", "n_alive", "dx_moving", "long_gaps", "boundaries", "stalls", "alive_flips")
+    out = _in_seconds(inspection.inspect_frames(_two_rates(spark, d)))
+    return rounded(out, "left_pct", "right_pct", "dx_mean_abs", "dy_mean_abs", "dx_moving_pct", "alive_pct", "health_mean",
+                   "boundary_share")
 
 
 # ---- events --------------------------------------------------------------------

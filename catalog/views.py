@@ -108,6 +108,9 @@ def state_lines(spark: SparkSession, d: str) -> DataFrame:
         F.struct(F.when(F.expr("k < 10"), "warmup").otherwise("live").alias("phase")).alias("map"),
         F.struct(F.when(F.expr("k % 10 = 0"), "bad").otherwise(TOKEN).alias("token")).alias("auth"))
     line = F.to_json(F.struct(F.col("t").alias("t_perf"), F.col("event_id").alias("n"), payload.alias("payload")))
+    # Some receivers log a slot as text, or an empty list where there is no round.
+    line = F.when(F.expr("k % 23 = 0"), F.regexp_replace(line, r'"observer_slot":\d+', '"observer_slot":"x"')).otherwise(line)
+    line = F.when(F.expr("k % 29 = 0"), F.regexp_replace(line, r'"round":\{[^}]*\}', '"round":[]')).otherwise(line)
     bad = F.concat(F.lit("not json "), F.col("event_id").cast("string"))
     return events(spark, d).where(is_state()).select(
         "session", F.when(F.expr("k % 17 = 0"), bad).otherwise(line).alias("value"))
@@ -186,9 +189,9 @@ su as (select session, t, event_id as n, k,
   k % 11 <> 0 and k % 13 <> 0 as has_local_state,
   case when k % 6 = 0 then true when k % 7 = 0 then false else false end as spectating,
   case when k % 11 = 0 or k % 13 = 0 then null when event_type = 'error' then 0 else k end as health,
-  case when k % 4 = 0 then 'freezetime' when k % 3 = 0 then null else 'live' end as round_phase,
+  case when k % 29 = 0 then null when k % 4 = 0 then 'freezetime' when k % 3 = 0 then null else 'live' end as round_phase,
   case when k < 10 then 'warmup' else 'live' end as map_phase,
-  k % 10 as observer_slot,
+  case when k % 23 = 0 then null else k % 10 end as observer_slot,
   case when k % 8 = 0 then null else 'weapon_' || cast(k % 5 as varchar) end as active_weapon,
   case when k % 8 = 0 or k % 9 = 0 then null else k % 31 end as ammo_clip,
   case when k % 8 = 0 or k % 9 = 0 then null else k end as ammo_reserve,

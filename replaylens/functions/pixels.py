@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..fixed_values import CENTRE_CROP, FRAME_HW, PROBE_SIZE, RADAR_HW
 
@@ -83,7 +84,10 @@ def area_means(img: np.ndarray, size: int) -> np.ndarray:
 
 
 def _map(df: DataFrame, keep: list[str], column: str, hw, added: str, compute) -> DataFrame:
-    """Project to ``keep`` plus the image, and replace the image by computed columns."""
+    """Project to ``keep`` plus the image, and replace the image by computed columns.
+
+    A row without the image fails the job: pass ``df.where("radar IS NOT NULL")`` to leave such rows out.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(column)
@@ -91,7 +95,8 @@ def _map(df: DataFrame, keep: list[str], column: str, hw, added: str, compute) -
             names = keep + list(new)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(k)) for k in keep] + list(new.values()), names=names)
-    picked = df.select(*keep, column).where(f"{column} IS NOT NULL")
+    absent = F.raise_error(F.lit(f"a frame has no image in column {column}"))
+    picked = df.select(*keep, F.coalesce(F.col(column), absent.cast("binary")).alias(column))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
     return picked.mapInArrow(run, f"{fields}, {added}")
 

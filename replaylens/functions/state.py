@@ -15,6 +15,30 @@ PAYLOAD_SCHEMA = (
     f"state: MAP<STRING, STRING>, weapons: MAP<STRING, {WEAPON}>>, "
     "round: STRUCT<phase: STRING>, map: STRUCT<phase: STRING>, auth: STRUCT<token: STRING>>")
 
+
+
+def payload_of(payload: Column) -> Column:
+    """A VARIANT payload as PAYLOAD_SCHEMA, field by field: what is absent or of another kind is null."""
+    def read(variant, path: str, kind: str) -> Column:
+        return F.try_variant_get(variant, path, kind)
+
+    def weapon(name: Column, w: Column) -> Column:
+        return F.struct(read(w, "$.name", "string").alias("name"), read(w, "$.state", "string").alias("state"),
+                        read(w, "$.ammo_clip", "int").alias("ammo_clip"),
+                        read(w, "$.ammo_reserve", "int").alias("ammo_reserve"))
+
+    def one(path: str, name: str, kind: str = "string") -> Column:
+        return read(payload, path, kind).alias(name)
+    player = F.struct(one("$.player.steamid", "steamid"), one("$.player.activity", "activity"),
+                      one("$.player.observer_slot", "observer_slot", "int"),
+                      one("$.player.state", "state", "map<string, string>"),
+                      F.transform_values(read(payload, "$.player.weapons", "map<string, variant>"), weapon).alias("weapons"))
+    return F.struct(F.struct(one("$.provider.steamid", "steamid")).alias("provider"), player.alias("player"),
+                    F.struct(one("$.round.phase", "phase")).alias("round"),
+                    F.struct(one("$.map.phase", "phase")).alias("map"),
+                    F.struct(one("$.auth.token", "token")).alias("auth"))
+
+
 STATE_FIELDS = ["has_local_state", "spectating", "own_pov", "health", "alive", "round_phase",
                 "map_phase", "activity", "observer_slot", "active_weapon", "ammo_clip",
                 "ammo_reserve", "steamid", "player_steamid"]

@@ -9,19 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..fixed_values import KEY_NAMES
-
-
-def key_activity(frames: DataFrame, n_keys: int = len(KEY_NAMES)) -> DataFrame:
-    """Frames each key was held, and their share. One sum per key position; rows are
-    expanded only after aggregation. Needs ``keys`` and ``key_names``."""
-    sums = [F.sum(F.coalesce(F.get("keys", F.lit(i)).cast("long"), F.lit(0))).alias(f"_{i}") for i in range(n_keys)]
-    agg = frames.groupBy("session", "key_names").agg(F.count(F.lit(1)).alias("_n"), *sums)
-    held = F.arrays_zip(F.col("key_names").alias("key"), F.array(*[f"_{i}" for i in range(n_keys)]).alias("held"))
-    return (agg.select("session", "_n", F.explode(held).alias("_x"))
-            .where("_x.key IS NOT NULL")
-            .select("session", "_x.key", F.col("_x.held").alias("frames_held"),
-                    (100.0 * F.col("_x.held") / F.col("_n")).alias("pct_held")))
+
+def key_activity(frames: DataFrame) -> DataFrame:
+    """Frames each key was held, and their share of the frames that log the key.
+
+    Every key in ``key_names`` counts, however many a session logs. Needs ``keys`` and
+    ``key_names``; the expanded rows are summed before they are shuffled.
+    """
+    pressed = F.explode(F.arrays_zip(F.col("key_names").alias("key"), F.col("keys").alias("held")))
+    n, held = F.count(F.lit(1)), F.sum(F.coalesce(F.col("_x.held").cast("long"), F.lit(0)))
+    return (frames.select("session", pressed.alias("_x")).where("_x.key IS NOT NULL")
+            .groupBy("session", F.col("_x.key").alias("key"))
+            .agg(held.alias("frames_held"), (100.0 * held / n).alias("pct_held")))
 
 
 def click_aggs() -> list[Column]:

@@ -88,9 +88,17 @@ def batches(rows: DataFrame, idx: str, batch_size: int, seed: int | None = None,
     return out
 
 
-def fetch(request: DataFrame, frames: DataFrame) -> DataFrame:
-    """Frames for a list of (pos, session, frame_idx), in request order."""
-    return request.join(frames, ["session", "frame_idx"]).orderBy("pos")
+def fetch(request: DataFrame, frames: DataFrame, strict: bool = True) -> DataFrame:
+    """Frames for a list of (pos, session, frame_idx), in request order.
+
+    Every request is answered: a missing frame fails the job, or with ``strict`` off
+    gives a row of nulls whose ``found`` is false.
+    """
+    out = request.join(frames.withColumn("found", F.lit(True)), ["session", "frame_idx"], "left")
+    if not strict:
+        return out.withColumn("found", F.coalesce("found", F.lit(False))).orderBy("pos")
+    missing = F.raise_error(F.format_string("requested frame %s of session %s does not exist", "frame_idx", "session"))
+    return out.where(F.coalesce("found", missing.cast("boolean"))).drop("found").orderBy("pos")
 
 
 def first_rows(frames: DataFrame, k: int) -> DataFrame:

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..fixed_values import LOOP_FPS
 from ..functions.pixels import pixel_range
 from ..operators import activity, timing
 from ..operators.frames import even_sample
@@ -27,8 +24,8 @@ def pixel_sample(frames: DataFrame, column: str, hw, k: int = 50) -> DataFrame:
             .withColumn(f"{column}_flat", F.col(f"{column}_max") - F.col(f"{column}_min") < 5))
 
 
-def inspect_frames(frames: DataFrame, fps: float = LOOP_FPS) -> DataFrame:
-    """Everything the scalar columns tell about each session.
+def inspect_frames(frames: DataFrame, fps: float | None = None) -> DataFrame:
+    """Everything the scalar columns tell about each session, at its own frame rate unless one is given.
 
     One aggregate over frames, one over gaps; the results are one row per session.
     """
@@ -36,12 +33,10 @@ def inspect_frames(frames: DataFrame, fps: float = LOOP_FPS) -> DataFrame:
         F.count(F.lit(1)).alias("frames"), *activity.click_aggs(), *activity.mouse_aggs(),
         *activity.alive_aggs(), *activity.state_aggs())
     gap_rows = timing.gaps(frames)
-    timed = timing.timing_summary(gap_rows, fps).drop("n_frames")
-    stalls = timing.stall_diagnosis(gap_rows, fps)
-    parts = [counted, timed, stalls]
-    if "alive" in frames.columns:
-        parts.append(timing.alive_flips(gap_rows))
-    return reduce(lambda a, b: a.join(b, "session", "left"), parts)
+    rate = timing.frame_rate(gap_rows, fps)
+    flips = [F.count_if("flips").alias("alive_flips")] if "alive" in frames.columns else []
+    timed = gap_rows.groupBy("session").agg(*timing.timing_aggs(rate), *timing.stall_aggs(rate), *flips)
+    return counted.join(timing.diagnosed(timed).drop("n_frames"), "session", "left")
 
 
 def inspection(sessions: DataFrame, alignment: DataFrame, sizes: DataFrame, frames: DataFrame,

@@ -18,7 +18,7 @@ from ..operators.frames import above_threshold, even_sample, gameplay, stride_sa
 from ..operators.split import balanced_split, on_side, split_sessions, split_volume, with_side
 from ..operators.threshold import pooled_cut
 from ..operators.windows import flag_eventful, key_balance, look_balance, oversample, sliding_windows
-from ..operators.validate import counted_frames
+from ..operators.validate import counted_frames, header_alignment
 from ..sources.chunks import chunks_to_sample, place_chunks, read_frames, read_headers, session_metadata
 from ..session import written
 from ..sources.manifests import listed_chunks, scan_sessions, usable_sessions
@@ -32,18 +32,41 @@ class Dataset:
     headers: DataFrame
     metadata: DataFrame
 
+    def checked_chunks(self, arrays: list[str] | None = None) -> DataFrame:
+        """Placed chunks; reading one fails if its session can't be served whole.
+
+        That is so if its arrays differ in length between chunks or an array is in some of
+        them only, if the manifest counts other frames than the chunks hold, or if minimaps
+        are asked for and there are none. Decided by joins of chunk headers, before images.
+        """
+        state = header_alignment(self.headers).join(
+            self.sessions.select("session", "total_frames"), "session").select(
+            "session", "misaligned", "total_frames", F.col("n_frames").alias("_counted"), "len_radar")
+        name = F.col("session")
+        wrong = F.when(F.size("misaligned") > 0, F.concat(
+            F.lit("arrays are not aligned in session "), name, F.lit(": "), F.array_join("misaligned", ", ")))
+        wrong = wrong.when(F.col("total_frames") != F.col("_counted"), F.format_string(
+            "session %s has %s frames where its manifest has %s", "session", "_counted", "total_frames"))
+        if "radar" in (arrays or []):
+            wrong = wrong.when(F.col("len_radar") == 0, F.concat(
+                F.lit("input 'radar': no radar array in session "), name))
+        checked = place_chunks(self.headers).join(state.select("session", wrong.alias("_wrong")), "session")
+        path = F.when(F.col("_wrong").isNull(), F.col("chunk_path")).otherwise(F.raise_error(F.col("_wrong")))
+        return checked.withColumn("chunk_path", path).drop("_wrong")
+
     def frames(self, arrays: list[str] | None = None, sample: int | None = None) -> DataFrame:
         """Frames of all usable sessions with key names, side and session length.
 
         These are joined to the chunk list, so frames come out of the decoding task
-        complete and are not shuffled here. ``sample`` keeps that many evenly spaced
+        complete and are not shuffled here. Sessions that can't be served whole fail the
+        job (see ``checked_chunks``). ``sample`` keeps that many evenly spaced
         frames per session and opens only the chunks that hold one.
         """
-        placed = place_chunks(self.headers)
+        placed = self.checked_chunks(arrays)
         if sample is not None:
             placed = chunks_to_sample(placed, sample)
-        chunks = with_side(placed.join(self.metadata.select("session", "key_names"), "session"), self.split)
-        rows = read_frames(chunks, arrays, keep=["key_names", "side", "n_frames"])
+        chunks = with_side(placed.join(self.metadata.select("session", "key_names", "file_fps"), "session"), self.split)
+        rows = read_frames(chunks, arrays, keep=["key_names", "side", "n_frames", "file_fps"])
         return rows if sample is None else even_sample(rows, sample)
 
     def balanced(self, fraction: float = PROBE_HOLDOUT_FRACTION) -> Dataset:

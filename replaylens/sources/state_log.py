@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.state import PAYLOAD_SCHEMA, extract_state
-
-LINE_SCHEMA = f"t_perf DOUBLE, t_wall STRING, n BIGINT, payload {PAYLOAD_SCHEMA}, _bad STRING"
+from ..functions.state import extract_state, payload_of
 
 
 def log_name(path="_metadata.file_path") -> F.Column:
@@ -18,14 +16,20 @@ def log_name(path="_metadata.file_path") -> F.Column:
 def parse_lines(lines: DataFrame, expected_token: str | None = None) -> DataFrame:
     """Parse text lines (``session``, ``value``) into typed state updates.
 
-    Lines that are not JSON objects keep their text in ``bad_line``. A wrong
-    token is only flagged: the update is still used.
+    Lines that are not JSON objects with a time keep their text in ``bad_line``. A field
+    of an unexpected kind is null in an update that is otherwise used. A wrong token is
+    only flagged: the update is still used.
     """
-    parsed = F.from_json("value", LINE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     # inline() keeps the optimizer from repeating the parse for every field read from it.
-    flat = lines.select("session", "value", F.inline_outer(F.array(parsed))).select(
-        "session", F.col("t_perf").alias("t"), "t_wall", "n", "payload",
-        F.when(F.col("_bad").isNotNull() | F.col("t_perf").isNull(), F.col("value")).alias("bad_line"))
+    parsed = lines.select("session", "value", F.inline_outer(F.array(F.struct(
+        F.try_parse_json("value").alias("_v")))))
+    flat = parsed.select("session", "value", F.inline_outer(F.array(F.struct(
+        F.try_variant_get("_v", "$.t_perf", "double").alias("t"),
+        F.try_variant_get("_v", "$.t_wall", "string").alias("t_wall"),
+        F.try_variant_get("_v", "$.n", "bigint").alias("n"),
+        payload_of(F.try_variant_get("_v", "$.payload", "variant")).alias("payload")))))
+    flat = flat.select("session", "t", "t_wall", "n", "payload",
+                       F.when(F.col("t").isNull(), F.col("value")).alias("bad_line"))
     token = F.col("payload.auth.token")
     mismatch = (F.lit(False) if expected_token is None
                 else F.coalesce(token != expected_token, F.lit(False)))

@@ -209,3 +209,24 @@ def test_manifest_fields(spark, recordings):
     recordings.folder("s", [2], 4)
     row = scan(spark, recordings).withColumn("kind", validate.kind()).first()
     assert row["kind"].startswith("v4") and row["loop_fps_target"] == 15 and json.dumps(row["chunks"])
+
+
+def test_serving_refuses_what_it_cannot_serve_whole(spark, recordings):
+    recordings.folder("fine", [4, 3], 5)
+    recordings.folder("plain", [4, 3], 2)
+    recordings.folder("patchy", [4, 3], 5, change=lambda i, a: a.pop("health") if i else None)
+    recordings.folder("short", [4, 3], 5, total_frames=99)
+
+    def served(*names, arrays=("dx", "health")):
+        data = open_recordings(spark, recordings.root, manual=list(names))
+        keep = data.sessions.where(data.sessions["session"].isin(list(names)))
+        data.sessions, data.headers = keep, data.headers.join(keep.select("session"), "session", "left_semi")
+        return data.frames(list(arrays))
+    assert served("fine").count() == 7
+    assert served("plain", arrays=["dx"]).count() == 7
+    with pytest.raises(Exception, match="no radar array in session plain"):
+        served("fine", "plain", arrays=["radar"]).collect()
+    with pytest.raises(Exception, match="not aligned in session patchy: health"):
+        served("fine", "patchy").collect()
+    with pytest.raises(Exception, match="session short has 7 frames where its manifest has 99"):
+        served("fine", "short").collect()
