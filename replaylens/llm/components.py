@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +41,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     found = pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         pairs.select("v", "v")).unionAll(loops.select("u", "v"))
     return found.groupBy("node").agg(F.min("component").alias("component"))
+
+
+def stars(linked: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> list[tuple[int, int]]:
+    """(member, least id) of each group that a matrix of links between a's and b's forms: never more than members."""
+    out, left = [], linked.any(axis=1)
+    while left.any():
+        rows = np.zeros(len(left), dtype=bool)
+        rows[left.argmax()] = True
+        while True:
+            cols = linked[rows].any(axis=0)
+            more = linked[:, cols].any(axis=1)
+            if not (more & ~rows).any():
+                break
+            rows |= more
+        members = np.concatenate([ids_a[rows], ids_b[cols]])
+        least = int(members.min())
+        out += [(int(m), least) for m in members]
+        left &= ~rows
+    return out

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from replaylens.session import written
 
-from .components import connected_components
+from .components import connected_components, stars
 
 THRESHOLD, TILE = 0.98, 512
 STEPS = (8, 16, 32)  # leading coordinates after which pairs are given up
@@ -88,25 +88,6 @@ def tile_links(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float)
     return linked
 
 
-def _stars(linked: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> list[tuple[int, int]]:
-    """(member, least id) of each group that the links form."""
-    out, left = [], linked.any(axis=1)
-    while left.any():
-        rows = np.zeros(len(left), dtype=bool)
-        rows[left.argmax()] = True
-        while True:
-            cols = linked[rows].any(axis=0)
-            more = linked[:, cols].any(axis=1)
-            if not (more & ~rows).any():
-                break
-            rows |= more
-        members = np.concatenate([ids_a[rows], ids_b[cols]])
-        least = int(members.min())
-        out += [(int(m), least) for m in members]
-        left &= ~rows
-    return out
-
-
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of ``vectors`` (vec_id integer, embedding, label).
 
@@ -188,8 +169,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
                 if not linked.any():
                     continue
                 ra, rb = np.asarray(row["reps_x"]), np.asarray(row["reps_y"])
-                stars = _stars(linked, ra, rb)
-                yield pd.DataFrame({"key": None, "n": 0, "a": [m for m, _ in stars], "b": [m for _, m in stars]})
+                found = stars(linked, ra, rb)
+                yield pd.DataFrame({"key": None, "n": 0, "a": [m for m, _ in found], "b": [m for _, m in found]})
                 sides = [(row["keys_x"], linked @ np.asarray(row["sizes_y"]))]
                 if row["x"] != row["y"]:
                     sides.append((row["keys_y"], linked.T @ np.asarray(row["sizes_x"])))

@@ -7,8 +7,10 @@ probed for candidates, by binary search in the candidate's sorted set.
 
 Equal sets are one class before anything is compared. Shingles of more than a fixed share of all documents come last
 in the order that says which lists are short. A first search offers each class only the least and the greatest class
-of its lists, which joins groups of near copies by stars; the second, whole search skips pairs that are connected
-already, so that such a group is never spelled out in pairs, and finds every link between what is left.
+of its lists; the one it shares most lists with is its leader. Classes with one leader, such as the copies of a text
+with ever more edits, are compared in blocks, where common shingles are counted by a matrix product, but for those that
+are tied by the leader itself. The second, whole search finds the links between classes of different leaders that are
+not connected yet, so that a group of near copies is never spelled out in pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from replaylens.session import written
 
-from .components import connected_components
+from .components import connected_components, stars
 from .shingles import WordHashes, shingle_hashes
 
 WORDS, PERCENT = 4, 85
@@ -32,6 +34,8 @@ WORDS, PERCENT = 4, 85
 COMMON = 2000
 #: Hashes that a task counts at a time.
 COUNTED = 4_000_000
+#: Classes, and hashes, in a block of classes that are compared with each other.
+BLOCK, BLOCK_HASHES = 256, 1 << 16
 
 
 def _signed(hashes: np.ndarray) -> np.ndarray:
@@ -144,6 +148,74 @@ def probe(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(run, "a long, b long, jaccard double")
 
 
+def _common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each of x and each of y have in common."""
+    shared = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    counts = np.zeros((len(x), len(y)), dtype=np.float32)
+
+    def marks(sets: list[np.ndarray], part: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(sets), len(part)), dtype=np.float32)
+        for i, s in enumerate(sets):
+            s = s[np.searchsorted(s, part[0]):np.searchsorted(s, part[-1], side="right")]
+            at = np.searchsorted(part, s)
+            out[i, at[part[at] == s]] = 1
+        return out
+    for lo in range(0, len(shared), 1 << 13):
+        part = shared[lo:lo + (1 << 13)]
+        counts += marks(x, part) @ marks(y, part).T
+    return counts.astype(np.int64)
+
+
+def block_links(members: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK,
+                hashes: int = BLOCK_HASHES) -> DataFrame:
+    """Stars (a, b) of all links between ``members`` (leader, class, tied) with the same leader.
+
+    Tied classes are linked to the leader, so blocks of them alone aren't compared.
+    """
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+
+        def one() -> pd.DataFrame:
+            return pd.DataFrame({"leader": [held[0][0]], "block": [held[0][1]], "tied": [all(h[2] for h in held)],
+                                 "classes": [[h[1] for h in held]], "sizes": [[len(h[3]) // 8 for h in held]],
+                                 "hashes": [b"".join(h[3] for h in held)]})
+        for batch in batches:
+            for row in zip(*(batch[c] for c in ("leader", "class", "tied", "hashes"))):
+                if held and (row[0] != held[0][0] or len(held) >= block or size + len(row[3]) // 8 > hashes):
+                    yield one()
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[3]) // 8
+        if held:
+            yield one()
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                (nx, x), (ny, y) = ((np.asarray(row[f"sizes_{s}"]), np.split(
+                    np.frombuffer(row[f"hashes_{s}"], dtype=np.uint64), np.cumsum(row[f"sizes_{s}"])[:-1])) for s in "xy")
+                common = _common_counts(x, y)
+                linked = 100 * common >= percent * (nx[:, None] + ny[None, :] - common)
+                if row["block_x"] == row["block_y"]:
+                    np.fill_diagonal(linked, False)
+                out += stars(linked, np.asarray(row["classes_x"]), np.asarray(row["classes_y"]))
+            yield pd.DataFrame(out, columns=["a", "b"])
+    several = members.groupBy("leader").agg(F.count("*").alias("k"), F.min("tied").alias("all_tied"))
+    several = several.where("k > 1 and not all_tied").select("leader")
+    rows = members.join(several, "leader").join(sets, "class").select("leader", "class", "tied", "hashes")
+    rows = rows.repartitionByRange("leader", "tied", "class").sortWithinPartitions("leader", "tied", "class")
+    table = written(rows.mapInPandas(blocks, "leader long, block long, tied boolean, classes array<long>, "
+                                             "sizes array<long>, hashes binary"), "blocks")
+    ends = table.select("leader", "block", "tied")
+    pairs = ends.alias("x").join(ends.alias("y"), "leader").where(
+        "x.block <= y.block and not (x.tied and y.tied)").select(
+        F.col("x.block").alias("block_x"), F.col("y.block").alias("block_y"))
+    side = lambda s: table.select(*(F.col(c).alias(f"{c}_{s}") for c in ("block", "classes", "sizes", "hashes")))
+    both = pairs.repartition("block_x", "block_y").join(side("x"), "block_x").join(side("y"), "block_y")
+    return both.mapInPandas(compare, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                        common: int = COMMON) -> DataFrame:
     """doc_id, n_shingles, component_id for each document of ``docs`` (doc_id integer, text; others are ignored).
@@ -169,13 +241,21 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     # First search: the ends of each list.
     ends = F.explode(F.array("least", "greatest")).alias("end")
-    stars = shared.select("class", "n", ends).where("class <> end.class").groupBy("class", "n", "end").agg(
+    stars_ = shared.select("class", "n", ends).where("class <> end.class").groupBy("class", "n", "end").agg(
         F.count("*").alias("k"))
-    stars = stars.where(_enough(F.col("k"), F.col("n"), F.col("end.n"))
+    stars_ = stars_.where(_enough(F.col("k"), F.col("n"), F.col("end.n"))
                         & _near_in_size(F.col("n"), F.col("end.n"), percent))
-    best = F.max(F.struct("k", F.col("end.class").alias("to")))
-    stars = stars.groupBy("class", (F.col("end.class") < F.col("class")).alias("down")).agg(best.alias("best"))
-    links = probe(stars.select(F.col("class").alias("a"), F.col("best.to").alias("b")), sets, percent).select("a", "b")
+    best = F.max(F.struct("k", F.col("end.class").alias("to"), "n"))
+    stars_ = written(stars_.groupBy("class", (F.col("end.class") < F.col("class")).alias("down")).agg(
+        best.alias("best")).select("class", "down", F.col("best.to").alias("to")), "stars")
+    first = written(probe(stars_.select(F.col("class").alias("a"), F.col("to").alias("b")), sets, percent).select(
+        "a", "b"), "links")
+    leaders = active.select("class").join(stars_.where("down").select("class", "to"), "class", "left").select(
+        F.coalesce("to", "class").alias("leader"), "class")
+    members = leaders.join(first.select(F.col("a").alias("class"), F.col("b").alias("leader"), F.lit(True).alias("_t")),
+                           ["class", "leader"], "left").select(
+        "leader", "class", F.coalesce("_t", F.col("class") == F.col("leader")).alias("tied"))
+    links = first.unionAll(block_links(members, sets, percent))
     twice = classes.where("doc_id is not null").groupBy("doc_id").agg(
         F.min("class").alias("a"), F.max("class").alias("b"), F.count_distinct("class").alias("k")).where("k > 1")
     same = classes.join(twice.select("doc_id", "a"), "doc_id").select("a", F.col("class").alias("b"))
@@ -183,14 +263,14 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     known = connected_components(links)
 
     # Second search: all pairs on the lists that are not connected yet.
-    placed = shared.select("shingle", "class", "n").join(active.select("class"), "class").join(
+    placed = shared.select("shingle", "class", "n").join(leaders, "class").join(
         known.withColumnRenamed("node", "class"), "class", "left")
-    placed = placed.withColumn("group", F.coalesce("component", "class")).select("shingle", "class", "n", "group")
+    placed = placed.withColumn("group", F.coalesce("component", "class")).select("shingle", "class", "n", "group", "leader")
     mixed = placed.groupBy("shingle").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi")
     placed = written(placed.join(mixed.select("shingle"), "shingle"), "placed")
     x, y = placed.alias("x"), placed.alias("y")
     pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.class") < F.col("y.class"))
-                   & (F.col("x.group") != F.col("y.group"))
+                   & (F.col("x.group") != F.col("y.group")) & (F.col("x.leader") != F.col("y.leader"))
                    & _near_in_size(F.col("x.n"), F.col("y.n"), percent))
     pairs = pairs.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b"),
                           F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count("*").alias("k"))
