@@ -282,10 +282,17 @@ def split_md5(spark, d):
     return split.split_sessions(users, manual=["1", "2"], hash_name="md5")
 
 
-@query()
+@query("select session, count(*) as n_frames, true as in_range, true as follows, true as stable from f group by 1", v.FRAMES)
 def split_blake2b(spark, d):
+    """What the hashed split promises: buckets in range, sides that follow them, none moved by other sessions."""
     users = v.events(spark, d).groupBy("session").agg(F.count(F.lit(1)).alias("n_frames"))
-    return split.split_sessions(users)
+    some = split.split_sessions(users.where("n_frames % 2 = 0")).select(
+        "session", F.col("bucket").alias("then"), F.col("side").alias("side_then"))
+    side = F.when(F.col("bucket") < 200, "holdout").otherwise("train")
+    stable = F.col("then").isNull() | ((F.col("then") == F.col("bucket")) & (F.col("side_then") == F.col("side")))
+    return split.split_sessions(users).join(some, "session", "left").select(
+        "session", "n_frames", F.col("bucket").between(0, 999).alias("in_range"), (F.col("side") == side).alias("follows"),
+        stable.alias("stable"))
 
 
 @query("select x.side, count(session) as n_sessions, min(bucket) as min_bucket, max(bucket) as max_bucket, "

@@ -246,8 +246,9 @@ def order_statistics(df: DataFrame, keys: list[str], value: str,
     """Exact order statistics per group: the value at given 0-based ranks.
 
     ``ranks`` maps a name to an expression over ``n``, the group's row count.
-    Values are counted into cells first; only the cells holding a wanted rank are
-    sorted, so neither a hot group nor a hot value reaches one task whole.
+    Values are counted into cells first, and those of a cell that holds a wanted rank
+    into parts of its range; only the part that holds it is sorted, so neither a hot
+    group nor values close together reach one task whole.
     """
     counted = (df.where(F.col(value).isNotNull())
                .groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
@@ -263,14 +264,31 @@ def order_statistics(df: DataFrame, keys: list[str], value: str,
               .where((F.col("_want.rank") >= F.col("_off"))
                      & (F.col("_want.rank") < F.col("_off") + F.col("_c")))
               .select(*keys, "_cell", "_off", "n", "_want.name", "_want.rank"))
-    inside = Window.partitionBy(*keys, "_cell", "name").orderBy("_v")
-    return (counted.join(wanted, [*keys, "_cell"])
-            .withColumn("_upto", F.col("_off") + F.sum("_c").over(inside))
+    held = _narrowed(counted.join(wanted, [*keys, "_cell"]), [*keys, "name"])
+    inside = Window.partitionBy(*keys, "name").orderBy("_v")
+    return (held.withColumn("_upto", F.col("_off") + F.sum("_c").over(inside))
             .where((F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("_c")))
             .groupBy(*keys).agg(F.max("n").alias("n"), *[
                 F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in ranks]))
 
 
+def _narrowed(rows: DataFrame, by: list[str], parts: int = 4096) -> DataFrame:
+    """Of each cell's values, only the part of its range that holds the wanted rank.
+
+    Steady values, such as the gaps of one frame rate, share a cell; without this step they
+    would all be sorted together.
+    """
+    ends = rows.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    part = F.when(F.col("_hi") > F.col("_lo"), F.least(
+        F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * parts), F.lit(parts - 1)))
+    rows = rows.join(ends, by).withColumn("_part", F.coalesce(part, F.lit(0)).cast("long")).drop("_lo", "_hi")
+    upto = F.col("_off") + F.sum("_in").over(Window.partitionBy(*by).orderBy("_part"))
+    found = (rows.groupBy(*by, "_part", "rank", "_off").agg(F.sum("_c").alias("_in")).withColumn("_upto", upto)
+             .where((F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("_in")))
+             .select(*by, "_part", (F.col("_upto") - F.col("_in")).alias("_from")))
+    return rows.join(found, [*by, "_part"]).withColumn("_off", F.col("_from")).drop("_part", "_from")
+
+
 def even_positions(n: Column, k: int) -> Column:
     """Up to ``k`` evenly spaced positions of ``0 .. n-1``, truncated to integers."""
     take = F.least(F.lit(k), n)

@@ -199,3 +199,14 @@ def test_key_edges_across_blocks(spark):
     got = sorted((r["frame_idx"], r["event"], r["key"]) for r in events.key_edges(df, ["w", "a", "d"], rows=4).collect())
     assert got == [(3, "press", "w"), (6, "press", "a"), (9, "release", "w"), (12, "release", "a"), (15, "press", "d"),
                    (18, "release_all", "d")]
+
+
+def test_order_statistics_of_nearly_constant_values(spark):
+    """Values that share one cell: the sorted part is a small share of them."""
+    values = [66.7 + i * 1e-6 for i in range(5000)] + [66.7] * 40 + [1.0, 9e9]
+    df = spark.createDataFrame([("s", float(x)) for x in values], "session string, x double")
+    got = ordered.order_statistics(df, ["session"], "x", {"mid": F.floor(F.col("n") / 2), "last": F.col("n") - 1}).first()
+    assert (got.n, got.mid, got.last) == (len(values), sorted(values)[len(values) // 2], 9e9)
+    cells = df.select(F.lit("mid").alias("name"), F.col("x").alias("_v"), F.lit(1).alias("_c"), F.lit(0).alias("_off"),
+                      F.lit(2500).alias("rank")).where("_v between 60 and 70")
+    assert ordered._narrowed(cells, ["name"]).count() <= 100
