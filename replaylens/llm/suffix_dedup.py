@@ -29,7 +29,7 @@ from .shingles import mix
 
 LENGTH, GRAM = 100, 32
 #: Bytes of surroundings in a shard, and different surroundings of one anchor above which it is spread.
-SHARD, SPREAD = 1 << 21, 10_000
+SHARD, SPREAD = 1 << 20, 5_000
 _BASE = 0x9E3779B97F4A7C15
 _NONE = -(1 << 62)  # stands for a null doc_id
 
@@ -155,7 +155,7 @@ def _occurrences(length: int, gram: int):
                     seen.clear()
                 held.append((doc_id, tag, raw))
                 size += len(raw)
-                if size > 4 << 20:
+                if size > 1 << 20:
                     yield chunk(held, powers)
                     held, size = [], 0
             if held:
@@ -170,36 +170,37 @@ def suffix_classes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndar
     theirs alone keep it and are not sorted again. ``length`` is at least 8.
     """
     n = len(data)
-    padded = np.zeros(n + length, dtype=np.uint64)
+    padded = np.zeros(n + 8, dtype=np.uint64)
     padded[:n] = data
-    head = np.zeros(n, dtype=np.uint64)
+    keys = np.zeros(n, dtype=np.uint64)
     for j in range(8):
-        head = (head << np.uint64(8)) | padded[j:j + n]
-    _, first, rank, sizes = np.unique(head, return_index=True, return_inverse=True, return_counts=True)
-    rank = (np.cumsum(sizes) - sizes)[rank]  # a group's rank is the place of its first suffix
-    single = np.bincount(rank, minlength=n)[rank] == 1
-    depth = 8
-    while depth < length:
+        keys = (keys << np.uint64(8)) | padded[j:j + n]
+    order, base = np.arange(n, dtype=np.int32), np.zeros(n, dtype=np.int32)  # open places, and where their group begins
+    rank, depth = np.zeros(n, dtype=np.int32), 8
+    while True:
+        by = np.argsort(keys)
+        keys, order = keys[by], order[by]  # groups keep their places: the key begins with the rank
+        new = np.ones(len(keys) + 1, dtype=bool)
+        new[1:-1] = keys[1:] != keys[:-1]
+        at = np.flatnonzero(new)
+        sizes = np.diff(at)
+        # A group's rank is the place of its first suffix: that of the old group and what stands before in it.
+        begin = base[by][at[:-1]]
+        old = np.ones(len(begin), dtype=bool)
+        old[1:] = begin[1:] != begin[:-1]
+        first = np.maximum.accumulate(np.where(old, at[:-1], 0))
+        rank[order] = ranks = np.repeat((begin + at[:-1] - first).astype(np.int32), sizes)
+        if depth >= length:
+            return rank[starts]
+        still = np.repeat(sizes > 1, sizes)
+        order, base = order[still], ranks[still]
+        if not len(order):
+            return rank[starts]
         further = min(depth, length - depth)
-        ahead = np.zeros(n, dtype=np.int64)
-        ahead[:n - further] = rank[further:] + 1
-        open_ = np.flatnonzero(~single)
-        if not len(open_):
-            break
-        order = open_[np.lexsort((ahead[open_], rank[open_]))]
-        r, a = rank[order], ahead[order]
-        group = np.ones(len(order), dtype=bool)
-        group[1:] = r[1:] != r[:-1]
-        new = group.copy()
-        new[1:] |= a[1:] != a[:-1]
-        first_of = np.maximum.accumulate(np.where(group, np.arange(len(order)), 0))
-        step = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0)) - first_of
-        after = rank.copy()
-        after[order] = r + step
-        rank = after
-        single = np.bincount(rank, minlength=n)[rank] == 1
+        ahead = np.zeros(n + further, dtype=np.uint64)
+        ahead[:n - further] = rank[further:].astype(np.uint64) + np.uint64(1)
+        keys = (base.astype(np.uint64) << np.uint64(32)) | ahead[order]
         depth += further
-    return rank[starts]
 
 
 def _shard_repeats(rows: list[tuple], length: int) -> pd.DataFrame:
@@ -215,15 +216,15 @@ def _shard_repeats(rows: list[tuple], length: int) -> pd.DataFrame:
     same = suffix_classes(data, begins[row] + inside, length)
     texts = [r[:2] for r in rows]
     number = np.cumsum([0] + [x != y for x, y in zip(texts, texts[1:])])  # of the text, in order
-    at = np.array([r[2] for r in rows])[row] + inside
-    text = number[row]
-    order = np.lexsort((at, text, same))
-    same, text, at = same[order], text[order], at[order]
+    place = (number[row] << 40) | (np.array([r[2] for r in rows])[row] + inside)
+    order = np.argsort(same)
+    same, place = same[order], place[order]
     new = np.ones(len(same), dtype=bool)
     new[1:] = same[1:] != same[:-1]
-    first = np.maximum.accumulate(np.where(new, np.arange(len(same)), 0))
-    again = (text != text[first]) | (at != at[first])
-    start, end, owner = _joined(at[again], at[again] + length, text[again])
+    first = np.minimum.reduceat(place, np.flatnonzero(new))
+    again = place[place != first[np.cumsum(new) - 1]]
+    text, at = again >> 40, again & ((1 << 40) - 1)
+    start, end, owner = _joined(at, at + length, text)
     of = np.flatnonzero(np.diff(number, prepend=-1))
     return pd.DataFrame({"doc_id": [rows[of[o]][0] for o in owner], "tag": [rows[of[o]][1] for o in owner],
                          "start": start, "end": end})
