@@ -973,6 +973,20 @@ def linear_probe(spark, d):
     return training.run_probe(rows, lengths, balanced=True)["lift"]
 
 
+@query("""select key, count(*) as n, count(*) filter (held) as held, 0.0::double as excess from embeddings, lateral (values
+  ('w', label % 2 = 0), ('a', label % 3 = 1), ('s', label % 4 = 2), ('d', label % 5 = 3)) x(key, held) group by 1""")
+def probe_optimum(spark, d):
+    """At the optimum the intercept's gradient is zero: the mean prediction on TRAIN is the share of frames held."""
+    rows = _probe_rows(spark, d)
+    lengths = rows.groupBy("session").agg(F.count(F.lit(1)).alias("n_frames"))
+    pred = training.run_probe(rows, lengths, balanced=True)["predictions"]
+    each = pred.select("side", F.posexplode(F.arrays_zip("probs", "truth")).alias("at", "x"))
+    excess = F.avg(F.when(F.col("side") == "train", F.col("x.probs") - F.col("x.truth")))
+    return each.groupBy(F.element_at(F.array(*map(F.lit, PROBE_KEYS)), F.col("at") + 1).alias("key")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("x.truth") == 1).alias("held"),
+        F.abs(F.round(excess, 3)).alias("excess"))
+
+
 @query()
 def movement_baseline(spark, d):
     f = v.frames(spark, d).withColumn("features", F.transform(

@@ -6,8 +6,6 @@ look_pred ARRAY, look_true ARRAY); look predictions may be standardized.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,7 +146,3 @@ def baseline_verdict(volume: DataFrame) -> DataFrame:
            | (F.col("holdout_windows") == 0))
     return agg.withColumn("verdict", F.when(F.col("holdout_windows") == 0, "NO GENERALISATION MEASURED")
                           .when(few, "PROVISIONAL").otherwise("COMMITTED"))
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

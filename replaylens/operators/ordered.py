@@ -203,12 +203,14 @@ def running_total(df: DataFrame, key: str, value: str, name: str = "before",
                   blocks: int = ORDER_BLOCKS) -> DataFrame:
     """Sum of ``value`` over all rows before this one in the order of a unique ``key``."""
     blocked = order_blocks(df, key, blocks)
+    # Whole numbers are added as such: doubles would lose units above 2**53.
+    wide = "double" if df.schema[value].dataType.simpleString() in ("float", "double") else "bigint"
     # At most `blocks` sums: one small array, read as a scalar.
-    totals = (blocked.groupBy(BLOCK).agg(F.sum(value).alias("_in"))
+    totals = (blocked.groupBy(BLOCK).agg(F.sum(value).cast(wide).alias("_in"))
               .agg(F.collect_list(F.struct(BLOCK, "_in")).alias("_sums"))
               .select(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.aggregate(
                   F.filter("_sums", lambda s: s[BLOCK] < b),
-                  F.lit(0).cast("double"), lambda acc, s: acc + s["_in"])).alias("_base")))
+                  F.lit(0).cast(wide), lambda acc, s: acc + s["_in"])).alias("_base")))
     inside = Window.partitionBy(BLOCK).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     kind = df.schema[value].dataType
     return (blocked.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)))

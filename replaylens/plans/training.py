@@ -136,7 +136,7 @@ def run_probe(features: DataFrame, lengths: DataFrame | None, keys: list[str] =
 
 
 def run_baseline(frames: DataFrame, split: DataFrame, keys: list[str] = MOVEMENT_KEYS,
-                 length: int = WINDOW_FRAMES, times: int = 1, look_weight: float = 1.0) -> dict[str, DataFrame]:
+                 length: int = WINDOW_FRAMES, times: int = 1) -> dict[str, DataFrame]:
     """The movement baseline: one linear model per key and look axis on window features.
 
     ``frames`` holds (session, frame_idx, features, dx, dy, k_<key>...), after the
@@ -157,10 +157,9 @@ def run_baseline(frames: DataFrame, split: DataFrame, keys: list[str] = MOVEMENT
         fit_rows = fit_rows.withColumn(f"{a}_z", standardize(
             F.col(a).cast("double"), F.col(f"_st.{a}_mean"), F.col(f"_st.{a}_std")))
     # MLlib keeps its own copy while it iterates; each fit reads this table once.
-    fit_rows = written(probe.scale(fit_rows, scaling).withColumn("_w", F.lit(float(look_weight)))
-                       .drop("features", "_st"), "train")
+    fit_rows = written(probe.scale(fit_rows, scaling).drop("features", "_st"), "train")
     key_models, fit = probe.fit_keys(fit_rows, keys, tol=1e-6)
-    look_models = probe.fit_look(fit_rows, weight="_w" if look_weight != 1.0 else None)
+    look_models = probe.fit_look(fit_rows)
     pred = probe.predict_look(probe.predict_keys(probe.scale(windows, scaling), key_models, keys), look_models)
     pred = pred.select("session", "last_idx", "side", "probs", "truth", "look_pred", "look_true")
     lifts = evaluate.key_lift(pred, keys, baseline_from="train")
