@@ -102,8 +102,8 @@ def _joined(start: np.ndarray, end: np.ndarray, owner: np.ndarray) -> tuple[np.n
 
 
 def text_tag(raw: bytes) -> int:
-    """31 bits that tell apart different texts under one doc_id."""
-    return xxhash.xxh3_64_intdigest(raw) >> 33
+    """31 bits that tell apart different texts under one doc_id, as Spark's xxhash64 has them."""
+    return xxhash.xxh64_intdigest(raw, seed=42) & ((1 << 31) - 1)
 
 
 def _occurrences(length: int, gram: int):
@@ -336,8 +336,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
         out = []
         for t, found in zip(text, spans):
             raw = t.encode()
-            tag = text_tag(raw)
+            tag = text_tag(raw) if found is not None else None
             mine = [s for s in found if s["tag"] == tag] if found is not None else []
+            if not mine:
+                out.append((raw, len(raw), 0, 0))
+                continue
             gone = np.zeros(len(raw) + 1, dtype=np.int32)
             for s in mine:
                 gone[min(s["start"], len(raw))] += 1
@@ -360,8 +363,5 @@ def whole_characters(kept: Column) -> Column:
     return decode(kept)
 
 
-def _tag(name: str):
-    @F.pandas_udf("long")
-    def tag(text: pd.Series) -> pd.Series:
-        return pd.Series([text_tag(t.encode()) for t in text])
-    return tag(name)
+def _tag(name: str) -> Column:
+    return F.xxhash64(name).bitwiseAND((1 << 31) - 1)
