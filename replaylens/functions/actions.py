@@ -59,6 +59,7 @@ def action_text(keys="keys", key_names="key_names", lclick="lclick", rclick="rcl
         return F.when(text == "", F.lit("-")).otherwise(text)
     clicks = F.concat(F.when(F.col(lclick) > 0, "L").otherwise(""),
                       F.when(F.col(rclick) > 0, "R").otherwise(""))
+    # Fixed value: the layout of readouts.
     return F.format_string("keys[%s]  click[%s]  mouse(dx=%+d, dy=%+d)",
                            or_dash(F.array_join(held_keys(keys, key_names), "+")),
                            or_dash(clicks), F.col(dx), F.col(dy))

@@ -15,6 +15,7 @@ SESSION_SCHEMA = ("session STRING, path STRING, is_folder BOOLEAN, modified TIME
                   "schema_version INT, geom STRING, loop_fps_target INT, chunks ARRAY<STRING>, "
                   "total_frames LONG, complete BOOLEAN, readable BOOLEAN")
 
+# The reasons as reports name them.
 UNREADABLE = "manifest unreadable"
 INCOMPLETE = "incomplete (complete=false)"
 EMPTY = "no chunks listed (empty session)"
