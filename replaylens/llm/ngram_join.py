@@ -7,7 +7,7 @@ probed for candidates, by binary search in the candidate's sorted set.
 
 Equal sets are one class before anything is compared. Shingles of more than a fixed share of all documents come last
 in the order that says which lists are short. A first search offers each class only the least and the greatest class
-of its lists; the one it shares most lists with is its leader. Classes with one leader, such as the copies of a text
+of its lists; those it shares most lists with are its leaders. Classes with one leader, such as the copies of a text
 with ever more edits, are compared in blocks, where common shingles are counted by a matrix product, but for those that
 are tied by the leader itself. The second, whole search finds the links between classes of different leaders that are
 not connected yet, so that a group of near copies is never spelled out in pairs.
@@ -250,12 +250,18 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         best.alias("best")).select("class", "down", F.col("best.to").alias("to")), "stars")
     first = written(probe(stars_.select(F.col("class").alias("a"), F.col("to").alias("b")), sets, percent).select(
         "a", "b"), "links")
-    leaders = active.select("class").join(stars_.where("down").select("class", "to"), "class", "left").select(
-        F.coalesce("to", "class").alias("leader"), "class")
-    members = leaders.join(first.select(F.col("a").alias("class"), F.col("b").alias("leader"), F.lit(True).alias("_t")),
-                           ["class", "leader"], "left").select(
-        "leader", "class", F.coalesce("_t", F.col("class") == F.col("leader")).alias("tied"))
-    links = first.unionAll(block_links(members, sets, percent))
+    # Each class has a leader among lesser and one among greater classes; itself where there is none.
+    led = [stars_.where(side).select("class", F.col("to").alias(name)) for side, name in (
+        ("down", "leader"), ("not down", "upper"))]
+    leaders = active.select("class").join(led[0], "class", "left").join(led[1], "class", "left").select(
+        "class", F.coalesce("leader", "class").alias("leader"), F.coalesce("upper", "class").alias("upper"))
+    links = first
+    for name in ("leader", "upper"):
+        members = leaders.select(F.col(name).alias("leader"), "class").join(
+            first.select(F.col("a").alias("class"), F.col("b").alias("leader"), F.lit(True).alias("_t")),
+            ["class", "leader"], "left").select(
+            "leader", "class", F.coalesce("_t", F.col("class") == F.col("leader")).alias("tied"))
+        links = links.unionAll(block_links(members, sets, percent))
     twice = classes.where("doc_id is not null").groupBy("doc_id").agg(
         F.min("class").alias("a"), F.max("class").alias("b"), F.count_distinct("class").alias("k")).where("k > 1")
     same = classes.join(twice.select("doc_id", "a"), "doc_id").select("a", F.col("class").alias("b"))
@@ -265,12 +271,14 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     # Second search: all pairs on the lists that are not connected yet.
     placed = shared.select("shingle", "class", "n").join(leaders, "class").join(
         known.withColumnRenamed("node", "class"), "class", "left")
-    placed = placed.withColumn("group", F.coalesce("component", "class")).select("shingle", "class", "n", "group", "leader")
+    placed = placed.withColumn("group", F.coalesce("component", "class")).select(
+        "shingle", "class", "n", "group", "leader", "upper")
     mixed = placed.groupBy("shingle").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi")
     placed = written(placed.join(mixed.select("shingle"), "shingle"), "placed")
     x, y = placed.alias("x"), placed.alias("y")
     pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.class") < F.col("y.class"))
                    & (F.col("x.group") != F.col("y.group")) & (F.col("x.leader") != F.col("y.leader"))
+                   & (F.col("x.upper") != F.col("y.upper"))
                    & _near_in_size(F.col("x.n"), F.col("y.n"), percent))
     pairs = pairs.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b"),
                           F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count("*").alias("k"))
