@@ -21,10 +21,12 @@ from pyspark.sql.types import LongType
 
 #: The model is fitted on at most this many labelled rows of each class, the ones with the lowest hash.
 MAX_EXAMPLES = 4096
-#: Terms need this likelihood ratio, this share of the best term's, and this many documents.
-MAX_TERMS, LEAST_G2, LEAST_SHARE, LEAST_DOCS = 256, 15.1, 0.08, 3
+#: Terms need this likelihood ratio and this many documents.
+LEAST_G2, LEAST_DOCS = 15.1, 3
 NEIGHBOURS, BLOCK, SHARPNESS, PRIOR_VOTES = 25, 64, 2.0, 0.1
 THRESHOLD = 0.7
+#: Queries of more terms add up whole posting lists; the neighbours are the same.
+FEW_TERMS = 2
 
 _SPACED = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
@@ -89,50 +91,88 @@ class Index:
     def __init__(self, terms: list[bytes], idf, counts: list[dict[int, int]], toxic, ids, weight: tuple[float, float]):
         self.terms = Terms({t: i for i, t in enumerate(terms)})
         self.idf = np.asarray(idf, dtype=np.float64)
-        vectors = np.array([self.vector(c) for c in counts]).reshape(len(counts), len(terms))
-        order = np.lexsort((np.asarray(ids), *(-vectors.T[::-1]))) if len(counts) else np.zeros(0, int)
+        vectors = [self.weights(c) for c in counts]  # (terms, weights) of each example
+        order = np.array(sorted(range(len(counts)), key=lambda i: (
+            [*zip(vectors[i][0].tolist(), (-vectors[i][1]).tolist()), (len(terms), 0.0)], ids[i])), dtype=int)
         self.toxic = np.asarray(toxic, dtype=np.float64)[order]
         self.ids = np.asarray(ids, dtype=np.int64)[order]
         self.weight = np.where(self.toxic > 0, weight[1], weight[0])
         total = self.weight.sum()
         self.prior = float((self.weight * self.toxic).sum() / total) if total else 0.0
-        vectors = vectors[order]
-        some = vectors.any(axis=1)
+        vectors = [vectors[i] for i in order]
+        some = np.array([len(at) > 0 for at, _ in vectors], dtype=bool)
         empty = ~some
         w = self.weight[empty]
         self.blank = float(((w * self.toxic[empty]).sum() + PRIOR_VOTES * self.prior) / (w.sum() + PRIOR_VOTES))
-        self.toxic, self.ids, self.weight, vectors = (x[some] for x in (self.toxic, self.ids, self.weight, vectors))
+        self.toxic, self.ids, self.weight = (x[some] for x in (self.toxic, self.ids, self.weight))
+        vectors = [v for v in vectors if len(v[0])]
         n = len(vectors)
         self.starts = list(range(0, n, BLOCK))
-        self.most = np.array([vectors[s:s + BLOCK].max(axis=0) for s in self.starts]).reshape(len(self.starts), len(terms))
         self.postings = []  # per block: term -> (rows, weights)
-        for s in self.starts:
+        most: dict[int, list[tuple[int, float]]] = {}  # term -> its blocks with their largest weight
+        for b, s in enumerate(self.starts):
             part = vectors[s:s + BLOCK]
-            self.postings.append({t: (r := np.flatnonzero(part[:, t]), part[r, t])
-                                  for t in np.flatnonzero(part.any(axis=0)).tolist()})
+            at = np.concatenate([t for t, _ in part])
+            by_term = np.argsort(at, kind="stable")
+            row = np.repeat(np.arange(len(part)), [len(t) for t, _ in part])[by_term]
+            weights = np.concatenate([w for _, w in part])[by_term]
+            found, first = np.unique(at[by_term], return_index=True)
+            self.postings.append({t: (r, w) for t, r, w in zip(
+                found.tolist(), np.split(row, first[1:]), np.split(weights, first[1:]))})
+            for t, (_, w) in self.postings[b].items():
+                most.setdefault(t, []).append((b, w.max()))
+        self.most = {t: (np.array([b for b, _ in x]), np.array([w for _, w in x])) for t, x in most.items()}
+        self.whole = {t: tuple(np.concatenate(x) for x in zip(*(
+            (self.postings[b][t][0] + self.starts[b], self.postings[b][t][1]) for b in blocks.tolist())))
+            for t, (blocks, _) in self.most.items()}  # term -> (rows, weights) over all blocks
         self.size = n
         self.known: dict[bytes, tuple[float, list[int]]] = {}
 
+    def weights(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The terms in ``counts``, ascending, and their weights in the unit vector."""
+        at = np.array(sorted(counts), dtype=int)
+        w = (1 + np.log(np.array([counts[i] for i in at.tolist()], dtype=np.float64))) * self.idf[at]
+        norm = np.sqrt((w * w).sum())
+        return at, w / norm if norm else w
+
     def vector(self, counts: dict[int, int]):
         v = np.zeros(len(self.idf))
-        for i, c in counts.items():
-            v[i] = (1 + np.log(c)) * self.idf[i]
-        norm = np.sqrt((v * v).sum())
-        return v / norm if norm else v
+        at, w = self.weights(counts)
+        v[at] = w
+        return v
 
     def nearest(self, v, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest examples with a cosine above 0; ties go to the lower row."""
-        terms = np.flatnonzero(v).tolist()
-        bound = self.most[:, terms] @ v[terms] if len(self.most) else np.zeros(0)
+        at = np.flatnonzero(v)
+        return self.nearest_to(at, v[at], k)
+
+    def nearest_to(self, at, weights, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        """``nearest`` of the vector with ``weights`` of the terms ``at``."""
+        query = [(t, w) for t, w in zip(at.tolist(), weights.tolist()) if t in self.most]
+        if len(query) > FEW_TERMS:  # bounds of many terms leave hardly a block out
+            score = np.zeros(self.size)
+            for t, w in query:
+                score[self.whole[t][0]] += w * self.whole[t][1]
+            rows = np.flatnonzero(score > 0)
+            cosines = np.round(score[rows], 12)
+            if len(rows) > k:
+                near = cosines >= np.partition(cosines, -k)[-k]
+                rows, cosines = rows[near], cosines[near]
+            top = np.lexsort((rows, -cosines))[:k]
+            return rows[top], cosines[top]
+        bound = np.zeros(len(self.starts))
+        for t, w in query:
+            blocks, most = self.most[t]
+            bound[blocks] += w * most
         rows, cosines = np.zeros(0, int), np.zeros(0)
         for b in np.argsort(-bound, kind="stable"):
             if bound[b] <= 0 or len(rows) == k and bound[b] < cosines[-1] - 1e-12:
                 break
             s = self.starts[b]
             score = np.zeros(min(BLOCK, self.size - s))
-            for t in terms:
+            for t, w in query:
                 if hit := self.postings[b].get(t):
-                    score[hit[0]] += v[t] * hit[1]
+                    score[hit[0]] += w * hit[1]
             some = np.flatnonzero(score > 0)
             rows, cosines = np.concatenate([rows, some + s]), np.concatenate([cosines, np.round(score[some], 12)])
             top = np.lexsort((rows, -cosines))[:k]
@@ -148,7 +188,7 @@ class Index:
         if key not in self.known:
             if len(self.known) > 100_000:
                 self.known.clear()
-            rows, cosines = self.nearest(self.vector(counts))
+            rows, cosines = self.nearest_to(*self.weights(counts))
             votes = cosines ** SHARPNESS * self.weight[rows]
             score = ((votes * self.toxic[rows]).sum() + PRIOR_VOTES * self.prior) / (votes.sum() + PRIOR_VOTES)
             self.known[key] = float(score), self.ids[rows[:3]].tolist()
@@ -158,7 +198,7 @@ class Index:
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Index:
     """The index over at most ``max_examples`` labelled rows of each class that are not held out.
 
-    What reaches the driver is bounded: 256 terms, and term counts of the examples. Labels other than 0 and 1 and
+    What reaches the driver is bounded by the examples: the terms that pass among theirs, and their term counts. Labels other than 0 and 1 and
     null ids are left out; a page with both labels counts as toxic.
     """
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(
@@ -183,8 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     g2 = 2 * (part(F.col("a"), n1, df / (n1 + n0)) + part(F.col("b"), n0, df / (n1 + n0))
               + part(n1 - F.col("a"), n1, 1 - df / (n1 + n0)) + part(n0 - F.col("b"), n0, 1 - df / (n1 + n0)))
     best = counts.where(df >= LEAST_DOCS).select("term", df.alias("df"), g2.alias("g2")).where(
-        F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "term").limit(MAX_TERMS).collect() if n1 and n0 else []
-    best = [r for r in best if r.g2 >= LEAST_SHARE * best[0].g2]
+        F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "term").collect() if n1 and n0 else []
     terms, idf = [bytes(r.term) for r in best], [float(np.log(1 + (n1 + n0) / r.df)) for r in best]
     at = {t: i for i, t in enumerate(terms)}
 
@@ -209,7 +248,7 @@ def score_documents(docs: DataFrame, index: Index, threshold: float = THRESHOLD)
     Only the text is looked at. Null and empty texts score as examples without any of the terms do. Repeated rows
     stay. Columns of ``docs`` named like the new ones are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # at most 2 * MAX_EXAMPLES short vectors
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # at most 2 * MAX_EXAMPLES sparse vectors
 
     @F.pandas_udf("struct<score: double, evidence: array<long>>")
     def judge(text: pd.Series) -> pd.DataFrame:

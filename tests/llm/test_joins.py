@@ -202,6 +202,20 @@ def test_toxicity(spark, docs, no_docs):
     assert blank.score("vile")[0] == 0.0 and blank.size == 0
 
 
+def test_toxicity_keeps_rare_terms(spark):
+    rows, labels = [], []
+    for i in range(1200):
+        words = invented(5000 + i, 40).split(" ")
+        if i % 3 == 0:  # one common insult in most toxic texts, a rare one in the rest
+            words[i % 40] = "gallowsbird" if i % 60 else "knave"
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 3 == 0)))
+    index = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"),
+                         spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    score, evidence = index.score("some knave went by")
+    assert b"knave" in index.terms.at and score > 0.7 and evidence and all(i % 60 == 0 for i in evidence)
+
+
 def test_urls(spark, tmp_path):
     hosts = ["www.example.com", "a.example.com", "b.shop.net", "c.shop.net", "x.org", "EXAMPLE.com", "badexample.com"]
     rng, pages, labels = random.Random(7), [], []
