@@ -77,12 +77,13 @@ def _document_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 @F.pandas_udf(LongType())
-def _least_shingle(text: pd.Series) -> pd.Series:
-    """The least hash of a text's five-word shingles (of all its words if there are fewer)."""
-    def least(t):
+def _shingle_set(text: pd.Series) -> pd.Series:
+    """A hash of the set of a text's five-word shingles (of all its words if there are fewer)."""
+    def whole(t):
         w = words(t)
-        return min(xxhash.xxh3_64_intdigest(b" ".join(w[i:i + 5])) for i in range(max(1, len(w) - 4))) - (1 << 63)
-    return pd.Series([least(t) for t in text])
+        found = {xxhash.xxh3_64_intdigest(b" ".join(w[i:i + 5])) for i in range(max(1, len(w) - 4))}
+        return xxhash.xxh3_64_intdigest(np.array(sorted(found), dtype=np.uint64).tobytes()) - (1 << 63)
+    return pd.Series([whole(t) for t in text], dtype="int64")
 
 
 class Index:
@@ -210,8 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
         chosen = part if chosen is None else chosen.unionAll(part)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * max_examples ids
     texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    # Copies and near copies of a text are one case of its words: of those with one least shingle, one counts.
-    rows = texts.groupBy("toxic", _least_shingle("text").alias("near")).agg(F.min("text").alias("text"))
+    # Copies of a text are one case of its words: of those with the same set of shingles, and so of words, one counts.
+    rows = texts.groupBy("toxic", _shingle_set("text").alias("same")).agg(F.min("text").alias("text"))
     n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = float(n.get(1, 0)), float(n.get(0, 0))
     counts = rows.mapInPandas(_document_counts, "term binary, a long, b long").groupBy("term").agg(

@@ -216,6 +216,19 @@ def test_toxicity_keeps_rare_terms(spark):
     assert b"knave" in index.terms.at and score > 0.7 and evidence and all(i % 60 == 0 for i in evidence)
 
 
+def test_toxicity_counts_texts_with_a_common_passage(spark):
+    passage, rows, labels = invented(2001, 300), [], []
+    for i in range(200):  # many have the passage, but words of their own besides
+        words = invented(6000 + i, 6) + (" cutpurse" if i % 4 == 0 else "")
+        rows.append((i, f"{passage} {words}" if i % 4 == 0 or i % 8 < 4 else words))
+        labels.append((i, 1, int(i % 4 == 0)))
+    rows += [(1000 + i, "onceword " + rows[0][1]) for i in range(20)]  # equal texts are one
+    labels += [(1000 + i, 1, 1) for i in range(20)]
+    index = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"),
+                         spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert b"cutpurse" in index.terms.at and b"onceword" not in index.terms.at
+
+
 def test_urls(spark, tmp_path):
     hosts = ["www.example.com", "a.example.com", "b.shop.net", "c.shop.net", "x.org", "EXAMPLE.com", "badexample.com"]
     rng, pages, labels = random.Random(7), [], []
