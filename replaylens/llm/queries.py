@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, chat, embeddings, fingerprints, licenses, ngram_join, packing, suffix_dedup, toxicity,
-               url_filters)
+from . import (bpe, chat, clustering, embeddings, fingerprints, hard_negatives, licenses, line_dedup, ngram_join,
+               packing, suffix_dedup, toxicity, url_filters)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +63,23 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_bpe, op3_ngram_join, op4_fingerprints, op5_packing, op6_url_filters, op7_toxicity, op8_suffix_dedup, op9_chat, op10_license_scan)}
+def op11_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_clustering(spark, sf_dir):
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_line_dedup(spark, sf_dir):
+    found = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_embedding_dedup, op2_bpe, op3_ngram_join, op4_fingerprints, op5_packing, op6_url_filters, op7_toxicity,
+    op8_suffix_dedup, op9_chat, op10_license_scan, op11_hard_negatives, op12_clustering, op13_line_dedup)}
 _CONTROL = chat.CONTROL % ""
 _SEGMENT_CHARS = " + ".join(f"length(regexp_replace({c}, '{_CONTROL}', '\\1\\\\\\2\\3', 'g'))" for c in ("role", "text"))
 CHAT_SQL = f"""
@@ -76,4 +92,6 @@ select conv_id, count(*) as n_turns,
            as loss_sha256,
        sum(10 + {_SEGMENT_CHARS})::bigint as formatted_chars
 from t group by 1"""
-ORACLES = {"op9_chat": CHAT_SQL, "op6_url_filters": url_filters.oracle_sql(), "op10_license_scan": licenses.oracle_sql()}
+ORACLES = {"op9_chat": CHAT_SQL, "op6_url_filters": url_filters.oracle_sql(), "op10_license_scan": licenses.oracle_sql(),
+           "op11_hard_negatives": hard_negatives.oracle_sql(), "op12_clustering": clustering.oracle_sql(),
+           "op13_line_dedup": line_dedup.oracle_sql()}
