@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from replaylens.fixed_values import CENTRE_CROP, FRAME_HW, RADAR_HW
 from replaylens.functions.pixels import crop_images
 from replaylens.operators import split, validate
+from replaylens.operators.validate import counted_frames
 from replaylens.plans.training import open_recordings
-from replaylens.session import shared_folder
+from replaylens.session import shared_folder, written
 from replaylens.sources.chunks import SCALAR_ARRAYS, read_headers
 from replaylens.sources.manifests import listed_chunks, scan_sessions, usable_sessions
 
@@ -28,6 +29,8 @@ from .queries import query, text
 # Version by session: every third has no state, every third no minimap either; every tenth was never finished.
 _STORED = "user_id % 10 <> 0"
 _VERSION = "case user_id % 3 when 0 then 2 when 1 then 3 else 5 end"
+# Some of those without minimaps are bare files of the first version, which are always finished.
+_BARE = "user_id % 6 = 3"
 _FIRST = {"radar": 3, "alive": 4, "round_phase": 4, "health": 5, "active_weapon": 5, "ammo_clip": 5, "ammo_reserve": 5}
 _KIND = {"timestamps": "f8", "keys": "u1", "lclick": "u1", "rclick": "u1", "dx": "i4", "dy": "i4", "alive": "u1",
          "round_phase": "U16", "health": "u1", "active_weapon": "U24", "ammo_clip": "i2", "ammo_reserve": "i2"}
@@ -58,7 +61,8 @@ def _write_chunk(root: str):
         np.savez_compressed(held, **arrays, key_names=np.array(list(first["key_names"]), dtype=str), geom=np.array("generated"),
                             schema_version=np.array(first["version"]), loop_fps_target=np.array(15))
         name = f"chunk_{first['chunk_idx']:05d}.npz"
-        _put(f"{root}/{first['session']}/{name}", held.getvalue())
+        place = f"{root}/{first['session']}.npz" if first["version"] == 1 else f"{root}/{first['session']}/{name}"
+        _put(place, held.getvalue())
         return pd.DataFrame({"session": [first["session"]], "user_id": first["user_id"], "version": first["version"],
                              "file": name, "n": len(rows)})
     return write
@@ -67,7 +71,7 @@ def _write_chunk(root: str):
 def _write_manifests(root: str):
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.to_dict("records"):
+            for row in batch[batch["version"] > 1].to_dict("records"):
                 _put(f"{root}/{row['session']}/manifest.json", json.dumps({
                     "schema_version": row["version"], "session": row["session"], "geom": "generated",
                     "loop_fps_target": 15, "chunks": list(row["files"]), "total_frames": row["n"],
@@ -76,12 +80,27 @@ def _write_manifests(root: str):
     return write
 
 
-def stored_sessions(spark: SparkSession, d: str) -> str:
-    """All events as session folders in the shared folder; the folder's name."""
+_WRITTEN: dict[tuple, str] = {}
+
+
+def stored_sessions(spark: SparkSession, d: str, bare: bool = False) -> str:
+    """All events as session folders in the shared folder, some as bare files if asked for; the folder's name.
+
+    Several queries read the same files, so they are written once for each application.
+    """
+    key = (spark.sparkContext.applicationId, shared_folder(spark), d, bare)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = _write_sessions(spark, d, bare)
+    return _WRITTEN[key]
+
+
+def _write_sessions(spark: SparkSession, d: str, bare: bool) -> str:
     root = f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex}"
+    version, chunk = (f"case when {_BARE} then {a} else {b} end" if bare else b
+                      for a, b in (("1", _VERSION), ("0", "chunk_idx")))
     frames = v.frames(spark, d).selectExpr(
-        "session", "user_id", f"{_VERSION} as version", "chunk_idx", "frame_idx", "t as timestamps", "k", "key_names",
-        *[a for a in _KIND if a != "timestamps"])
+        "session", "user_id", f"{version} as version", f"{chunk} as chunk_idx", "frame_idx", "t as timestamps", "k",
+        "key_names", *[a for a in _KIND if a != "timestamps"])
     files = frames.groupBy("session", "chunk_idx").applyInPandas(
         _write_chunk(root), "session string, user_id long, version int, file string, n long")
     sessions = files.groupBy("session", "user_id", "version").agg(
@@ -97,11 +116,12 @@ def _since(version: int, column: str) -> str:
 _KEYS = " || ',' || ".join(f"k_{k}" for k in v.KEY_RULES)
 
 
-@query(f"""select session, chunk_idx, frame_idx, round(t, 3) as t, {_KEYS} as keys, lclick, rclick, dx, dy,
+@query(f"""select session, case when {_BARE} then 0 else chunk_idx end as chunk_idx, frame_idx, round(t, 3) as t, {_KEYS} as keys, lclick, rclick, dx, dy,
   {', '.join(_since(n, a) for a, n in _FIRST.items() if a != 'radar')}, n_frames, 15 as file_fps
   from (select *, {_VERSION} as version, count(*) over (partition by session) as n_frames from f) where {_STORED}""", v.FRAMES)
 def npz_roundtrip(spark, d):
-    frames = open_recordings(spark, stored_sessions(spark, d)).frames(SCALAR_ARRAYS)
+    """Folders of three versions and bare files together."""
+    frames = open_recordings(spark, stored_sessions(spark, d, bare=True)).frames(SCALAR_ARRAYS)
     return frames.drop("key_names", "side").withColumns({"keys": text("keys"), "t": F.round("t", 3)})
 
 
@@ -135,3 +155,36 @@ def stored_headers(spark, d):
     headers = read_headers(listed_chunks(scan_sessions(spark, stored_sessions(spark, d))))
     return headers.groupBy("session").agg(F.sum(F.col("lengths")["frames"]).alias("n_frames"),
                                           F.count("*").alias("n_chunks"), F.min("chunk_version").alias("version"))
+
+
+_ACTION = " || ',' || ".join([f"k_{k}" for k in v.KEY_RULES] + ["lclick", "rclick", "dx", "dy"])
+
+
+@query(f"""select event_id * 2 + again as pos, session, frame_idx, {_ACTION} as action,
+  sha256(repeat(chr(k + 1), {CENTRE_CROP[2] * CENTRE_CROP[3] * 3})) as digest, 0::bigint as n_not_served_once
+  from f join (values (0), (1)) r(again) on again = 0 or k % 7 = 0 where {_STORED}""", v.FRAMES)
+def serve_batch(spark, d):
+    """Every stored frame as a batch entry, in the order of events, and some of them twice."""
+    data = open_recordings(spark, stored_sessions(spark, d, bare=True))
+    again = F.explode(F.when(F.col("k") % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    request = v.frames(spark, d).where(_STORED).select(
+        "session", "frame_idx", "event_id", again.alias("again")).select(
+        (F.col("event_id") * 2 + F.col("again")).alias("pos"), "session", "frame_idx")
+    served = written(data.serve(request, "centre").select(
+        "pos", "session", "frame_idx", text(F.transform("action", lambda x: x.cast("int"))).alias("action"),
+        F.sha2("image", 256).alias("digest")), "served")
+    wrong = validate.not_served_once(request, served, ["pos", "session", "frame_idx"])
+    return served.withColumn("n_not_served_once", wrong.agg(F.count(F.lit(1))).scalar())
+
+
+@query(f"""select session, frame_idx, dx, n_frames from (select *, count(*) over (partition by session) as n_frames from f)
+  where {_STORED} and not (user_id % 3 = 2 and (alive = 0 or round_phase = 'freezetime'))
+  and not (user_id % 4 < 2 and k % 5 = 0)""", v.FRAMES)
+def served_with_mask(spark, d):
+    """Gameplay frames by masks of which some are stale and some absent, picked while decoding."""
+    data = open_recordings(spark, stored_sessions(spark, d, bare=True))
+    lengths = counted_frames(data.headers)
+    mask = v.frames(spark, d).where("user_id % 4 < 3").join(lengths, "session").select(
+        "session", "frame_idx", F.expr("k % 5 <> 0").alias("keep"),
+        (F.col("n_counted") + F.expr("case when user_id % 4 = 2 then 1 else 0 end")).alias("source_frames"))
+    return data.frames(["dx"], mask=mask, gameplay_filter=True).select("session", "frame_idx", "dx", "n_frames")

@@ -10,18 +10,20 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import (HOLDOUT_FRACTION, MOVEMENT_KEYS, PRESS_THRESHOLD, PROBE_HOLDOUT_FRACTION,
                             PROBE_KEYS, WINDOW_FRAMES)
-from ..functions.actions import key_columns, mouse_step, pressed_keys
+from ..functions.actions import action_vector, key_columns, mouse_step, pressed_keys
 from ..functions.numeric import standardize, unstandardize
+from ..functions.pixels import resolve_input
 from ..operators import evaluate, probe
 from ..operators.events import key_edges
 from ..operators.frames import above_threshold, even_sample, gameplay, stride_sample
 from ..operators.split import balanced_split, on_side, split_sessions, split_volume, with_side
 from ..operators.threshold import pooled_cut
 from ..operators.windows import flag_eventful, key_balance, look_balance, oversample, sliding_windows
-from ..operators.validate import counted_frames, header_alignment
+from ..operators.validate import counted_frames, header_alignment, require_radar
 from ..sources.chunks import chunks_to_sample, place_chunks, read_frames, read_headers, session_metadata
 from ..session import written
 from ..sources.manifests import listed_chunks, scan_sessions, usable_sessions
+from ..sources.serving import mask_slices, serve_by_chunk, serve_in_order
 
 
 @dataclass
@@ -54,21 +56,48 @@ class Dataset:
         path = F.when(F.col("_wrong").isNull(), F.col("chunk_path")).otherwise(F.raise_error(F.col("_wrong")))
         return checked.withColumn("chunk_path", path).drop("_wrong")
 
-    def frames(self, arrays: list[str] | None = None, sample: int | None = None) -> DataFrame:
+    def frames(self, arrays: list[str] | None = None, sample: int | None = None, mask: DataFrame | None = None,
+               gameplay_filter: bool = False) -> DataFrame:
         """Frames of all usable sessions with key names, side and session length.
 
         These are joined to the chunk list, so frames come out of the decoding task
         complete and are not shuffled here. Sessions that can't be served whole fail the
         job (see ``checked_chunks``). ``sample`` keeps that many evenly spaced
         frames per session and opens only the chunks that hold one.
+
+        ``mask`` is a keep-mask table, and with ``gameplay_filter`` frames that are dead or
+        in freezetime go too; both act inside the decoder, and frame indices stay those of
+        the recording. Stale and absent masks, and recordings without state, filter nothing.
         """
         placed = self.checked_chunks(arrays)
+        if mask is not None:
+            placed = mask_slices(mask, written(placed, "chunks"))
         if sample is not None:
             placed = chunks_to_sample(placed, sample)
         chunks = with_side(placed.join(self.metadata.select("session", "key_names", "file_fps"), "session"), self.split)
-        rows = read_frames(chunks, arrays, keep=["key_names", "side", "n_frames", "file_fps"])
+        rows = read_frames(chunks, arrays, keep=["key_names", "side", "n_frames", "file_fps"],
+                           gameplay_filter=gameplay_filter)
         return rows if sample is None else even_sample(rows, sample)
 
+    def serve(self, request: DataFrame, image="full", in_order: bool = False) -> DataFrame:
+        """(pos, session, frame_idx, image, action) for each row (pos, session, frame_idx) of ``request``.
+
+        ``image`` chooses the input: full, centre, radar or a rectangle. Every request is
+        answered exactly once, a frame asked for twice twice; one that doesn't exist fails
+        the job. If minimaps are asked for, all requested sessions without them are named
+        in one error before any chunk is read. ``in_order`` gives the rows in the order of
+        ``pos``, at the price of decoding a chunk for each batch that needs it.
+        """
+        source, _ = resolve_input(image)
+        if source == "radar":
+            asked = self.sessions.join(request.select("session"), "session", "left_semi")
+            require_radar(asked, self.headers)
+        own = self.headers.join(request.select("session"), "session", "left_semi")
+        placed = written(replace(self, headers=own).checked_chunks([source]), "chunks")
+        serve = serve_in_order if in_order else serve_by_chunk
+        rows = serve(request, placed, image, ["keys", "lclick", "rclick", "dx", "dy"])
+        return rows.select("pos", "session", "frame_idx", "image", action_vector().alias("action"))
+
     def balanced(self, fraction: float = PROBE_HOLDOUT_FRACTION) -> Dataset:
         """The same sessions under the frame-balanced split."""
         lengths = counted_frames(self.headers).withColumnRenamed("n_counted", "n_frames")

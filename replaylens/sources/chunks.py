@@ -3,7 +3,9 @@
 The chunk list is a DataFrame, so sessions are pruned by ordinary filters and
 joins before any file is opened, and each file is opened by the task that needs
 it. An npz keeps each array as its own zip member: arrays that are not asked for
-are not read, and headers alone give every length.
+are not read, and headers alone give every length. Members are decompressed as
+streams, so a task holds some rows of a chunk and never the whole of it, and rows
+that a mask, a filter or a request leaves out are dropped before they become rows.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..fixed_values import MANDATORY_ARRAYS, OPTIONAL_ARRAYS, SUPPORTED_VERSIONS
+from ..fixed_values import FREEZETIME, MANDATORY_ARRAYS, OPTIONAL_ARRAYS, SUPPORTED_VERSIONS
 from ..functions.pixels import as_binary
 from ..operators.ordered import even_positions
 
@@ -51,6 +53,48 @@ def _member(archive: zipfile.ZipFile, name: str) -> np.ndarray:
         return np.lib.format.read_array(f, allow_pickle=False)
 
 
+class StreamedArray:
+    """An array of a chunk, read some rows at a time.
+
+    Only the rows asked for are held. An array of several dimensions stored column by
+    column has no rows to stream, so that one is read whole.
+    """
+
+    def __init__(self, archive: zipfile.ZipFile, name: str):
+        self._file, self.name, self.at = archive.open(f"{name}.npy"), name, 0
+        version = np.lib.format.read_magic(self._file)
+        read = (np.lib.format.read_array_header_1_0 if version == (1, 0)
+                else np.lib.format.read_array_header_2_0)
+        self.shape, by_column, self.dtype = read(self._file)
+        if self.dtype.hasobject:
+            raise ValueError(f"array {name} holds Python objects")
+        self._row = self.dtype.itemsize * int(np.prod(self.shape[1:], dtype=np.int64))
+        self._whole = None
+        if by_column and len(self.shape) > 1:
+            data = np.frombuffer(self._file.read(), dtype=self.dtype)
+            self._whole = np.ascontiguousarray(data.reshape(self.shape, order="F"))
+
+    def read(self, rows: int) -> np.ndarray:
+        """The next ``rows`` rows."""
+        self.at += rows
+        if self._whole is not None:
+            return self._whole[self.at - rows:self.at]
+        data = self._file.read(rows * self._row)
+        if len(data) < rows * self._row:
+            raise ValueError(f"array {self.name} ends early")
+        return np.frombuffer(data, dtype=self.dtype).reshape(rows, *self.shape[1:])
+
+    def skip(self, rows: int) -> None:
+        """Pass over rows: they are decompressed but not kept."""
+        self.at += rows
+        left = rows * self._row if self._whole is None else 0
+        while left:
+            got = len(self._file.read(min(left, 1 << 20)))
+            if not got:
+                raise ValueError(f"array {self.name} ends early")
+            left -= got
+
+
 def _length(archive: zipfile.ZipFile, name: str) -> int | None:
     """Rows of an array, from its header only."""
     with archive.open(f"{name}.npy") as f:
@@ -127,70 +171,128 @@ def chunks_to_sample(placed: DataFrame, k: int) -> DataFrame:
     return placed.where(F.exists(even_positions(F.col("n_frames"), k), lambda p: p.between(first, last)))
 
 
+def _check(row: dict) -> int:
+    """Rows of a chunk; one that can't be served whole is refused."""
+    lengths, where = dict(row["lengths"]), row["chunk_path"]
+    if row["chunk_version"] is not None and row["chunk_version"] not in SUPPORTED_VERSIONS:
+        raise ValueError(f"{where}: schema_version={row['chunk_version']} is not supported")
+    missing = set(MANDATORY_ARRAYS) - set(lengths)
+    if missing:
+        raise ValueError(f"{where}: arrays {sorted(missing)} are missing")
+    if len(set(lengths.values())) > 1:
+        raise ValueError(f"{where}: arrays differ in length: {lengths}")
+    return lengths["frames"]
+
+
+def _in_play(blocks: dict[str, np.ndarray], rows: int) -> np.ndarray:
+    """Alive and not in freezetime, as far as the recording says so."""
+    served = np.ones(rows, dtype=bool)
+    if "alive" in blocks:
+        served &= blocks["alive"] > 0
+    if "round_phase" in blocks:
+        served &= blocks["round_phase"].astype(str) != FREEZETIME
+    return served
+
+
+def decode(row: dict, wanted: list[str], gameplay_filter: bool = False, picks: np.ndarray | None = None,
+           rows_per_batch: int = ROWS_PER_BATCH) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray]]]:
+    """(places in the chunk, arrays) of the rows to serve, at most ``rows_per_batch`` at a time.
+
+    ``row`` is a placed chunk. Its ``dropped`` bitmaps, if any, leave rows out, and so do
+    the gameplay filter and ``picks`` (sorted places; null serves all). Blocks without a
+    row to serve are passed over, and nothing behind the last pick is read.
+    """
+    n = _check(row)
+    have = [a for a in wanted if a in row["lengths"]]
+    sieve = [a for a in ("alive", "round_phase") if gameplay_filter and a in row["lengths"]]
+    dropped = None
+    if row.get("dropped"):
+        dropped = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little") for b in row["dropped"]])
+        dropped = np.pad(dropped, (0, max(0, n - len(dropped))))[:n].astype(bool)
+    if picks is not None:
+        if len(picks) and (picks[0] < 0 or picks[-1] >= n):
+            raise ValueError(f"{row['chunk_path']}: frame {picks[0]} or {picks[-1]} asked of {n}")
+        n = int(picks[-1]) + 1 if len(picks) else 0
+    with _open(row["chunk_path"]) as z:
+        arrays = {a: StreamedArray(z, a) for a in {*have, *sieve}}
+        for lo in range(0, n, rows_per_batch):
+            size = min(rows_per_batch, n - lo)
+            blocks = {a: arrays[a].read(size) for a in sieve}
+            served = _in_play(blocks, size)
+            if dropped is not None:
+                served &= ~dropped[lo:lo + size]
+            if picks is not None:
+                asked = np.zeros(size, dtype=bool)
+                asked[picks[np.searchsorted(picks, lo):np.searchsorted(picks, lo + size)] - lo] = True
+                served &= asked
+            at = np.flatnonzero(served)
+            for a in have:
+                if a in blocks:
+                    continue
+                if len(at):
+                    blocks[a] = arrays[a].read(size)
+                else:
+                    arrays[a].skip(size)
+            if len(at):
+                yield lo + at, {a: blocks[a] if len(at) == size else blocks[a][at] for a in have}
+
+
+def as_column(name: str, data: np.ndarray | None, rows: int) -> pa.Array:
+    """Rows of an array as an Arrow column of its type; an absent array is null."""
+    kind = _ARROW[ARRAY_TYPES[name]]
+    if data is None:
+        return pa.nulls(rows, kind)
+    if kind == pa.binary():
+        return as_binary(data)
+    if name == "keys":
+        part = np.ascontiguousarray(data.astype(np.int8))
+        at = pa.array(np.arange(rows + 1, dtype=np.int32) * part.shape[1])
+        return pa.ListArray.from_arrays(at, pa.array(part.ravel()))
+    if kind == pa.string():
+        return pa.array(data.astype(str).tolist(), kind)
+    return pa.array(data).cast(kind)
+
+
+def known_arrays(arrays: list[str] | None) -> list[str]:
+    wanted = list(arrays if arrays is not None else SCALAR_ARRAYS)
+    unknown = [a for a in wanted if a not in ARRAY_TYPES]
+    if unknown:
+        raise ValueError(f"unknown arrays {unknown}; known are {list(ARRAY_TYPES)}")
+    return wanted
+
+
 def read_frames(placed: DataFrame, arrays: list[str] | None = None, tasks: int | None = None,
-                keep: list[str] = ()) -> DataFrame:
+                keep: list[str] = (), gameplay_filter: bool = False) -> DataFrame:
     """Rows of the placed chunks with the wanted arrays; absent optional arrays are null.
 
     ``keep`` names columns of the chunk table, such as side and key names, that every
-    frame of the chunk should carry: joined there, they never shuffle an image.
+    frame of the chunk should carry: joined there, they never shuffle an image. Frames
+    that the chunk table's ``dropped`` bitmaps name (see ``serving.mask_slices``) or the
+    gameplay filter rejects are left out inside the decoder.
 
     A chunk whose arrays differ in length is refused, as is an unknown version.
     """
-    wanted = list(arrays if arrays is not None else SCALAR_ARRAYS)
-    unknown = [a for a in wanted if a not in ARRAY_TYPES]
-    if unknown:
-        raise ValueError(f"unknown arrays {unknown}; known are {list(ARRAY_TYPES)}")
-    mandatory = set(MANDATORY_ARRAYS)
-    versions = set(SUPPORTED_VERSIONS)
-    types = [(a, _ARROW[ARRAY_TYPES[a]]) for a in wanted]
-
-    def rows_of(row: dict, kept_types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-        lengths = dict(row["lengths"])
-        where = row["chunk_path"]
-        if row["chunk_version"] is not None and row["chunk_version"] not in versions:
-            raise ValueError(f"{where}: schema_version={row['chunk_version']} is not supported")
-        missing = mandatory - set(lengths)
-        if missing:
-            raise ValueError(f"{where}: arrays {sorted(missing)} are missing")
-        if len(set(lengths.values())) > 1:
-            raise ValueError(f"{where}: arrays differ in length: {lengths}")
-        n = lengths["frames"]
-        with _open(where) as z:
-            data = {a: _member(z, a) for a in wanted if a in lengths}
-        for lo in range(0, n, ROWS_PER_BATCH):
-            hi = min(lo + ROWS_PER_BATCH, n)
-            local = np.arange(lo, hi)
-            columns = [pa.array([row["session"]] * (hi - lo)),
-                       pa.array(np.full(hi - lo, row["chunk_idx"], np.int32)),
-                       pa.array(local + row["frame_base"], type=pa.int64())]
-            columns += [pa.array([row[c]] * (hi - lo), kind) for c, kind in zip(keep, kept_types)]
-            for name, kind in types:
-                if name not in data:
-                    columns.append(pa.nulls(hi - lo, kind))
-                elif kind == pa.binary():
-                    columns.append(as_binary(data[name][lo:hi]))
-                elif name == "keys":
-                    part = data[name][lo:hi].astype(np.int8)
-                    at = pa.array(np.arange(hi - lo + 1, dtype=np.int32) * part.shape[1])
-                    columns.append(pa.ListArray.from_arrays(at, pa.array(part.ravel())))
-                elif kind == pa.string():
-                    columns.append(pa.array(data[name][lo:hi].astype(str).tolist(), kind))
-                else:
-                    columns.append(pa.array(data[name][lo:hi]).cast(kind))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    keep = list(keep)
+    wanted, keep = known_arrays(arrays), list(keep)
     names = ["session", "chunk_idx", "frame_idx"] + keep + wanted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept_types = [batch.schema.field(c).type for c in keep]
             for row in batch.to_pylist():
-                yield from rows_of(row, kept_types)
+                row["lengths"] = dict(row["lengths"])
+                for at, data in decode(row, wanted, gameplay_filter):
+                    n = len(at)
+                    columns = [pa.array([row["session"]] * n), pa.array(np.full(n, row["chunk_idx"], np.int32)),
+                               pa.array(at + row["frame_base"], type=pa.int64())]
+                    columns += [pa.array([row[c]] * n, kind) for c, kind in zip(keep, kept_types)]
+                    columns += [as_column(a, data.get(a), n) for a in wanted]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "session STRING, chunk_idx INT, frame_idx BIGINT" + "".join(
         [f", {c} {placed.schema[c].dataType.simpleString()}" for c in keep]
         + [f", {a} {ARRAY_TYPES[a]}" for a in wanted])
-    source = placed.select("session", "chunk_idx", "chunk_path", "lengths", "chunk_version", "frame_base", *keep)
+    masks = ["dropped"] if "dropped" in placed.columns else []
+    source = placed.select("session", "chunk_idx", "chunk_path", "lengths", "chunk_version", "frame_base",
+                           *masks, *[c for c in keep if c not in masks])
     frames = spread(source, tasks).mapInArrow(run, schema)
     return frames.withColumnRenamed("timestamps", "t") if "timestamps" in wanted else frames
