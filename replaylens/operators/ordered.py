@@ -14,10 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..session import written
+
 BLOCK = "_block"
 BLOCK_ROWS = 65_536
 TIME_BLOCK_ROWS = 1 << 20
 ORDER_BLOCKS = 256
+SAMPLES = 64
+SORTED_AT_ONCE = 1 << 20
 
 
 def index_block(idx: str | Column, rows: int = BLOCK_ROWS) -> Column:
@@ -26,7 +30,7 @@ def index_block(idx: str | Column, rows: int = BLOCK_ROWS) -> Column:
 
 
 def time_block(t: str, seconds: float | None) -> str | Column:
-    """Time blocks of fixed length, or by density (see ``add_block``) if None.
+    """Time blocks of fixed length, or by quantiles (see ``add_block``) if None.
 
     A recording ticks some 15 times a second, so an hour is a known 54 000 frames:
     fixed blocks then save the pass that looks for long series.
@@ -36,27 +40,50 @@ def time_block(t: str, seconds: float | None) -> str | Column:
 
 def add_block(df: DataFrame, keys: list[str], block: str | Column,
               rows: int | None = None, sized_by: DataFrame | None = None) -> DataFrame:
-    """Add the block column: an expression, or blocks of a numeric column by density.
-
-    Given a column name, each series with more than ``rows`` rows is cut into equal
-    spans of about that many rows; all others are one block and need no carry
-    (``_long`` is false). The cut series come in a table with at most one row per
-    ``rows`` rows of data (100 billion rows give under 100 000 entries, 4 MB), which
-    is why it may be broadcast. Series are measured on ``sized_by`` where that is
-    cheaper to read than ``df``.
+    """Add the block column: an expression, or blocks of a numeric column by its quantiles.
+
+    Given a column name, a series of more than about ``rows`` rows is cut at splitters
+    taken from a sample of it, so that blocks hold about ``rows`` rows each however its
+    times are spread: pauses, bursts and a clock that jumps once leave no block empty or
+    crowded. All other series are one block and need no carry (``_long`` is false). The
+    splitters come in a table with about one entry per ``rows`` rows of data (100 billion
+    rows give some 100 000 entries, 1 MB), which is why it may be broadcast. Series are
+    sampled from ``sized_by`` where that is cheaper to read than ``df``.
     """
     if isinstance(block, Column):
         return df.withColumn(BLOCK, block)
-    rows = rows or TIME_BLOCK_ROWS
-    long = ((df if sized_by is None else sized_by).groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("_n"), F.min(block).alias("_lo"), F.max(block).alias("_hi"))
-            .where(F.col("_n") > rows).withColumn("_parts", F.ceil(F.col("_n") / rows)).drop("_n"))
-    span = F.when(F.col("_hi") > F.col("_lo"), F.floor(
-        (F.col(block) - F.col("_lo")) * F.col("_parts") / (F.col("_hi") - F.col("_lo"))))
-    return (df.join(F.broadcast(long), keys, "left")
-            .withColumn(BLOCK, F.coalesce(F.least(span, F.col("_parts") - 1), F.lit(0)).cast("long"))
-            .withColumn("_long", F.col("_parts").isNotNull())
-            .drop("_lo", "_hi", "_parts"))
+    splits = splitters(df if sized_by is None else sized_by, keys, block, rows or TIME_BLOCK_ROWS)
+    return (df.join(F.broadcast(splits), keys, "left")
+            .withColumn(BLOCK, F.coalesce(reached("_splits", "_leaps", F.col(block)), F.lit(0)).cast("long"))
+            .withColumn("_long", F.col("_splits").isNotNull())
+            .drop("_splits", "_leaps"))
+
+
+def splitters(df: DataFrame, keys: list[str], column: str, rows: int) -> DataFrame:
+    """(keys, _splits, _leaps) of each series longer than about ``rows`` rows: where to cut it.
+
+    A row is in the sample by a hash of its key and value, the same one on every retry.
+    ``SAMPLES`` sampled rows make a block, so block sizes stray by some 1/8 of their mean,
+    and a series that yields no more than that is left whole. Only samples are shuffled.
+    """
+    per_block = min(SAMPLES, rows)
+    picked = df.select(*keys, F.col(column).alias("_at")).where(
+        F.col("_at").isNotNull() & (F.pmod(F.xxhash64(*keys, "_at"), F.lit(rows)) < per_block))
+    order = Window.partitionBy(*keys).orderBy("_at")
+    numbered = picked.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") % per_block == 0)
+    splits = numbered.groupBy(*keys).agg(F.array_sort(F.collect_set("_at")).alias("_splits"))
+    # A search halves what is left: it leaps by falling powers of two.
+    depth = F.floor(F.log2(F.size("_splits").cast("double"))).cast("int")
+    leaps = F.transform(F.sequence(depth, F.lit(0), F.lit(-1)), lambda i: F.pow(F.lit(2), i).cast("int"))
+    return splits.withColumn("_leaps", leaps)
+
+
+def reached(splits: str, leaps: str, value: Column) -> Column:
+    """How many of the ascending splitters are below the value, by binary search; null without splitters."""
+    def leap(at: Column, by: Column) -> Column:
+        ahead = F.coalesce(F.get(F.col(splits), at + by - 1) < value, F.lit(False))
+        return F.when(ahead, at + by).otherwise(at)
+    return F.aggregate(leaps, F.lit(0), leap)
 
 
 def with_halo(df: DataFrame, idx: str = "frame_idx", rows: int = BLOCK_ROWS,
@@ -120,7 +147,7 @@ def carry(blocked: DataFrame, keys: list[str],
 def attach(blocked: DataFrame, keys: list[str], *tables: DataFrame) -> DataFrame:
     """Join carries to the rows of their blocks.
 
-    Density blocks number at most two per TIME_BLOCK_ROWS rows of data, so their
+    Quantile blocks number about one per TIME_BLOCK_ROWS rows of data, so their
     carries are broadcast and the rows are shuffled only once, for the window. With
     other blocks Spark chooses; a sorted join shares the window's partitioning.
     """
@@ -248,25 +275,28 @@ def order_statistics(df: DataFrame, keys: list[str], value: str,
     """Exact order statistics per group: the value at given 0-based ranks.
 
     ``ranks`` maps a name to an expression over ``n``, the group's row count.
-    Values are counted into cells first, and those of a cell that holds a wanted rank
-    into parts of its range; only the part that holds it is sorted, so neither a hot
-    group nor values close together reach one task whole.
+    Values are counted into cells first, and only cells that hold a wanted rank are sorted.
+    Where such a cell has more than ``SORTED_AT_ONCE`` distinct values, they are counted into
+    parts of its range, and only the part that holds the rank is sorted. So neither a hot group nor values
+    close together reach one task whole. The counts are written once, as several steps read them.
     """
-    counted = (df.where(F.col(value).isNotNull())
-               .groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-               .withColumn("_cell", _cell(F.col("_v"))))
+    counted = written(df.where(F.col(value).isNotNull())
+                      .groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+                      .withColumn("_cell", _cell(F.col("_v"))), "counted")
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    cells = (counted.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_c"))
+    cells = (counted.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_c"), F.count(F.lit(1)).alias("_values"))
              .withColumn("n", F.sum("_c").over(group))
              .withColumn("_off", F.coalesce(F.sum("_c").over(
                  group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
-    wanted = (cells.withColumn("_want", F.explode(F.array(*[
-                  F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank"))
-                  for name, rank in ranks.items()])))
-              .where((F.col("_want.rank") >= F.col("_off"))
-                     & (F.col("_want.rank") < F.col("_off") + F.col("_c")))
-              .select(*keys, "_cell", "_off", "n", "_want.name", "_want.rank"))
-    held = _narrowed(counted.join(wanted, [*keys, "_cell"]), [*keys, "name"])
+    wanted = written(cells.withColumn("_want", F.explode(F.array(*[
+                         F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank"))
+                         for name, rank in ranks.items()])))
+                     .where((F.col("_want.rank") >= F.col("_off"))
+                            & (F.col("_want.rank") < F.col("_off") + F.col("_c")))
+                     .select(*keys, "_cell", "_off", "n", "_values", "_want.name", "_want.rank"), "ranks")
+    held = counted.join(wanted.drop("_values"), [*keys, "_cell"])
+    if (wanted.agg(F.max("_values")).first()[0] or 0) > SORTED_AT_ONCE:
+        held = _narrowed(held, [*keys, "name"])
     inside = Window.partitionBy(*keys, "name").orderBy("_v")
     return (held.withColumn("_upto", F.col("_off") + F.sum("_c").over(inside))
             .where((F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("_c")))

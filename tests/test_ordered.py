@@ -210,3 +210,39 @@ def test_order_statistics_of_nearly_constant_values(spark):
     cells = df.select(F.lit("mid").alias("name"), F.col("x").alias("_v"), F.lit(1).alias("_c"), F.lit(0).alias("_off"),
                       F.lit(2500).alias("rank")).where("_v between 60 and 70")
     assert ordered._narrowed(cells, ["name"]).count() <= 100
+
+
+@pytest.mark.parametrize("shape", ["steady", "outlier", "pauses"])
+def test_blocks_by_quantiles(spark, shape):
+    """A clock that jumps once, or long pauses, leave no block with more than twice the mean."""
+    rng = np.random.default_rng(8)
+    t = np.cumsum(rng.exponential(1.0, 40_000))
+    if shape == "outlier":
+        t[-1] = 1e12
+    if shape == "pauses":
+        t += np.cumsum(np.where(np.arange(len(t)) % 9_000 == 0, 1e7, 0)) + np.where(np.arange(len(t)) > 30_000, t * 50, 0)
+    pdf = pd.DataFrame({"session": ["hot"] * len(t) + ["b"] * 500, "t": np.concatenate([t, np.arange(500.0)])})
+    out = ordered.add_block(spark.createDataFrame(pdf).repartition(4), ["session"], "t", 2_000)
+    sizes = out.where("session = 'hot'").groupBy(ordered.BLOCK).agg(F.count("*").alias("n"), F.min("t").alias("lo"),
+                                                                   F.max("t").alias("hi")).orderBy("lo").collect()
+    assert [r[ordered.BLOCK] for r in sizes] == list(range(len(sizes)))  # in order, none empty
+    assert all(a["hi"] < b["lo"] for a, b in zip(sizes, sizes[1:]))
+    assert 15 <= len(sizes) <= 26 and max(r["n"] for r in sizes) <= 2 * len(t) / len(sizes)
+    assert {(r[ordered.BLOCK], r["_long"]) for r in out.where("session = 'b'").collect()} == {(0, False)}
+
+
+def test_search_among_splitters(spark):
+    for n in (1, 2, 3, 7, 8, 100):
+        df = spark.range(-1, n + 2).select(F.lit("s").alias("session"), F.col("id").cast("double").alias("t"))
+        cut = spark.createDataFrame([("s", [float(i) for i in range(n)])], "session string, _splits array<double>")
+        leaps = F.expr("transform(sequence(cast(floor(log2(size(_splits))) as int), 0, -1), i -> cast(pow(2, i) as int))")
+        got = df.join(cut.withColumn("_leaps", leaps), "session").select("t", ordered.reached("_splits", "_leaps", F.col("t")))
+        assert all(k == min(max(t, 0), n) for t, k in got.collect())
+
+
+def test_rank_cells_with_many_values(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "SORTED_AT_ONCE", 10)
+    values = [66.7 + i * 1e-6 for i in range(900)] + [1.0, 9e9]
+    df = spark.createDataFrame([("s", float(x)) for x in values], "session string, x double")
+    got = ordered.order_statistics(df, ["session"], "x", {"mid": F.floor(F.col("n") / 2), "last": F.col("n") - 1}).first()
+    assert (got.n, got.mid, got.last) == (len(values), sorted(values)[len(values) // 2], 9e9)
