@@ -1,33 +1,33 @@
 """Recording as a stream: frames take the newest state and the mouse motion so far.
 
-Rows may arrive out of order within the watermark delay. Each session buffers its
-rows and releases them in event order once the watermark has passed, so the
-result equals the batch as-of join and mouse accumulation.
+Rows may arrive out of order within a delay. Each session keeps its rows by slices of
+time and releases a slice in event order once the delay has passed, so the result equals
+the batch as-of join and mouse accumulation. Rows that come later still go to a side output.
 """
 
 from __future__ import annotations
 
-import math
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from ..fixed_values import CHUNK_FRAMES, CONTACT_GRACE_S, LONG_GAP_FACTOR, LOOP_FPS
 from ..functions.state import stored_state
+from ..sources.generations import merge, read_all, write_generation
 
 STATE_COLUMNS = ["alive", "round_phase", "health", "active_weapon", "ammo_clip", "ammo_reserve"]
 _BLANK = (0, "?", 0, "", -1, -1)
 _KINDS = {"state": 0, "mouse": 1, "frame": 2}
+_NAMES = {number: name for name, number in _KINDS.items()}
 INPUT_COLUMNS = ["session", "ts", "t", "kind", "n", *STATE_COLUMNS, "dx", "dy"]
 OUTPUT_SCHEMA = ("session STRING, t DOUBLE, n BIGINT, frame_idx BIGINT, chunk_idx INT, alive INT, "
                  "round_phase STRING, health INT, active_weapon STRING, ammo_clip INT, ammo_reserve INT, "
-                 "state_age DOUBLE, dx BIGINT, dy BIGINT, n_events BIGINT, gap DOUBLE")
+                 "state_age DOUBLE, dx BIGINT, dy BIGINT, n_events BIGINT, gap DOUBLE, late STRING")
 _OUTPUT_COLUMNS = [c.strip().split(" ")[0] for c in OUTPUT_SCHEMA.split(",")]
-_BUFFER_SCHEMA = ("us BIGINT, t DOUBLE, kind INT, n BIGINT, alive INT, round_phase STRING, health INT, "
-                  "active_weapon STRING, ammo_clip INT, ammo_reserve INT, dx INT, dy INT")
 _SLOT_SCHEMA = ("alive INT, round_phase STRING, health INT, active_weapon STRING, ammo_clip INT, "
                 "ammo_reserve INT, state_t DOUBLE, first_t DOUBLE, rejected BOOLEAN, frames BIGINT, "
                 "dx BIGINT, dy BIGINT, events BIGINT, last_t DOUBLE")
@@ -66,47 +66,61 @@ def recording_input(frames: DataFrame, states: DataFrame, mouse: DataFrame | Non
 
 
 class _Recorder(StatefulProcessor):
-    def __init__(self, chunk_frames: int, require_contact: bool, grace: float) -> None:
+    """Rows wait in a map from slice of time to rows, with one timer for each slice.
+
+    An input row touches its own slice only, and a timer reads the slices that are due,
+    so a batch costs what it brings and what it releases, not what is waiting.
+    """
+
+    def __init__(self, chunk_frames: int, require_contact: bool, grace: float, slice_ms: int, late_ms: int) -> None:
         self.chunk_frames, self.require, self.grace = chunk_frames, require_contact, grace
+        self.slice_ms, self.late_ms = slice_ms, late_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.buffer = handle.getListState("buffer", _BUFFER_SCHEMA)
+        self.slices = handle.getMapState("slices", "slice BIGINT", "rows STRING")
         self.slot = handle.getValueState("slot", _SLOT_SCHEMA)
 
+    def _released_ms(self, timer_values) -> int | None:
+        """Up to where rows have been released: the stream's watermark is ``late_ms`` behind it."""
+        passed = timer_values.getCurrentWatermarkInMs()
+        return passed + self.late_ms if passed > 0 else None
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = []
+        released, new, late = self._released_ms(timerValues), {}, []
         for batch in rows:
-            us = batch["ts"].astype("datetime64[us]").astype("int64")
-            columns = [us] + [batch[c].astype(object).where(batch[c].notna(), None)
-                              for c in ["t", "kind", "n", *STATE_COLUMNS, "dx", "dy"]]
-            new += [tuple(int(v) if i not in (1, 5, 7) and v is not None else v for i, v in enumerate(r))
-                    for r in zip(*columns)]
-        yield self._release(key, new, timerValues)
+            ms = batch["ts"].astype("datetime64[us]").astype("int64") // 1000
+            columns = [batch[c].astype(object).where(batch[c].notna(), None)
+                       for c in ["t", "kind", "n", *STATE_COLUMNS, "dx", "dy"]]
+            for at, *row in zip(ms, *columns):
+                row = [int(v) if i not in (0, 4, 6) and v is not None else v for i, v in enumerate(row)]
+                if released is not None and at <= released:
+                    late.append((key[0], row[0], row[2], *[None] * (len(_OUTPUT_COLUMNS) - 4), _NAMES[row[1]]))
+                else:
+                    new.setdefault(int(at) // self.slice_ms, []).append(row)
+        for at, added in new.items():
+            if self.slices.containsKey((at,)):
+                added = json.loads(self.slices.getValue((at,))[0]) + added
+            else:
+                self.handle.registerTimer(max(1, (at + 1) * self.slice_ms - self.late_ms))
+            self.slices.updateValue((at,), (json.dumps(added),))
+        yield pd.DataFrame(late, columns=_OUTPUT_COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._release(key, [], timerValues)
-
-    def _release(self, key, new: list[tuple], timer_values) -> pd.DataFrame:
-        """Process buffered rows the watermark has passed, in event order."""
-        passed = timer_values.getCurrentWatermarkInMs() * 1000
-        rows = ([tuple(r) for r in self.buffer.get()] if self.buffer.exists() else []) + new
-        due = sorted((r for r in rows if r[0] <= passed), key=lambda r: (r[1], r[2], r[3]))
-        waiting = [r for r in rows if r[0] > passed]
-        out = self._advance(key[0], due) if due else []
-        if waiting:
-            self.buffer.put(waiting)
-            # One timer per session, at the earliest row still waiting.
-            self.handle.registerTimer(math.ceil(min(r[0] for r in waiting) / 1000))
-        elif rows and self.buffer.exists():
-            self.buffer.clear()
-        return pd.DataFrame(out, columns=_OUTPUT_COLUMNS)
-
-    def _advance(self, session: str, due: list[tuple]) -> list[tuple]:
+        released = self._released_ms(timerValues) or 0
+        due = sorted(k[0] for k in self.slices.keys() if (k[0] + 1) * self.slice_ms <= released)
+        out = []
+        for at in due:  # the first timer takes all that is due, in order; the others find nothing
+            rows = json.loads(self.slices.getValue((at,))[0])
+            out += self._advance(key[0], sorted(rows, key=lambda r: (r[0], r[1], r[2])))
+            self.slices.removeKey((at,))
+        yield pd.DataFrame(out, columns=_OUTPUT_COLUMNS)
+
+    def _advance(self, session: str, due: list[list]) -> list[tuple]:
         slot = (list(self.slot.get()) if self.slot.exists()
                 else [*_BLANK, None, None, False, 0, 0, 0, 0, None])
         out = []
-        for us, t, kind, n, *rest in due:
+        for t, kind, n, *rest in due:
             state, (dx, dy) = rest[:6], rest[6:]
             if kind == _KINDS["state"]:
                 first_contact = slot[6] is None
@@ -124,7 +138,7 @@ class _Recorder(StatefulProcessor):
                 age = None if slot[6] is None else t - slot[6]
                 gap = None if slot[13] is None else t - slot[13]
                 out.append((session, t, n, idx, idx // self.chunk_frames, *slot[:6], age,
-                            slot[10], slot[11], slot[12], gap))
+                            slot[10], slot[11], slot[12], gap, None))
                 slot[9], slot[10], slot[11], slot[12], slot[13] = idx + 1, 0, 0, 0, t
         self.slot.update(tuple(slot))
         return out
@@ -133,16 +147,37 @@ class _Recorder(StatefulProcessor):
         pass
 
 
+def _milliseconds(spark: SparkSession, interval: str) -> int:
+    return spark.sql(f"select unix_millis(timestamp_millis(0) + interval {interval})").first()[0]
+
+
 def record_stream(recording: DataFrame, delay: str = "10 seconds", chunk_frames: int = CHUNK_FRAMES,
-                  require_contact: bool = True, grace: float = CONTACT_GRACE_S) -> DataFrame:
+                  require_contact: bool = True, grace: float = CONTACT_GRACE_S, slice_seconds: float = 1.0,
+                  late_for: str | None = None) -> DataFrame:
     """Frames with state, age, mouse motion, index, chunk and gap, as they are released.
 
     With ``require_contact`` frames before the first state are dropped, and so are
     all frames of a session whose first state came later than the grace.
+
+    A row that comes after its time was released takes no part. With ``late_for``, such rows
+    are still taken in for that long, as rows with only session, t, n and the kind of row in ``late``
+    (see ``on_time`` and ``late_rows``); later ones are dropped and counted in the query's
+    progress. Rows wait in slices of ``slice_seconds``.
     """
-    return (recording.withWatermark("ts", delay).groupBy("session").transformWithStateInPandas(
-        statefulProcessor=_Recorder(chunk_frames, require_contact, grace),
-        outputStructType=OUTPUT_SCHEMA, outputMode="Append", timeMode="EventTime"))
+    late_ms = _milliseconds(recording.sparkSession, late_for) if late_for else 0
+    processor = _Recorder(chunk_frames, require_contact, grace, max(1, round(slice_seconds * 1000)), late_ms)
+    return (recording.withWatermark("ts", f"{delay} {late_for}" if late_for else delay)
+            .groupBy("session").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=OUTPUT_SCHEMA, outputMode="Append", timeMode="EventTime"))
+
+
+def on_time(out: DataFrame) -> DataFrame:
+    return out.where("late IS NULL").drop("late")
+
+
+def late_rows(out: DataFrame) -> DataFrame:
+    """(session, t, n, kind) of the rows that came too late to count."""
+    return out.where("late IS NOT NULL").select("session", "t", "n", F.col("late").alias("kind"))
 
 
 def with_metrics(frames: DataFrame, fps: float = LOOP_FPS, name: str = "recording") -> DataFrame:
@@ -150,13 +185,30 @@ def with_metrics(frames: DataFrame, fps: float = LOOP_FPS, name: str = "recordin
     return frames.observe(
         name, F.count(F.lit(1)).alias("frames"),
         F.count_if(F.col("gap") > LONG_GAP_FACTOR / fps).alias("long_gaps"),
-        F.try_divide(F.count("gap"), F.sum("gap")).alias("fps"), F.max("state_age").alias("max_state_age"))
+        F.try_divide(F.count("gap"), F.sum("gap")).alias("fps"), F.max("state_age").alias("max_state_age"),
+        F.count("gap").alias("gaps"), F.sum("gap").alias("seconds"))
 
 
 def write_chunks(frames: DataFrame, path: str) -> DataStreamWriter:
-    """Append released frames by session and chunk; the last partial chunk is kept."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch", F.lit(batch_id)).repartition("session", "chunk_idx")
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch", "session").parquet(path))
-    return frames.writeStream.foreachBatch(write)
+    """Append released frames as generations of a table (``sources.generations``).
+
+    A batch that is replayed after a crash is in the table already and is not added again.
+    The last partial chunk is kept; ``compact_chunks`` merges the small files of many batches.
+    """
+    return frames.writeStream.foreachBatch(lambda batch, batch_id: store_chunks(batch, batch_id, path))
+
+
+def store_chunks(batch: DataFrame, batch_id: int, path: str) -> None:
+    """One batch of ``write_chunks``, for streams with a ``foreachBatch`` of their own."""
+    if not write_generation(batch, path, batch_id, [F.col("chunk_idx")]):
+        # The rows are stored, but the stream's state must still take this batch in.
+        batch.write.format("noop").mode("overwrite").save()
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    return read_all(spark, path, OUTPUT_SCHEMA)
+
+
+def compact_chunks(spark: SparkSession, path: str) -> int | None:
+    """Merge all batches so far into whole chunks, in order. Run it between runs of the stream's writer."""
+    return merge(spark, path, OUTPUT_SCHEMA, order=["session", "frame_idx"], grain=[F.col("chunk_idx")])

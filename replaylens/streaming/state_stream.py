@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import (BooleanType, IntegerType, StringType, StructField, StructType)
 
+from ..sources.generations import write_generation
 from ..sources.state_log import bad_lines, good_updates
 
 EVENT_SCHEMA = ("session STRING, t DOUBLE, n BIGINT, changed ARRAY<STRING>, death BOOLEAN, reason STRING")
@@ -27,14 +28,66 @@ def latest_state(updates: DataFrame) -> DataFrame:
 
 
 def split_sinks(updates: DataFrame, good_path: str, bad_path: str) -> DataStreamWriter:
-    """Write good updates and unparsable lines to two tables. Start the result with a
-    checkpoint location; a replayed batch overwrites its own folder."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        good_updates(batch).write.mode("overwrite").parquet(f"{good_path}/batch={batch_id}")
-        bad_lines(batch).write.mode("overwrite").parquet(f"{bad_path}/batch={batch_id}")
-        batch.unpersist()
-    return updates.writeStream.foreachBatch(write)
+    """Write good updates and unparsable lines to two tables of generations, numbered by batch.
+
+    Start the result with a checkpoint location. A batch that is replayed after a crash
+    between the two writes adds to each table only what is not committed there yet.
+    """
+    return updates.writeStream.foreachBatch(lambda batch, batch_id: store_batch(batch, batch_id, good_path, bad_path))
+
+
+def store_batch(batch: DataFrame, batch_id: int, good_path: str, bad_path: str) -> None:
+    """One batch of ``split_sinks``, for streams with a ``foreachBatch`` of their own."""
+    batch.persist()
+    write_generation(good_updates(batch), good_path, batch_id)
+    write_generation(bad_lines(batch), bad_path, batch_id)
+    batch.unpersist()
+
+
+SLOT_SCHEMA = ("t DOUBLE, n BIGINT, n_updates BIGINT, spectating BOOLEAN, health INT, alive BOOLEAN, "
+               "active_weapon STRING, round_phase STRING, map_phase STRING, has_local_state BOOLEAN")
+_SLOT_FIELDS = [c.strip().split(" ")[0] for c in SLOT_SCHEMA.split(",")]
+
+
+class _Slot(StatefulProcessor):
+    """The newest update of a session overwrites its slot; only the number of updates is added up."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.slot = handle.getValueState("slot", SLOT_SCHEMA)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = dict(zip(_SLOT_FIELDS, self.slot.get())) if self.slot.exists() else {"n_updates": 0}
+        seen = 0
+        for batch in rows:
+            seen += len(batch)
+            row = batch.sort_values(["t", "n"], kind="stable").iloc[-1]
+            if held.get("t") is None or (row["t"], row["n"]) >= (held["t"], held["n"]):
+                held |= {c: None if pd.isna(row[c]) else row[c] for c in _SLOT_FIELDS if c != "n_updates"}
+        held["n_updates"] += seen
+        for c in ("n", "health"):
+            held[c] = None if held[c] is None else int(held[c])
+        for c in ("spectating", "alive", "has_local_state"):
+            held[c] = None if held[c] is None else bool(held[c])
+        held["t"] = float(held["t"])
+        self.slot.update(tuple(held[c] for c in _SLOT_FIELDS))
+        yield pd.DataFrame({"session": [key[0]], "n": [held["n"]], "n_updates": [held["n_updates"]]})
+
+    def close(self) -> None:
+        pass
+
+
+def slot_stream(updates: DataFrame) -> DataFrame:
+    """Keep the newest update of each session in state; the output says which slots a batch has changed."""
+    flat = updates.select("session", "t", "n", *[F.col(f"state.{c}").alias(c) for c in _SLOT_FIELDS[3:]])
+    return flat.groupBy("session").transformWithStateInPandas(
+        statefulProcessor=_Slot(), outputStructType="session STRING, n BIGINT, n_updates BIGINT",
+        outputMode="Update", timeMode="None")
+
+
+def read_slots(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The slots as of the last committed batch of a ``slot_stream``, read from its state without running it."""
+    stored = spark.read.format("statestore").option("stateVarName", "slot").load(checkpoint)
+    return stored.select("key.session", "value.*")
 
 
 class _Changes(StatefulProcessor):

@@ -142,3 +142,53 @@ def test_latest_state_stream_and_chunks(spark, tmp_path):
     q.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "chunks"))
     assert sorted((r["frame_idx"], r["chunk_idx"]) for r in got.collect()) == [(i, i // 3) for i in range(7)]
+
+
+def test_rows_behind_the_release_go_aside(spark, tmp_path):
+    """Late rows are named, take no part, and leave the other frames as they are without them."""
+    pdf = recording()
+    pdf = pdf[pdf.session.isin(["a", "b"])]
+    late = pdf[(pdf.n % 11 == 3) & (pdf.t < 15)]
+    prompt = pdf.drop(late.index)
+    steps = [prompt[prompt.t < 10], prompt[prompt.t >= 10], late[late.t < 12]]
+    steps.append(pd.concat([late[late.t >= 12], pd.DataFrame([("end", 90.0, "frame", -1, None, None, None)], columns=pdf.columns)]))
+    steps.append(pd.DataFrame([("end", 9999.0, "frame", -2, None, None, None)], columns=pdf.columns))
+    for i, piece in enumerate(steps):
+        write(str(tmp_path / "in"), piece, f"{i}.json")
+        os.utime(tmp_path / "in" / f"{i}.json", (1000 + i, 1000 + i))
+    stream = spark.readStream.schema(LINE).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    out = frame_stream.record_stream(frame_stream.recording_input(*parts(stream)), "5 seconds", require_contact=False,
+                                     slice_seconds=0.7, late_for="10 minutes")
+    got, _ = run(out, tmp_path)
+    got = got.where("session <> 'end'")
+    assert {(r["session"], r["n"], r["kind"]) for r in frame_stream.late_rows(got).collect()} == {
+        (r.session, r.n, r.kind) for r in late.itertuples()}
+    write(str(tmp_path / "prompt"), prompt, "0.json")
+    frames, states, _ = parts(spark.read.schema(LINE).json(str(tmp_path / "prompt")))
+    want = {(r["session"], r["n"]): r for r in asof.asof_state(frames, states).collect()}
+    rows = frame_stream.on_time(got).collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        state = want[r["session"], r["n"]]["state"]
+        assert r["health"] == (state["health"] if state else 0)
+    for s in ("a", "b"):
+        order = sorted((r for r in rows if r["session"] == s), key=lambda r: r["t"])
+        assert [r["frame_idx"] for r in order] == list(range(len(order)))
+
+
+def test_slots_survive_a_restart(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+
+    def step(name, lines):
+        (logs / name).write_text("\n".join(lines) + "\n")
+        slots = state_stream.slot_stream(good_updates(read_state_stream(spark, str(logs)).withColumn(
+            "session", F.substring("session", 1, 1))))
+        q = (slots.writeStream.format("noop").outputMode("update").option("checkpointLocation", str(tmp_path / "cp"))
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+        return {r["session"]: (r["n"], r["n_updates"], r["health"], r["alive"]) for r in
+                state_stream.read_slots(spark, str(tmp_path / "cp")).collect()}
+    assert step("a1.jsonl", [log_line(2, 2, 40), log_line(1, 1, 90), "broken"]) == {"a": (2, 2, 40, True)}
+    assert step("b1.jsonl", [log_line(5, 5, 0)]) == {"a": (2, 2, 40, True), "b": (5, 1, 0, False)}
+    assert step("a2.jsonl", [log_line(3, 3, None)]) == {"a": (3, 3, None, None), "b": (5, 1, 0, False)}
