@@ -48,6 +48,7 @@ MOUSE_LIMIT = 600
 WINDOW_FRAMES = 8
 
 # Blank-frame cut.
+MASK_VERSION = 1
 OTSU_BINS = 256
 REPORT_BINS = 12
 MODE_GAP_DECADES = 1.5

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -9,7 +10,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed_values import FEATURE_STD_FLOOR, PROBE_L2
@@ -69,6 +70,32 @@ def fit_keys(train: DataFrame, keys: list[str], l2: float = PROBE_L2, max_iter:
     return models, table
 
 
+def key_weights(spark: SparkSession, models: dict) -> DataFrame:
+    """(key, weights, intercept) of the fitted models; a key with a single class has none."""
+    rows = [(k, [float(w) for w in m.coefficients], float(m.intercept)) for k, m in models.items() if not isinstance(m, float)]
+    return spark.createDataFrame(rows, "key STRING, weights ARRAY<DOUBLE>, intercept DOUBLE")
+
+
+def objective_gradient(train: DataFrame, weights: DataFrame, l2: float = PROBE_L2) -> DataFrame:
+    """(key, at, gradient): the slope of the penalised loss in each weight, the intercept at -1; all 0 at the optimum.
+
+    ``train`` has the scaled vector ``x`` and ``k_<key>`` columns. Summed as (p - y) * x over
+    rows, in trees of partial results, so that a key's width is all that moves.
+    """
+    parts = []
+    for row in weights.collect():  # a row per key
+        z = F.aggregate(F.zip_with("_x", F.lit(row["weights"]), lambda a, b: a * b), F.lit(row["intercept"]), lambda s, v: s + v)
+        miss = 1 / (1 + F.exp(-z)) - F.col(f"k_{row['key']}").cast("double")
+        shares = train.select(vector_to_array("x").alias("_x"), f"k_{row['key']}").select(
+            miss.alias("_m"), array_to_vector(F.transform("_x", lambda v: v * miss)).alias("_g"))
+        found = shares.agg(Summarizer.metrics("mean").summary(F.col("_g")).alias("s"), F.avg("_m").alias("m"),
+                           F.count(F.lit(1)).alias("n"))
+        slopes = F.zip_with(vector_to_array("s.mean"), F.lit(row["weights"]), lambda g, w: g + F.lit(l2) * w / F.col("n"))
+        parts.append(found.select(F.lit(row["key"]).alias("key"), F.posexplode(slopes).alias("at", "gradient")).unionByName(
+            found.select(F.lit(row["key"]).alias("key"), F.lit(-1).alias("at"), F.col("m").alias("gradient"))))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def predict_keys(df: DataFrame, models: dict, keys: list[str]) -> DataFrame:
     """Add ``probs`` (one probability per key) and ``truth``."""
     out = df

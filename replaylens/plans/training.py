@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+import numpy as np
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..fixed_values import (HOLDOUT_FRACTION, MOVEMENT_KEYS, PRESS_THRESHOLD, PROBE_HOLDOUT_FRACTION,
                             PROBE_KEYS, WINDOW_FRAMES)
@@ -161,7 +164,8 @@ def run_probe(features: DataFrame, lengths: DataFrame | None, keys: list[str] =
     converged = fit.agg(F.bool_and("converged").alias("c")).scalar()
     n_sessions = split.agg(F.count(F.lit(1)).alias("n")).scalar()
     verdict = evaluate.probe_verdict(lifts, F.lit(sum(sides.values())), n_sessions, converged)
-    return {"fit": fit, "predictions": pred, "lift": lifts, "verdict": verdict}
+    return {"fit": fit, "predictions": pred, "lift": lifts, "verdict": verdict, "scaled": probe.scale(rows, scaling),
+            "weights": probe.key_weights(train_x.sparkSession, models)}
 
 
 def run_baseline(frames: DataFrame, split: DataFrame, keys: list[str] = MOVEMENT_KEYS,
@@ -193,7 +197,8 @@ def run_baseline(frames: DataFrame, split: DataFrame, keys: list[str] = MOVEMENT
     pred = pred.select("session", "last_idx", "side", "probs", "truth", "look_pred", "look_true")
     lifts = evaluate.key_lift(pred, keys, baseline_from="train")
     return {"balance": balance, "look_stats": stats, "fit": fit, "predictions": pred, "lift": lifts,
-            "mean_lift": evaluate.mean_lift(lifts), "look": evaluate.look_error(pred, stats),
+            "mean_lift": evaluate.mean_lift(lifts), "look": evaluate.look_error(pred, stats), "fit_rows": fit_rows,
+            "weights": probe.key_weights(fit_rows.sparkSession, key_models),
             "verdict": evaluate.baseline_verdict(volume)}
 
 
@@ -210,6 +215,27 @@ def diagnose(windows: DataFrame, score: Callable[[DataFrame], DataFrame], keys:
             "turns": evaluate.hardest_turns(pred, stats)}
 
 
+def score_windows(windows: DataFrame, load: Callable[[], Callable], keys: list[str], features: str = "features",
+                  batch_size: int = 64, width: int | None = None) -> DataFrame:
+    """Add what any model predicts for each window: probs, look_pred, truth and look_true.
+
+    ``load`` runs once in each Python worker and returns a function from a (rows, width)
+    array to (rows, keys + 2) predictions: a probability for each key, then dx and dy. Rows go
+    through it in batches beside the scan. ``windows`` holds the features, k_<key> columns, dx and dy.
+    """
+    def make() -> Callable:
+        model = load()
+        return lambda x: np.asarray(model(np.asarray(x, dtype=np.float64)), dtype=np.float64)
+    shapes = [[width]] if width else None
+    predict = predict_batch_udf(make, return_type=ArrayType(DoubleType()), batch_size=batch_size, input_tensor_shapes=shapes)
+    scored = windows.withColumn("_y", predict(features))
+    n = len(keys)
+    return scored.select(
+        *windows.columns, F.slice("_y", 1, n).alias("probs"), F.slice("_y", n + 1, 2).alias("look_pred"),
+        F.array(*[F.col(f"k_{k}").cast("int") for k in keys]).alias("truth"),
+        F.array(F.col("dx").cast("double"), F.col("dy").cast("double")).alias("look_true"))
+
+
 def replay_policy(pred: DataFrame, keys: list[str], stats: DataFrame | None = None,
                   threshold: float = PRESS_THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """What a policy would have done: key events and mouse steps, as tables only."""

@@ -5,6 +5,11 @@ Everything runs on listings and small JSON files; no image is opened here.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,15 +110,31 @@ def listed_chunks(sessions: DataFrame) -> DataFrame:
     return sessions.select("session", F.posexplode(files).alias("chunk_idx", "chunk_path"))
 
 
+def chunk_sizes(chunks: DataFrame) -> DataFrame:
+    """(session, chunk_idx, bytes) of listed chunks; each file's status is read by an executor task.
+
+    A listed file that does not exist has no size.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = []
+            for uri in batch.column("chunk_path").to_pylist():
+                if urlparse(uri).scheme in ("", "file"):
+                    files, path = pyarrow.fs.LocalFileSystem(), unquote(urlparse(uri).path)
+                else:
+                    files, path = pyarrow.fs.FileSystem.from_uri(uri)
+                sizes.append(files.get_file_info(path).size)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("session"), batch.column("chunk_idx"), pa.array(sizes, pa.int64())],
+                names=["session", "chunk_idx", "bytes"])
+    tasks = 4 * chunks.sparkSession.sparkContext.defaultParallelism
+    return chunks.select("session", "chunk_idx", "chunk_path").repartition(tasks, "chunk_path").mapInArrow(
+        run, "session STRING, chunk_idx INT, bytes LONG")
+
+
 def session_sizes(spark: SparkSession, root: str, sessions: DataFrame) -> DataFrame:
-    """Bytes of manifest plus listed chunks, from directory listings alone."""
-    root = root.rstrip("/")
-    on_disk = _files(spark, f"{root}/*/*.npz").unionByName(_files(spark, f"{root}/*.npz"))
-    def key(c):
-        return F.regexp_replace(c, r"^[a-z0-9]+:/+", "/")
-    listed = listed_chunks(sessions).withColumn("_k", key("chunk_path"))
-    summed = (listed.join(on_disk.select(key("path").alias("_k"), F.col("bytes").alias("_b")), "_k")
-              .groupBy("session").agg(F.sum("_b").alias("chunk_bytes")))
+    """Bytes of manifest plus listed chunks. Files that no manifest lists are not looked at."""
+    summed = chunk_sizes(listed_chunks(sessions)).groupBy("session").agg(F.sum("bytes").alias("chunk_bytes"))
     return (sessions.join(summed, "session", "left")
             .select("session", (F.col("bytes") + F.coalesce("chunk_bytes", F.lit(0))).alias("total_bytes"))
             .withColumn("size_mb", F.col("total_bytes") / (1024 * 1024)))

@@ -9,12 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import index_block
 from .chunks import _member, _open, spread
+from .generations import next_generation, read_newest, write_generation
 
 MASK_SCHEMA = ("session STRING, frame_idx BIGINT, keep BOOLEAN, variance DOUBLE, threshold DOUBLE, "
                "source_frames BIGINT")
@@ -36,20 +36,19 @@ def rethreshold(mask: DataFrame, threshold: float) -> DataFrame:
 
 
 def write_mask(mask: DataFrame, path: str) -> None:
-    """Replace the masks of exactly the sessions present in ``mask``."""
-    (mask.repartition("session", index_block("frame_idx"))
-     .write.partitionBy("session").mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").parquet(path))
+    """Replace the masks of exactly the sessions present in ``mask``, all at once.
+
+    They form a generation of the mask table (``sources.generations``): readers see the
+    old masks until it is committed, and a failed job leaves them as they are.
+    """
+    spark = mask.sparkSession
+    columns = [c.strip().split(" ")[0] for c in MASK_SCHEMA.split(",")]
+    write_generation(mask.select(*columns), path, next_generation(spark, path), [index_block("frame_idx")])
 
 
 def read_mask(spark: SparkSession, path: str) -> DataFrame:
-    """Stored masks; an absent table is an empty one, as masks are optional."""
-    try:
-        return spark.read.schema(MASK_SCHEMA).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], MASK_SCHEMA)
+    """The newest stored mask of each session; an absent table is an empty one, as masks are optional."""
+    return read_newest(spark, path, MASK_SCHEMA).drop("bucket")
 
 
 def read_mask_files(sessions: DataFrame) -> DataFrame:

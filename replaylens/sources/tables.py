@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import CHUNK_FRAMES, LOOK_STD_FLOOR
 from ..operators.ordered import index_block
+from .generations import bucket_of, next_generation, read_newest, write_generation
 
 
 def write_frames(frames: DataFrame, path: str, chunk_frames: int = CHUNK_FRAMES,
@@ -25,6 +26,25 @@ def write_frames(frames: DataFrame, path: str, chunk_frames: int = CHUNK_FRAMES,
      .option("partitionOverwriteMode", "dynamic").parquet(path))
 
 
+def replace_sessions(frames: DataFrame, path: str, chunk_frames: int = CHUNK_FRAMES) -> None:
+    """Store the sessions in ``frames`` as a generation of a table, in place of what it had of them.
+
+    All of them change at once, when the generation is committed. Sessions share hashed
+    buckets, so the table stays listable however many there are; ``write_frames`` gives each a folder of its own.
+    """
+    spark = frames.sparkSession
+    placed = frames.withColumn("chunk_idx", F.floor(F.col("frame_idx") / chunk_frames).cast("int"))
+    write_generation(placed, path, next_generation(spark, path), [F.col("session"), index_block("frame_idx")])
+
+
+def read_sessions(spark: SparkSession, path: str, schema: str, session: str | None = None) -> DataFrame:
+    """The newest stored frames of every session, or of one, whose bucket alone is then read."""
+    rows = read_newest(spark, path, schema)
+    if session is not None:
+        rows = rows.where((F.col("bucket") == bucket_of(F.lit(session))) & (F.col("session") == session))
+    return rows.drop("bucket")
+
+
 def read_frames_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
