@@ -12,8 +12,9 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # A frame row carries up to 170 KB of pixels, so batches are bounded by bytes.
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
+    # A frame row carries up to 170 KB of pixels and a document any length of text, so batches are bounded by
+    # bytes. A batch is held several times over: by Spark, as Arrow, and as Python objects in each worker.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
