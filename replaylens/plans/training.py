@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
@@ -36,6 +36,13 @@ class Dataset:
     split: DataFrame
     headers: DataFrame
     metadata: DataFrame
+    _stored: tuple | None = field(default=None, repr=False)
+
+    def stored_headers(self) -> DataFrame:
+        """The headers, read from the chunk files once and kept as a table, since serving looks at them several times."""
+        if self._stored is None or self._stored[0] is not self.headers:
+            self._stored = self.headers, written(self.headers, "headers")
+        return self._stored[1]
 
     def checked_chunks(self, arrays: list[str] | None = None) -> DataFrame:
         """Placed chunks; reading one fails if its session can't be served whole.
@@ -44,7 +51,8 @@ class Dataset:
         them only, if the manifest counts other frames than the chunks hold, or if minimaps
         are asked for and there are none. Decided by joins of chunk headers, before images.
         """
-        state = header_alignment(self.headers).join(
+        headers = self.stored_headers()
+        state = header_alignment(headers).join(
             self.sessions.select("session", "total_frames"), "session").select(
             "session", "misaligned", "total_frames", F.col("n_frames").alias("_counted"), "len_radar")
         name = F.col("session")
@@ -55,7 +63,7 @@ class Dataset:
         if "radar" in (arrays or []):
             wrong = wrong.when(F.col("len_radar") == 0, F.concat(
                 F.lit("input 'radar': no radar array in session "), name))
-        checked = place_chunks(self.headers).join(state.select("session", wrong.alias("_wrong")), "session")
+        checked = place_chunks(headers).join(state.select("session", wrong.alias("_wrong")), "session")
         path = F.when(F.col("_wrong").isNull(), F.col("chunk_path")).otherwise(F.raise_error(F.col("_wrong")))
         return checked.withColumn("chunk_path", path).drop("_wrong")
 
@@ -77,7 +85,8 @@ class Dataset:
             placed = mask_slices(mask, written(placed, "chunks"))
         if sample is not None:
             placed = chunks_to_sample(placed, sample)
-        chunks = with_side(placed.join(self.metadata.select("session", "key_names", "file_fps"), "session"), self.split)
+        metadata = session_metadata(self.stored_headers()).select("session", "key_names", "file_fps")
+        chunks = with_side(placed.join(metadata, "session"), self.split)
         rows = read_frames(chunks, arrays, keep=["key_names", "side", "n_frames", "file_fps"],
                            gameplay_filter=gameplay_filter)
         return rows if sample is None else even_sample(rows, sample)
@@ -94,8 +103,8 @@ class Dataset:
         source, _ = resolve_input(image)
         if source == "radar":
             asked = self.sessions.join(request.select("session"), "session", "left_semi")
-            require_radar(asked, self.headers)
-        own = self.headers.join(request.select("session"), "session", "left_semi")
+            require_radar(asked, self.stored_headers())
+        own = self.stored_headers().join(request.select("session"), "session", "left_semi")
         placed = written(replace(self, headers=own).checked_chunks([source]), "chunks")
         serve = serve_in_order if in_order else serve_by_chunk
         rows = serve(request, placed, image, ["keys", "lclick", "rclick", "dx", "dy"])

@@ -14,8 +14,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MANIFEST_SCHEMA = ("schema_version INT, session STRING, geom STRING, loop_fps_target INT, "
-                   "chunks ARRAY<STRING>, total_frames LONG, complete BOOLEAN, _corrupt STRING")
+MANIFEST_FIELDS = {"schema_version": "int", "geom": "string", "loop_fps_target": "int", "chunks": "array<string>",
+                   "total_frames": "bigint", "complete": "boolean"}
 SESSION_SCHEMA = ("session STRING, path STRING, is_folder BOOLEAN, modified TIMESTAMP, bytes LONG, "
                   "schema_version INT, geom STRING, loop_fps_target INT, chunks ARRAY<STRING>, "
                   "total_frames LONG, complete BOOLEAN, readable BOOLEAN")
@@ -44,22 +44,20 @@ def _files(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def _folders(spark: SparkSession, root: str) -> DataFrame:
+    """One row per manifest. A field of an unexpected kind is null; only text that is no JSON object is unreadable."""
     try:
-        raw = (spark.read.option("multiLine", True).option("mode", "PERMISSIVE")
-               .option("columnNameOfCorruptRecord", "_corrupt")
-               .schema(MANIFEST_SCHEMA).json(f"{root}/*/manifest.json")
-               .select("*", F.col("_metadata.file_path").alias("_file"),
-                       F.col("_metadata.file_modification_time").alias("modified"),
-                       F.col("_metadata.file_size").alias("bytes")))
+        raw = spark.read.option("wholetext", True).text(f"{root}/*/manifest.json").select(
+            F.try_parse_json("value").alias("_v"), F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_size").alias("bytes"))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], SESSION_SCHEMA)
     folder = F.regexp_replace("_file", r"/manifest\.json$", "")
+    fields = [F.try_variant_get("_v", f"$.{name}", kind).alias(name) for name, kind in MANIFEST_FIELDS.items()]
     return raw.select(
-        session_name(folder).alias("session"), folder.alias("path"), F.lit(True).alias("is_folder"),
-        "modified", "bytes", "schema_version", "geom", "loop_fps_target", "chunks", "total_frames",
-        "complete", F.col("_corrupt").isNull().alias("readable"))
+        session_name(folder).alias("session"), folder.alias("path"), F.lit(True).alias("is_folder"), "modified", "bytes",
+        *fields, F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False)).alias("readable"))
 
 
 def scan_sessions(spark: SparkSession, root: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from replaylens.operators import validate
 from replaylens.plans.training import open_recordings
-from replaylens.sources import chunks, serving
+from replaylens.sources import chunks, manifests, serving
 
 MASK = "session STRING, frame_idx LONG, keep BOOLEAN, source_frames LONG"
 
@@ -152,3 +152,27 @@ def test_a_chunk_longer_than_a_bitmap(spark):
     row = serving.mask_slices(mask, placed).where("chunk_idx = 0").first()
     bits = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little") for b in row["dropped"]])
     assert (np.flatnonzero(bits) + 10).tolist() == gone and len(row["dropped"]) == 3
+
+
+def test_oddly_typed_manifest_fields(spark, recordings):
+    """A field of another kind is not known; the session is usable as far as the rest says."""
+    recordings.folder("odd", [3, 2], 3, loop_fps_target="fast", geom={"w": 1}, schema_version="three")
+    recordings.folder("count", [3], 3, seed=2, total_frames="many")
+    recordings.folder("text", [3], 3, seed=3, chunks="chunk_00000.npz")
+    for name, text in (("list", "[1, 2]"), ("cut", '{"complete": tr')):
+        recordings.folder(name, [1], 2, seed=4)
+        with open(f"{recordings.root}/{name}/manifest.json", "w") as f:
+            f.write(text)
+    rows = {r["session"]: r for r in manifests.scan_sessions(spark, recordings.root).collect()}
+    assert {s: r["reason"] for s, r in rows.items()} == {
+        "odd": None, "count": None, "text": manifests.EMPTY, "list": manifests.UNREADABLE, "cut": manifests.UNREADABLE}
+    assert rows["odd"]["loop_fps_target"] is None and rows["odd"]["total_frames"] == 5
+    assert rows["count"]["total_frames"] is None and rows["count"]["schema_version"] == 3
+    assert open_recordings(spark, recordings.root).frames(["dx"]).groupBy("session").count().count() == 2
+
+
+def test_chunk_headers_are_read_once(spark, stored):
+    before = stored.stored_headers()
+    assert stored.frames(["dx"]).count() == 59 and stored.stored_headers() is before
+    stored.headers = stored.headers.where("session = 's3'")
+    assert stored.frames(["dx"]).count() == 11
