@@ -10,7 +10,9 @@ in the order that says which lists are short. A first search offers each class o
 of its lists; those it shares most lists with are its leaders. Classes with one leader, such as the copies of a text
 with ever more edits, are compared in blocks, where common shingles are counted by a matrix product, but for those that
 are tied by the leader itself. The second, whole search finds the links between classes of different leaders that are
-not connected yet, so that a group of near copies is never spelled out in pairs.
+not connected yet. It cuts lists by blocks of classes: two blocks meet once for each list that both are on, the counts of
+their pairs are a matrix in the task, and only classes with a partner on enough lists are compared by their whole sets,
+so that a group of near copies is never spelled out in pairs.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ COMMON = 2000
 COUNTED = 4_000_000
 #: Classes, and hashes, in a block of classes that are compared with each other.
 BLOCK, BLOCK_HASHES = 256, 1 << 16
+#: What the whole search knows of a class on a list.
+MEMBER = ("class", "n", "group", "leader", "upper")
 
 
 def _signed(hashes: np.ndarray) -> np.ndarray:
@@ -216,6 +220,118 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int, block: int =
     return both.mapInPandas(compare, "a long, b long")
 
 
+def class_blocks(placed: DataFrame, block: int = BLOCK, hashes: int = BLOCK_HASHES) -> DataFrame:
+    """(class, block): classes in the order of their leaders' leaders, so that near copies lie in few blocks."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, held, size = None, 0, 0
+        for batch in batches:
+            names = []
+            for c, n in zip(batch["class"].tolist(), batch["n"].tolist()):
+                if name is None or held >= block or size + n > hashes:
+                    name, held, size = c, 0, 0
+                held, size = held + 1, size + n
+                names.append(name)
+            yield pd.DataFrame({"class": batch["class"], "block": np.array(names, dtype=np.int64)})
+    order = ["root", "leader", "class"]
+    rows = placed.select(*order, "n").distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(rows.mapInPandas(run, "class long, block long"), "class-blocks")
+
+
+def _merged_lists(total: tuple | None, rows: pd.DataFrame) -> tuple:
+    """Members of both blocks (a column each) and on how many lists each pair is, with ``rows`` (a list each) added."""
+    sides, marks = [], []
+    for s in "xy":
+        members = np.stack([np.concatenate(rows[f"{c}_{s}"].tolist()) for c in MEMBER])
+        _, first, at = np.unique(members[0], return_index=True, return_inverse=True)
+        mark = np.zeros((len(first), len(rows)), dtype=np.float32)
+        mark[at, np.repeat(np.arange(len(rows)), [len(c) for c in rows[f"class_{s}"]])] = 1
+        sides.append(members[:, first])
+        marks.append(mark)
+    found = (*sides, marks[0] @ marks[1].T)
+    if total is None:
+        return found
+    x, y = (np.unique(np.concatenate([total[i], found[i]], axis=1), axis=1) for i in (0, 1))
+    counts = np.zeros((x.shape[1], y.shape[1]), dtype=np.float32)
+    for a, b, k in (total, found):
+        counts[np.ix_(np.searchsorted(x[0], a[0]), np.searchsorted(y[0], b[0]))] += k
+    return x, y, counts
+
+
+def block_candidates(placed: DataFrame, percent: int, block: int = BLOCK, hashes: int = BLOCK_HASHES) -> DataFrame:
+    """(block_x, block_y, side, class): classes of two blocks with a partner in the other that is on enough lists.
+
+    ``placed`` has a row for each class on a list: shingle, root and the columns MEMBER. A list is cut by blocks, and
+    two blocks meet once for each list that both are on; the counts of all their pairs are kept in the task.
+    Pairs of one group (connected already), leader or upper (compared already) don't count.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def chosen(key: tuple, total: tuple) -> pd.DataFrame:
+            x, y, counts = total
+            (a, n, *one), (b, m, *other) = x[:, :, None], y[:, None, :]
+            good = (counts > np.minimum(n, m) // 20) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            for p, q in zip(one, other):
+                good &= p != q
+            if key[0] == key[1]:
+                good &= a < b
+            xs, ys = x[0][good.any(axis=1)], y[0][good.any(axis=0)]
+            return pd.DataFrame({"block_x": key[0], "block_y": key[1], "class": np.concatenate([xs, ys]),
+                                 "side": np.repeat([0, 1], [len(xs), len(ys)])})
+        key, total = None, None
+        for batch in batches:
+            out = []
+            ends = batch[["block_x", "block_y"]].to_numpy()
+            cuts = [0, *(np.flatnonzero((ends[1:] != ends[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo < hi:
+                    if (now := tuple(ends[lo].tolist())) != key:
+                        if total is not None:
+                            out.append(chosen(key, total))
+                        key, total = now, None
+                    for at in range(lo, hi, 4096):
+                        total = _merged_lists(total, batch.iloc[at:min(at + 4096, hi)])
+            if out:
+                yield pd.concat(out)
+        if total is not None:
+            yield chosen(key, total)
+    several = ("group", "leader", "upper")
+    lists = written(placed.join(class_blocks(placed, block, hashes), "class").groupBy("shingle", "block").agg(
+        F.sort_array(F.collect_list(F.struct(*MEMBER))).alias("members"),  # at most ``block``
+        *(f(c).alias(f"{c}_{end}") for c in several for f, end in ((F.min, "lo"), (F.max, "hi")))), "block-lists")
+    x, y = lists.alias("x"), lists.alias("y")
+    meet = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.block") <= F.col("y.block"))
+    for c in several:
+        meet &= F.least(f"x.{c}_lo", f"y.{c}_lo") < F.greatest(f"x.{c}_hi", f"y.{c}_hi")
+    both = x.join(y, meet).select(
+        F.col("x.block").alias("block_x"), F.col("y.block").alias("block_y"),
+        *(F.col(f"{s}.members.{c}").alias(f"{c}_{s}") for s in "xy" for c in MEMBER))
+    return both.repartition("block_x", "block_y").sortWithinPartitions("block_x", "block_y").mapInPandas(
+        run, "block_x long, block_y long, class long, side int")
+
+
+def decided(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Stars (a, b) of the links between the two sides of each pair of blocks, by their whole sets."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def links(held: list[tuple]) -> list[tuple[int, int]]:
+            (a, x), (b, y) = (([h[1] for h in held if h[0] == s], [np.frombuffer(h[2], dtype=np.uint64) for h in held
+                                                                  if h[0] == s]) for s in (0, 1))
+            a, b, n, m = np.array(a), np.array(b), np.array([*map(len, x)]), np.array([*map(len, y)])
+            common = _common_counts(x, y)
+            linked = (100 * common >= percent * (n[:, None] + m[None, :] - common)) & (a[:, None] != b[None, :])
+            return stars(linked, a, b)
+        key, held = None, []
+        for batch in batches:
+            out = []
+            for bx, by, *row in zip(*(batch[c] for c in ("block_x", "block_y", "side", "class", "hashes"))):
+                if (bx, by) != key:
+                    out += links(held) if held else []
+                    key, held = (bx, by), []
+                held.append(row)
+            yield pd.DataFrame(out, columns=["a", "b"])
+        yield pd.DataFrame(links(held) if held else [], columns=["a", "b"])
+    rows = candidates.join(sets, "class").repartition("block_x", "block_y").sortWithinPartitions("block_x", "block_y")
+    return rows.mapInPandas(run, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                        common: int = COMMON) -> DataFrame:
     """doc_id, n_shingles, component_id for each document of ``docs`` (doc_id integer, text; others are ignored).
@@ -268,22 +384,15 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     links = written(links.unionAll(same.where("b is not null")), "links")
     known = connected_components(links)
 
-    # Second search: all pairs on the lists that are not connected yet.
-    placed = shared.select("shingle", "class", "n").join(leaders, "class").join(
+    # Second search: all pairs on the lists that are not connected yet, block by block.
+    ahead = leaders.select(F.col("class").alias("leader"), F.col("leader").alias("root"))
+    placed = shared.select("shingle", "class", "n").join(leaders.join(ahead, "leader"), "class").join(
         known.withColumnRenamed("node", "class"), "class", "left")
-    placed = placed.withColumn("group", F.coalesce("component", "class")).select(
-        "shingle", "class", "n", "group", "leader", "upper")
+    placed = placed.withColumn("group", F.coalesce("component", "class")).select("shingle", "root", *MEMBER)
     mixed = placed.groupBy("shingle").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi")
     placed = written(placed.join(mixed.select("shingle"), "shingle"), "placed")
-    x, y = placed.alias("x"), placed.alias("y")
-    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.class") < F.col("y.class"))
-                   & (F.col("x.group") != F.col("y.group")) & (F.col("x.leader") != F.col("y.leader"))
-                   & (F.col("x.upper") != F.col("y.upper"))
-                   & _near_in_size(F.col("x.n"), F.col("y.n"), percent))
-    pairs = pairs.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b"),
-                          F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count("*").alias("k"))
-    more = probe(pairs.where(_enough(F.col("k"), F.col("n"), F.col("m"))), sets, percent)
-    known = connected_components(links.unionAll(more.select("a", "b")))
+    more = decided(block_candidates(placed, percent), sets, percent)
+    known = connected_components(links.unionAll(more))
     of_class = classes.join(known.withColumnRenamed("node", "class"), "class", "left").withColumn(
         "root", F.coalesce("component", "class"))
     least = of_class.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))

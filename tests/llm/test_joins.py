@@ -81,6 +81,25 @@ def test_ngram_join_on_many_edits(spark):
     assert Counter(map(tuple, got.collect())) == Counter((i, n, groups.find(i)) for i, n in sizes)
 
 
+def test_ngram_join_on_unconnected_copies(spark, monkeypatch):
+    """400 copies, most of them just under the limit with each other, and a list that a third of all classes are on."""
+    monkeypatch.setattr(ngram_join.block_candidates, "__defaults__", (50, 1 << 16))
+    rng, rows = random.Random(8), []
+    words = invented(70, 90).split(" ")
+    for i in range(400):
+        copy = words[:]
+        for j in rng.sample(range(90), 2 if i % 9 else 1):
+            copy[j] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    for i in range(400, 1000):
+        tail = " ".join(words[:4]) if i % 3 else "x"
+        rows.append((i, tail + " " + invented(1000 + i // 2, 40) + (" more" if i % 2 else "")))
+    sizes, groups = alike(rows, 4, 85)
+    assert 30 < len({groups.find(i) for i in range(400)}) < 399
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, got.collect())) == Counter((i, n, groups.find(i)) for i, n in sizes)
+
+
 def test_keep_one(spark, docs, fixture_rows):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
