@@ -5,11 +5,13 @@
    places are shuffled. An occurrence is its anchor with the bytes around it that a 100-byte string with it can reach.
 2. Of occurrences that are equal with their surroundings all but the first are repeats as a whole. Anchors with one
    occurrence are done. What is left, the places where copies begin to differ, goes on.
-3. Surroundings are dealt to shards by anchor. A shard sorts its suffixes by Larsson-Sadakane refinement to depth 100:
-   eight bytes first, then doubled depths, only within groups that are still open. Suffixes that stay together have
-   100 bytes in common, which is all that the common prefixes are needed for; in each run all but the first are repeats.
-4. An anchor with too many different surroundings for one shard is spread over many; each sorts its strings, and the
-   sorted tables are merged with the first place of each string by Spark's sort-merge join.
+3. Surroundings are sorted by anchor and cut into shards. A shard sorts its suffixes by Larsson-Sadakane refinement to
+   depth 100: eight bytes first, then doubled depths, only within groups that are still open. Suffixes that stay together
+   have 100 bytes in common, which is all that the common prefixes are needed for; in each run all but the first are repeats.
+4. An anchor may lie in several shards. Each gives the first place of every different string there as a sorted table.
+   The tables are merged by ranges of (string, place): a place goes to its range by binary search among sampled splitters,
+   and within a range all but the first of a string are repeats. A string that goes on over the edge of a range is found
+   by the ranges' last strings, one row each, so that no string's places ever meet in one task.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from replaylens.session import written
 from .shingles import mix
 
 LENGTH, GRAM = 100, 32
-#: Bytes of surroundings in a shard, and different surroundings of one anchor above which it is spread.
-SHARD, SPREAD = 1 << 20, 5_000
+#: Bytes of surroundings in a shard, and of rows that a task holds before it passes them on.
+SHARD, HELD = 1 << 20, 4 << 20
 _BASE = 0x9E3779B97F4A7C15
 _NONE = -(1 << 62)  # stands for a null doc_id
 
@@ -151,7 +153,7 @@ def _occurrences(length: int, gram: int):
                 if seen.get(key, doc_id + 1) <= doc_id:
                     continue  # a copy, found by its digest, or the same document again
                 seen[key] = doc_id
-                if len(seen) > 500_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 held.append((doc_id, tag, raw))
                 size += len(raw)
@@ -203,8 +205,12 @@ def suffix_classes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndar
         depth += further
 
 
+#: Spans of repeats (string null), and first places of strings whose anchor lies in other shards too.
+_FOUND = "doc_id long, tag long, start long, end long, string binary"
+
+
 def _shard_repeats(rows: list[tuple], length: int) -> pd.DataFrame:
-    """Spans of repeats among surroundings (doc_id, tag, low, bytes) of whole anchors."""
+    """Rows of _FOUND for surroundings (doc_id, tag, low, bytes, open): open ones have an anchor that is elsewhere too."""
     rows.sort(key=lambda r: r[:3])
     sizes = np.array([len(r[3]) for r in rows])
     ends = np.cumsum(sizes)
@@ -217,60 +223,83 @@ def _shard_repeats(rows: list[tuple], length: int) -> pd.DataFrame:
     texts = [r[:2] for r in rows]
     number = np.cumsum([0] + [x != y for x, y in zip(texts, texts[1:])])  # of the text, in order
     place = (number[row] << 40) | (np.array([r[2] for r in rows])[row] + inside)
-    order = np.argsort(same)
+    order = np.lexsort((place, same))
     same, place = same[order], place[order]
     new = np.ones(len(same), dtype=bool)
     new[1:] = same[1:] != same[:-1]
-    first = np.minimum.reduceat(place, np.flatnonzero(new))
+    first = place[new]
     again = place[place != first[np.cumsum(new) - 1]]
-    text, at = again >> 40, again & ((1 << 40) - 1)
-    start, end, owner = _joined(at, at + length, text)
+    start, end, owner = _joined(again & ((1 << 40) - 1), (again & ((1 << 40) - 1)) + length, again >> 40)
     of = np.flatnonzero(np.diff(number, prepend=-1))
-    return pd.DataFrame({"doc_id": [rows[of[o]][0] for o in owner], "tag": [rows[of[o]][1] for o in owner],
-                         "start": start, "end": end})
+    ids, tags = (np.array([rows[o][c] for o in of.tolist()], dtype=np.int64) for c in (0, 1))
+    # A string around an open anchor may stand in another shard too. It may also be around further anchors.
+    wide = np.logical_or.reduceat(np.array([r[4] for r in rows], dtype=bool)[row[order]], np.flatnonzero(new))
+    heads, first = order[new][wide], first[wide]
+    at = begins[row[heads]] + inside[heads]
+    raw = data.tobytes()
+    return pd.DataFrame({
+        "doc_id": np.concatenate([ids[owner], ids[first >> 40]]), "tag": np.concatenate([tags[owner], tags[first >> 40]]),
+        "start": np.concatenate([start, first & ((1 << 40) - 1)]),
+        "end": np.concatenate([end, (first & ((1 << 40) - 1)) + length]),
+        "string": [None] * len(start) + [raw[i:i + length] for i in at.tolist()]})
 
 
 def _in_shards(length: int, shard: int):
+    """Shards of rows that are sorted by anchor. An anchor that a shard holds whole is no other shard's business."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size, last = [], 0, None
+        held, size, last = [], 0, None  # held: [kinds, rows] of one anchor after the other
+
+        def repeats() -> pd.DataFrame:
+            return _shard_repeats([(*r, len(rows) != kinds) for kinds, rows in held for r in rows], length)
         for batch in batches:
-            for anchor, *row in zip(*(batch[c] for c in ("anchor", "doc_id", "tag", "low", "around"))):
-                if size > shard and anchor != last:
-                    yield _shard_repeats(held, length)
-                    held, size = [], 0
-                held.append(tuple(row))
+            for anchor, kinds, *row in zip(*(batch[c] for c in ("anchor", "kinds", "doc_id", "tag", "low", "around"))):
+                if size > shard and (anchor != last or size > 2 * shard):
+                    yield repeats()
+                    held, size, last = [], 0, None
+                if anchor != last:
+                    held.append((kinds, []))
+                held[-1][1].append(tuple(row))
                 size += len(row[3])
                 last = anchor
         if held:
-            yield _shard_repeats(held, length)
+            yield repeats()
     return run
 
 
-def _strings(length: int):
-    """Sorted table of a shard's strings: each different one with its places."""
+def _merged(length: int):
+    """Repeats among a range of strings sorted with their places, then the range's ends as one row."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head, last, since = None, None, None  # the range's first row, its last string, and the first place of that
         for batch in batches:
-            out = [(raw[i:i + length], d, t, low + i) for d, t, low, raw in
-                   zip(*(batch[c] for c in ("doc_id", "tag", "low", "around"))) for i in range(len(raw) - length + 1)]
-            out.sort()
-            yield pd.DataFrame(out, columns=["string", "doc_id", "tag", "start"])
+            if not len(batch):
+                continue
+            head = batch.iloc[:1] if head is None else head
+            again = []
+            for string, *place in zip(*(batch[c] for c in ("string", "doc_id", "tag", "start"))):
+                if string != last:
+                    last, since = string, place
+                again.append(place != since)  # shards of different anchors may give the same place
+            again = batch[again]
+            yield again.assign(end=again["start"] + length, string=None, last=None)
+        if head is not None:
+            yield head.assign(end=head["start"] + length, last=last)
     return run
 
 
-def _spread_repeats(around: DataFrame, length: int) -> DataFrame:
-    """Repeats among surroundings of anchors that one shard can't hold.
-
-    Each string's first place is a map-side minimum, and the sorted tables are joined to it by sort-merge: a hot
-    string is split by Spark as any skewed side of a join.
-    """
-    strings = around.mapInPandas(_strings(length), "string binary, doc_id long, tag long, start long")
-    first = strings.groupBy("string").agg(F.min(F.struct("doc_id", "tag", "start")).alias("first"))
-    found = strings.join(first, "string").where(F.struct("doc_id", "tag", "start") > F.col("first"))
-    return found.select("doc_id", "tag", "start", (F.col("start") + length).alias("end"))
+def _across_shards(strings: DataFrame, length: int) -> DataFrame:
+    """Spans of the places in ``strings`` (string, doc_id, tag, start) that are not the first of their string."""
+    order = ["string", "doc_id", "tag", "start"]
+    found = written(strings.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(
+        _merged(length), f"{_FOUND}, last binary"), "merged")
+    ends = found.where("last is not null")  # one row a range
+    place = lambda side: F.struct(*(F.col(f"{side}.{c}") for c in order[1:]))
+    goes_on = ends.alias("x").join(ends.alias("y"), (F.col("x.string") == F.col("y.last")) & (
+        (F.col("y.string") < F.col("x.string")) | (place("y") < place("x"))), "left_semi")
+    spans = ("doc_id", "tag", "start", "end")
+    return found.where("last is null").select(*spans).unionAll(goes_on.select(*spans))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD,
-                   spread: int = SPREAD) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """(doc_id, tag, start, end) byte spans of ``docs`` (doc_id long without nulls, text without nulls) that repeat
     an earlier string of ``length`` bytes. Spans of a document may overlap or touch."""
     side = length - gram
@@ -287,9 +316,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
         "doc_id", "tag", F.when(F.col("upto") > 0, F.col("at")).otherwise(F.greatest(F.col("at") - side, F.lit(0))).alias(
             "start"), F.when(F.col("upto") > 0, F.col("upto")).otherwise(F.col("at") + length).alias("end"))
 
+    names = ["anchor", "kinds", "doc_id", "tag", "low", "around"]
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            out, size = [], 0
             for doc_id, tag, text, places in zip(*(batch[c] for c in ("doc_id", "tag", "text", "places"))):
                 raw = text.encode()
                 if text_tag(raw) != tag:
@@ -297,20 +328,24 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
                 for p in places:
                     low = max(0, p["at"] - side)
                     out.append((p["anchor"], p["kinds"], doc_id, tag, low, raw[low:p["at"] + length]))
-            yield pd.DataFrame(out, columns=["anchor", "kinds", "doc_id", "tag", "low", "around"])
+                    size += len(out[-1][-1])
+                if size > HELD:
+                    yield pd.DataFrame(out, columns=names)
+                    out, size = [], 0
+            yield pd.DataFrame(out, columns=names)
     open_ = rows.where("upto = 0 and nth = 1").groupBy("doc_id", "tag").agg(
         F.collect_set(F.struct("anchor", "kinds", "at")).alias("places"))  # no more than a document's anchors
     around = open_.join(docs.select("doc_id", "text").distinct(), "doc_id").mapInPandas(
         cut, "anchor long, kinds long, doc_id long, tag long, low long, around binary")
     around = written(around, "surroundings")
-    few = around.where(F.col("kinds") <= spread).repartition("anchor").sortWithinPartitions("anchor")
-    spans = "doc_id long, tag long, start long, end long"
-    return whole.unionAll(few.mapInPandas(_in_shards(length, shard), spans)).unionAll(
-        _spread_repeats(around.where(F.col("kinds") > spread), length))
+    order = ["anchor", "around", "doc_id", "tag", "low"]
+    found = written(around.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(
+        _in_shards(length, shard), _FOUND), "shards")
+    spans = found.where("string is null").select("doc_id", "tag", "start", "end")
+    return whole.unionAll(spans).unionAll(_across_shards(found.where("string is not null"), length))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD,
-                   spread: int = SPREAD) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """``docs`` with kept binary (the bytes that stay), n_bytes, n_removed and n_spans long; row for row.
 
     A string starts earlier in a document with a smaller doc_id or further left in the same one. Null texts count as
@@ -326,7 +361,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     first = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).where("k > 1")
     copies = digests.join(first, "digest").where("doc_id > first").select(
         "doc_id", "tag", F.lit(0).cast("long").alias("start"), F.lit(1 << 40).alias("end"))
-    spans = repeated_spans(plain, length, gram, shard, spread).unionAll(copies)
+    spans = repeated_spans(plain, length, gram, shard).unionAll(copies)
     spans = spans.groupBy(F.col("doc_id").alias("__of")).agg(
         F.collect_list(F.struct("tag", "start", "end")).alias("__spans"))
     rows = rows.join(spans, F.col("__id") == F.col("__of"), "left")
