@@ -8,10 +8,10 @@
 3. Surroundings are sorted by anchor and cut into shards. A shard sorts its suffixes by Larsson-Sadakane refinement to
    depth 100: eight bytes first, then doubled depths, only within groups that are still open. Suffixes that stay together
    have 100 bytes in common, which is all that the common prefixes are needed for; in each run all but the first are repeats.
-4. An anchor may lie in several shards. Each gives the first place of every different string there as a sorted table.
-   The tables are merged by ranges of (string, place): a place goes to its range by binary search among sampled splitters,
-   and within a range all but the first of a string are repeats. A string that goes on over the edge of a range is found
-   by the ranges' last strings, one row each, so that no string's places ever meet in one task.
+4. An anchor may lie in several shards. Each gives the first place of every different string there as a sorted table, cut
+   into ranges by a hash of the string. All tables of a range meet in one task, where two by two the strings of one are
+   looked up in the other by binary search; of two places the later one is a repeat. A string has one place a shard there,
+   and the number of ranges follows from the number of strings, so that a task holds a bounded part.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from replaylens.session import written
 from .shingles import mix
 
 LENGTH, GRAM = 100, 32
-#: Bytes of surroundings in a shard, and of rows that a task holds before it passes them on.
-SHARD, HELD = 1 << 20, 4 << 20
+#: Bytes of surroundings in a shard, of strings in a range, and of rows that a task holds before it passes them on.
+SHARD, RANGE, HELD = 1 << 20, 8 << 20, 4 << 20
 _BASE = 0x9E3779B97F4A7C15
 _NONE = -(1 << 62)  # stands for a null doc_id
 
@@ -205,11 +205,12 @@ def suffix_classes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndar
         depth += further
 
 
-#: Spans of repeats (string null), and first places of strings whose anchor lies in other shards too.
-_FOUND = "doc_id long, tag long, start long, end long, string binary"
+_SPANS = "doc_id long, tag long, start long, end long"
+#: Spans of repeats, or (part not null) a range of a sorted table: strings one after the other, and their places.
+_FOUND = f"{_SPANS}, part long, strings binary, places binary"
 
 
-def _shard_repeats(rows: list[tuple], length: int) -> pd.DataFrame:
+def _shard_repeats(rows: list[tuple], length: int, ranges: int) -> pd.DataFrame:
     """Rows of _FOUND for surroundings (doc_id, tag, low, bytes, open): open ones have an anchor that is elsewhere too."""
     rows.sort(key=lambda r: r[:3])
     sizes = np.array([len(r[3]) for r in rows])
@@ -235,22 +236,30 @@ def _shard_repeats(rows: list[tuple], length: int) -> pd.DataFrame:
     # A string around an open anchor may stand in another shard too. It may also be around further anchors.
     wide = np.logical_or.reduceat(np.array([r[4] for r in rows], dtype=bool)[row[order]], np.flatnonzero(new))
     heads, first = order[new][wide], first[wide]
-    at = begins[row[heads]] + inside[heads]
-    raw = data.tobytes()
-    return pd.DataFrame({
-        "doc_id": np.concatenate([ids[owner], ids[first >> 40]]), "tag": np.concatenate([tags[owner], tags[first >> 40]]),
-        "start": np.concatenate([start, first & ((1 << 40) - 1)]),
-        "end": np.concatenate([end, (first & ((1 << 40) - 1)) + length]),
-        "string": [None] * len(start) + [raw[i:i + length] for i in at.tolist()]})
-
-
-def _in_shards(length: int, shard: int):
+    spans = pd.DataFrame({"doc_id": ids[owner], "tag": tags[owner], "start": start, "end": end})
+    strings = np.lib.stride_tricks.sliding_window_view(data, length)[begins[row[heads]] + inside[heads]]
+    places = np.stack([ids[first >> 40], tags[first >> 40], first & ((1 << 40) - 1)], axis=1)
+    hashes = np.zeros(len(strings), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(length):
+            hashes = hashes * np.uint64(_BASE) + strings[:, j]
+        part = (mix(hashes) % np.uint64(ranges)).astype(np.int64)
+    by = np.argsort(part, kind="stable")  # strings stay sorted within a range
+    parts, cuts = np.unique(part[by], return_index=True)
+    tables = pd.DataFrame({"part": parts, "strings": [strings[x].tobytes() for x in np.split(by, cuts[1:])][:len(parts)],
+                           "places": [places[x].tobytes() for x in np.split(by, cuts[1:])][:len(parts)]})
+    names = [c.split()[0] for c in _FOUND.split(", ")]
+    whole = {c: "Int64" for c in ("doc_id", "tag", "start", "end", "part")}
+    return pd.concat([spans.reindex(columns=names).astype(whole), tables.reindex(columns=names).astype(whole)])
+
+
+def _in_shards(length: int, shard: int, ranges: int):
     """Shards of rows that are sorted by anchor. An anchor that a shard holds whole is no other shard's business."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size, last = [], 0, None  # held: [kinds, rows] of one anchor after the other
 
         def repeats() -> pd.DataFrame:
-            return _shard_repeats([(*r, len(rows) != kinds) for kinds, rows in held for r in rows], length)
+            return _shard_repeats([(*r, len(rows) != kinds) for kinds, rows in held for r in rows], length, ranges)
         for batch in batches:
             for anchor, kinds, *row in zip(*(batch[c] for c in ("anchor", "kinds", "doc_id", "tag", "low", "around"))):
                 if size > shard and (anchor != last or size > 2 * shard):
@@ -266,40 +275,47 @@ def _in_shards(length: int, shard: int):
     return run
 
 
+def _two_merged(one: tuple, other: tuple) -> tuple[tuple, np.ndarray]:
+    """A table (sorted strings, places) of two, each string with its earlier place, and the later places of strings in both."""
+    (x, p), (y, q) = (one, other) if len(one[0]) >= len(other[0]) else (other, one)
+    at = np.searchsorted(x, y)
+    both = x[np.minimum(at, len(x) - 1)] == y
+    mine, theirs = p[at[both]], q[both]
+    sooner, same = np.zeros(len(mine), dtype=bool), np.ones(len(mine), dtype=bool)
+    for c in range(3):
+        sooner |= same & (theirs[:, c] < mine[:, c])
+        same &= theirs[:, c] == mine[:, c]
+    later = np.where(sooner[:, None], mine, theirs)[~same]  # shards of different anchors may give the same place
+    p = p.copy()
+    p[at[both]] = np.where(sooner[:, None], theirs, mine)
+    return (np.insert(x, at[~both], y[~both]), np.insert(p, at[~both], q[~both], axis=0)), later
+
+
 def _merged(length: int):
-    """Repeats among a range of strings sorted with their places, then the range's ends as one row."""
+    """Repeats among the tables of each range; rows come sorted by range."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head, last, since = None, None, None  # the range's first row, its last string, and the first place of that
+        held, part = [], None  # tables, each less than half as long as the one before
+
+        def shrunk(all_: bool) -> Iterator[pd.DataFrame]:
+            while len(held) > 1 and (all_ or 2 * len(held[-1][0]) >= len(held[-2][0])):
+                table, later = _two_merged(held.pop(), held.pop())
+                held.append(table)
+                yield pd.DataFrame(later, columns=["doc_id", "tag", "start"]).assign(end=later[:, 2] + length)
         for batch in batches:
-            if not len(batch):
-                continue
-            head = batch.iloc[:1] if head is None else head
-            again = []
-            for string, *place in zip(*(batch[c] for c in ("string", "doc_id", "tag", "start"))):
-                if string != last:
-                    last, since = string, place
-                again.append(place != since)  # shards of different anchors may give the same place
-            again = batch[again]
-            yield again.assign(end=again["start"] + length, string=None, last=None)
-        if head is not None:
-            yield head.assign(end=head["start"] + length, last=last)
+            for now, strings, places in zip(batch["part"].tolist(), batch["strings"], batch["places"]):
+                if now != part:
+                    yield from shrunk(True)
+                    held.clear()
+                    part = now
+                held.append((np.frombuffer(strings, dtype=f"S{length}"),  # of equal length, so zeros at the end are no matter
+                             np.frombuffer(places, dtype=np.int64).reshape(-1, 3)))
+                yield from shrunk(False)
+        yield from shrunk(True)
     return run
 
 
-def _across_shards(strings: DataFrame, length: int) -> DataFrame:
-    """Spans of the places in ``strings`` (string, doc_id, tag, start) that are not the first of their string."""
-    order = ["string", "doc_id", "tag", "start"]
-    found = written(strings.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(
-        _merged(length), f"{_FOUND}, last binary"), "merged")
-    ends = found.where("last is not null")  # one row a range
-    place = lambda side: F.struct(*(F.col(f"{side}.{c}") for c in order[1:]))
-    goes_on = ends.alias("x").join(ends.alias("y"), (F.col("x.string") == F.col("y.last")) & (
-        (F.col("y.string") < F.col("x.string")) | (place("y") < place("x"))), "left_semi")
-    spans = ("doc_id", "tag", "start", "end")
-    return found.where("last is null").select(*spans).unionAll(goes_on.select(*spans))
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD,
+                   merged: int = RANGE) -> DataFrame:
     """(doc_id, tag, start, end) byte spans of ``docs`` (doc_id long without nulls, text without nulls) that repeat
     an earlier string of ``length`` bytes. Spans of a document may overlap or touch."""
     side = length - gram
@@ -339,13 +355,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
         cut, "anchor long, kinds long, doc_id long, tag long, low long, around binary")
     around = written(around, "surroundings")
     order = ["anchor", "around", "doc_id", "tag", "low"]
+    in_several = around.where(F.col("kinds") > shard // (length + side)).count()  # but for few at the edges of tasks
+    ranges = 1 + in_several * (side + 1) * length // merged
     found = written(around.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(
-        _in_shards(length, shard), _FOUND), "shards")
-    spans = found.where("string is null").select("doc_id", "tag", "start", "end")
-    return whole.unionAll(spans).unionAll(_across_shards(found.where("string is not null"), length))
+        _in_shards(length, shard, ranges), _FOUND), "shards")
+    tables = found.where("part is not null").select("part", "strings", "places")
+    across = tables.repartition("part").sortWithinPartitions("part").mapInPandas(_merged(length), _SPANS)
+    return whole.unionAll(found.where("part is null").select(*across.columns)).unionAll(across)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD,
+                   merged: int = RANGE) -> DataFrame:
     """``docs`` with kept binary (the bytes that stay), n_bytes, n_removed and n_spans long; row for row.
 
     A string starts earlier in a document with a smaller doc_id or further left in the same one. Null texts count as
@@ -361,7 +381,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     first = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).where("k > 1")
     copies = digests.join(first, "digest").where("doc_id > first").select(
         "doc_id", "tag", F.lit(0).cast("long").alias("start"), F.lit(1 << 40).alias("end"))
-    spans = repeated_spans(plain, length, gram, shard).unionAll(copies)
+    spans = repeated_spans(plain, length, gram, shard, merged).unionAll(copies)
     spans = spans.groupBy(F.col("doc_id").alias("__of")).agg(
         F.collect_list(F.struct("tag", "start", "end")).alias("__spans"))
     rows = rows.join(spans, F.col("__id") == F.col("__of"), "left")

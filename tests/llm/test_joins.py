@@ -149,10 +149,29 @@ def test_suffix_dedup_of_one_hot_anchor(spark):
     expected = repeats(rows, 100)
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     for shard in (1 << 20, 3000):
-        for r in suffix_dedup.remove_repeats(table, shard=shard).withColumn("kept", F.sha2("kept", 256)).collect():
+        for r in suffix_dedup.remove_repeats(table, shard=shard, merged=40_000).withColumn("kept", F.sha2("kept", 256)).collect():
             assert (r.n_bytes, r.n_removed, r.n_spans, r.kept) == expected[r.doc_id, r.text], (shard, r.doc_id)
 
 
+def test_merging_two_sorted_tables():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        pool = rng.integers(0, 4, (30, 100)).astype(np.uint8) * np.uint8(85)  # zeros at the end, bytes above 127
+        pool[:, :97] = pool[0, :97]
+        tables = []
+        for _ in range(2):
+            strings = np.unique(pool[rng.integers(0, 30, 20)], axis=0)
+            tables.append((np.frombuffer(strings.tobytes(), dtype="S100"), rng.integers(0, 3, (len(strings), 3))))
+        (strings, places), later = suffix_dedup._two_merged(*tables)
+        expected = {}
+        for s, p in tables:
+            for string, place in zip(s, p.tolist()):
+                expected.setdefault(string, []).append(place)
+        assert dict(zip(strings, places.tolist())) == {s: min(p) for s, p in expected.items()}
+        assert strings.tolist() == sorted(strings.tolist())
+        assert sorted(later.tolist()) == sorted(max(p) for p in expected.values() if p[0] != p[-1])
+
+
 def test_suffix_classes():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
