@@ -38,6 +38,12 @@ def input_shape(spec) -> tuple[int, int]:
     return RADAR_HW if column == "radar" else crop[2:] if crop else FRAME_HW
 
 
+def cut(images: np.ndarray, rect: tuple[int, int, int, int]) -> np.ndarray:
+    """The crop (top, left, height, width) of (rows, height, width, 3)."""
+    top, left, height, width = rect
+    return images[:, top:top + height, left:left + width]
+
+
 def as_images(column: pa.Array, hw: tuple[int, int]) -> np.ndarray:
     """A binary Arrow column as (rows, height, width, 3), without copying."""
     size = hw[0] * hw[1] * 3
@@ -137,10 +143,9 @@ def crop_images(df: DataFrame, spec, keep: list[str]) -> DataFrame:
     column, rect = resolve_input(spec)
     if rect is None:
         return df.select(*keep, df[column].alias("image"))
-    top, left, height, width = rect
 
     def compute(images):
-        return {"image": as_binary(images[:, top:top + height, left:left + width, :])}
+        return {"image": as_binary(cut(images, rect))}
     return _map(df, keep, column, FRAME_HW, "image BINARY", compute)
 
 

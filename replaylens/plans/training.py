@@ -68,7 +68,7 @@ class Dataset:
         return checked.withColumn("chunk_path", path).drop("_wrong")
 
     def frames(self, arrays: list[str] | None = None, sample: int | None = None, mask: DataFrame | None = None,
-               gameplay_filter: bool = False) -> DataFrame:
+               gameplay_filter: bool = False, crop=None) -> DataFrame:
         """Frames of all usable sessions with key names, side and session length.
 
         These are joined to the chunk list, so frames come out of the decoding task
@@ -79,6 +79,7 @@ class Dataset:
         ``mask`` is a keep-mask table, and with ``gameplay_filter`` frames that are dead or
         in freezetime go too; both act inside the decoder, and frame indices stay those of
         the recording. Stale and absent masks, and recordings without state, filter nothing.
+        ``crop`` cuts the array ``frames`` inside the decoder too.
         """
         placed = self.checked_chunks(arrays)
         if mask is not None:
@@ -88,7 +89,7 @@ class Dataset:
         metadata = session_metadata(self.stored_headers()).select("session", "key_names", "file_fps")
         chunks = with_side(placed.join(metadata, "session"), self.split)
         rows = read_frames(chunks, arrays, keep=["key_names", "side", "n_frames", "file_fps"],
-                           gameplay_filter=gameplay_filter)
+                           gameplay_filter=gameplay_filter, crop=crop)
         return rows if sample is None else even_sample(rows, sample)
 
     def serve(self, request: DataFrame, image="full", in_order: bool = False) -> DataFrame:

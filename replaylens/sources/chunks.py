@@ -10,8 +10,10 @@ that a mask, a filter or a request leaves out are dropped before they become row
 
 from __future__ import annotations
 
+import io
 import zipfile
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import FREEZETIME, MANDATORY_ARRAYS, OPTIONAL_ARRAYS, SUPPORTED_VERSIONS
-from ..functions.pixels import as_binary
+from ..functions.pixels import as_binary, cut, resolve_input
 from ..operators.ordered import even_positions
 
 # Column type of each array; images stay raw bytes, row-major height x width x 3.
@@ -53,6 +55,21 @@ def _member(archive: zipfile.ZipFile, name: str) -> np.ndarray:
         return np.lib.format.read_array(f, allow_pickle=False)
 
 
+@lru_cache(maxsize=4096)
+def _parsed(header: bytes) -> tuple[tuple, bool, np.dtype]:
+    """Shape, whether stored column by column, and type. Chunks of the same length share their headers."""
+    held = io.BytesIO(header)
+    read = np.lib.format.read_array_header_1_0 if np.lib.format.read_magic(held) == (1, 0) else np.lib.format.read_array_header_2_0
+    return read(held)
+
+
+def _header(f) -> tuple[tuple, bool, np.dtype]:
+    """The header of an array; the file is left at its first row."""
+    start = f.read(8)
+    size = f.read(2 if start[6:7] == b"\x01" else 4)
+    return _parsed(start + size + f.read(int.from_bytes(size, "little")))
+
+
 class StreamedArray:
     """An array of a chunk, read some rows at a time.
 
@@ -62,10 +79,7 @@ class StreamedArray:
 
     def __init__(self, archive: zipfile.ZipFile, name: str):
         self._file, self.name, self.at = archive.open(f"{name}.npy"), name, 0
-        version = np.lib.format.read_magic(self._file)
-        read = (np.lib.format.read_array_header_1_0 if version == (1, 0)
-                else np.lib.format.read_array_header_2_0)
-        self.shape, by_column, self.dtype = read(self._file)
+        self.shape, by_column, self.dtype = _header(self._file)
         if self.dtype.hasobject:
             raise ValueError(f"array {name} holds Python objects")
         self._row = self.dtype.itemsize * int(np.prod(self.shape[1:], dtype=np.int64))
@@ -98,10 +112,7 @@ class StreamedArray:
 def _length(archive: zipfile.ZipFile, name: str) -> int | None:
     """Rows of an array, from its header only."""
     with archive.open(f"{name}.npy") as f:
-        version = np.lib.format.read_magic(f)
-        read = (np.lib.format.read_array_header_1_0 if version == (1, 0)
-                else np.lib.format.read_array_header_2_0)
-        shape = read(f)[0]
+        shape = _header(f)[0]
     return shape[0] if shape else None
 
 
@@ -262,7 +273,7 @@ def known_arrays(arrays: list[str] | None) -> list[str]:
 
 
 def read_frames(placed: DataFrame, arrays: list[str] | None = None, tasks: int | None = None,
-                keep: list[str] = (), gameplay_filter: bool = False) -> DataFrame:
+                keep: list[str] = (), gameplay_filter: bool = False, crop=None) -> DataFrame:
     """Rows of the placed chunks with the wanted arrays; absent optional arrays are null.
 
     ``keep`` names columns of the chunk table, such as side and key names, that every
@@ -270,9 +281,14 @@ def read_frames(placed: DataFrame, arrays: list[str] | None = None, tasks: int |
     that the chunk table's ``dropped`` bitmaps name (see ``serving.mask_slices``) or the
     gameplay filter rejects are left out inside the decoder.
 
+    ``crop`` (see ``resolve_input``) cuts full frames inside the decoder, so that only the cut leaves it.
+
     A chunk whose arrays differ in length is refused, as is an unknown version.
     """
     wanted, keep = known_arrays(arrays), list(keep)
+    image, rect = resolve_input(crop)
+    if rect is not None and image not in wanted:
+        raise ValueError(f"a crop needs the array {image}")
     names = ["session", "chunk_idx", "frame_idx"] + keep + wanted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,6 +298,8 @@ def read_frames(placed: DataFrame, arrays: list[str] | None = None, tasks: int |
                 row["lengths"] = dict(row["lengths"])
                 for at, data in decode(row, wanted, gameplay_filter):
                     n = len(at)
+                    if rect is not None:
+                        data[image] = cut(data[image], rect)
                     columns = [pa.array([row["session"]] * n), pa.array(np.full(n, row["chunk_idx"], np.int32)),
                                pa.array(at + row["frame_base"], type=pa.int64())]
                     columns += [pa.array([row[c]] * n, kind) for c, kind in zip(keep, kept_types)]
