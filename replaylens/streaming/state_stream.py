@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import (BooleanType, IntegerType, StringType, StructField, StructType)
@@ -49,28 +50,51 @@ SLOT_SCHEMA = ("t DOUBLE, n BIGINT, n_updates BIGINT, spectating BOOLEAN, health
 _SLOT_FIELDS = [c.strip().split(" ")[0] for c in SLOT_SCHEMA.split(",")]
 
 
+# A call of a processor or of its state costs much more than a row, so sessions share hashed groups.
+# The number must stay what it was as long as a checkpoint is used.
+GROUPS = 256
+
+
+def group_of(session: str = "session") -> Column:
+    """The group whose call handles a session; state is kept by session inside it."""
+    return F.pmod(F.xxhash64(session), F.lit(GROUPS)).cast("int")
+
+
+def _records(batch: pd.DataFrame, columns: list[str]) -> Iterator[tuple]:
+    """Rows as tuples, with None for what is absent."""
+    return zip(*[batch[c].astype(object).where(batch[c].notna(), None) for c in columns])
+
+
 class _Slot(StatefulProcessor):
     """The newest update of a session overwrites its slot; only the number of updates is added up."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.slot = handle.getValueState("slot", SLOT_SCHEMA)
+        self.slots = handle.getMapState("slots", "session STRING", SLOT_SCHEMA)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = dict(zip(_SLOT_FIELDS, self.slot.get())) if self.slot.exists() else {"n_updates": 0}
-        seen = 0
+        newest, seen = {}, Counter()
+        fields = [c for c in _SLOT_FIELDS if c != "n_updates"]
         for batch in rows:
-            seen += len(batch)
-            row = batch.sort_values(["t", "n"], kind="stable").iloc[-1]
-            if held.get("t") is None or (row["t"], row["n"]) >= (held["t"], held["n"]):
-                held |= {c: None if pd.isna(row[c]) else row[c] for c in _SLOT_FIELDS if c != "n_updates"}
-        held["n_updates"] += seen
-        for c in ("n", "health"):
-            held[c] = None if held[c] is None else int(held[c])
-        for c in ("spectating", "alive", "has_local_state"):
-            held[c] = None if held[c] is None else bool(held[c])
-        held["t"] = float(held["t"])
-        self.slot.update(tuple(held[c] for c in _SLOT_FIELDS))
-        yield pd.DataFrame({"session": [key[0]], "n": [held["n"]], "n_updates": [held["n_updates"]]})
+            seen.update(batch["session"])
+            last = batch.sort_values(["t", "n"], kind="stable").drop_duplicates("session", keep="last")
+            for session, *row in _records(last, ["session", *fields]):
+                if session not in newest or tuple(row[:2]) >= tuple(newest[session][:2]):
+                    newest[session] = row
+        changed = []
+        for session, row in newest.items():
+            held = (dict(zip(_SLOT_FIELDS, self.slots.getValue((session,)))) if self.slots.containsKey((session,))
+                    else {"n_updates": 0})
+            if held.get("t") is None or (row[0], row[1]) >= (held["t"], held["n"]):
+                held |= dict(zip(fields, row))
+            held["n_updates"] += seen[session]
+            for c in ("n", "health"):
+                held[c] = None if held[c] is None else int(held[c])
+            for c in ("spectating", "alive", "has_local_state"):
+                held[c] = None if held[c] is None else bool(held[c])
+            held["t"] = float(held["t"])
+            self.slots.updateValue((session,), tuple(held[c] for c in _SLOT_FIELDS))
+            changed.append((session, held["n"], held["n_updates"]))
+        yield pd.DataFrame(changed, columns=["session", "n", "n_updates"])
 
     def close(self) -> None:
         pass
@@ -79,15 +103,15 @@ class _Slot(StatefulProcessor):
 def slot_stream(updates: DataFrame) -> DataFrame:
     """Keep the newest update of each session in state; the output says which slots a batch has changed."""
     flat = updates.select("session", "t", "n", *[F.col(f"state.{c}").alias(c) for c in _SLOT_FIELDS[3:]])
-    return flat.groupBy("session").transformWithStateInPandas(
+    return flat.withColumn("group", group_of()).groupBy("group").transformWithStateInPandas(
         statefulProcessor=_Slot(), outputStructType="session STRING, n BIGINT, n_updates BIGINT",
         outputMode="Update", timeMode="None")
 
 
 def read_slots(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The slots as of the last committed batch of a ``slot_stream``, read from its state without running it."""
-    stored = spark.read.format("statestore").option("stateVarName", "slot").load(checkpoint)
-    return stored.select("key.session", "value.*")
+    stored = spark.read.format("statestore").option("stateVarName", "slots").load(checkpoint)
+    return stored.select("user_map_key.session", "user_map_value.*")
 
 
 class _Changes(StatefulProcessor):
@@ -100,16 +124,19 @@ class _Changes(StatefulProcessor):
         StructField("saw_local", BooleanType()), StructField("saw_spectating", BooleanType())])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", self._STATE)
+        self.last = handle.getMapState("last", "session STRING", self._STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["t", "n"], kind="stable")
-        held = self.last.get() if self.last.exists() else (None,) * 6 + (False, False)
+        batch = pd.concat(list(rows)).sort_values(["session", "t", "n"], kind="stable")
         names = [f.name for f in self._STATE]
-        prev = dict(zip(names, held))
-        out = []
-        for row in batch.to_dict("records"):
-            cur = {f: None if pd.isna(row[f]) else row[f] for f in _FIELDS}
+        out, at, prev = [], None, {}
+        for session, t, n, *row in _records(batch, ["session", "t", "n", *_FIELDS]):
+            if session != at:
+                if at is not None:
+                    self.last.updateValue((at,), tuple(prev[c] for c in names))
+                held = self.last.getValue((session,)) if self.last.containsKey((session,)) else (None,) * 6 + (False, False)
+                at, prev = session, dict(zip(names, held))
+            cur = dict(zip(_FIELDS, row))
             if cur["health"] is not None:
                 cur["health"] = int(cur["health"])
             changed = []
@@ -131,8 +158,9 @@ class _Changes(StatefulProcessor):
                 prev["alive"] = bool(prev["alive"])
             if changed:
                 reason = ("spectating" if cur["spectating"] else "health 0") if death else None
-                out.append((key[0], row["t"], row["n"], changed, death, reason))
-        self.last.update(tuple(prev[n] for n in names))
+                out.append((session, t, n, changed, death, reason))
+        if at is not None:
+            self.last.updateValue((at,), tuple(prev[c] for c in names))
         yield pd.DataFrame(out, columns=["session", "t", "n", "changed", "death", "reason"])
 
     def close(self) -> None:
@@ -142,5 +170,5 @@ class _Changes(StatefulProcessor):
 def change_stream(updates: DataFrame) -> DataFrame:
     """Change and death events of a stream of good updates, in order of arrival."""
     flat = updates.select("session", "t", "n", *[F.col(f"state.{f}").alias(f) for f in _FIELDS])
-    return flat.groupBy("session").transformWithStateInPandas(
+    return flat.withColumn("group", group_of()).groupBy("group").transformWithStateInPandas(
         statefulProcessor=_Changes(), outputStructType=EVENT_SCHEMA, outputMode="Append", timeMode="None")
