@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from catalog import stored
+from catalog.queries import _thousandths
 from replaylens.functions.pixels import crop_images
 from replaylens.plans.training import open_recordings
 from replaylens.sources import manifests
@@ -54,3 +55,12 @@ def test_sessions_share_groups(spark):
     """State is called for a fixed number of groups, however many sessions there are."""
     groups = spark.range(50_000).select(state_stream.group_of(F.col("id").cast("string")).alias("g"))
     assert groups.distinct().count() <= state_stream.GROUPS
+
+
+def test_feature_cells_round_ties_up(spark):
+    """All sums a cell can have, as the single-precision feature they give; 153 is 12.5 thousandths."""
+    sums = np.arange(12241)
+    features = (sums / 48 / 255).astype(np.float32)
+    rows = spark.createDataFrame([(int(s), float(x)) for s, x in zip(sums, features)], "s INT, x DOUBLE").select("s", F.col("x").cast("float"))
+    got = {r["s"]: r["cell"] for r in rows.select("s", _thousandths(F.col("x")).alias("cell")).collect()}
+    assert got == {int(s): int((2000 * s + 12240) // 24480) for s in sums} and got[153] == 13
