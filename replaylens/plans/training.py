@@ -31,7 +31,7 @@ from ..sources.serving import mask_slices, serve_by_chunk, serve_in_order
 
 @dataclass
 class Dataset:
-    """Lazy tables of a recordings folder; nothing is read until an action."""
+    """Tables of a recordings folder; no chunk file is read until an action."""
     sessions: DataFrame
     split: DataFrame
     headers: DataFrame
@@ -125,8 +125,8 @@ class Dataset:
 
 def open_recordings(spark: SparkSession, root: str, holdout_fraction: float = HOLDOUT_FRACTION,
                     manual: list[str] | None = None) -> Dataset:
-    """Discover, judge and split the sessions under ``root``."""
-    sessions = usable_sessions(scan_sessions(spark, root))
+    """Discover, judge and split the sessions under ``root``. The folder is listed here, once, and the list kept as a table."""
+    sessions = written(usable_sessions(scan_sessions(spark, root)), "sessions")
     headers = read_headers(listed_chunks(sessions))
     return Dataset(sessions, split_sessions(sessions, holdout_fraction, manual), headers, session_metadata(headers))
 

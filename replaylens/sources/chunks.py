@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,6 +37,7 @@ SCALAR_ARRAYS = [a for a in ARRAY_TYPES if a not in ("frames", "radar")]
 _ARROW = {"DOUBLE": pa.float64(), "TINYINT": pa.int8(), "INT": pa.int32(), "SMALLINT": pa.int16(),
           "STRING": pa.string(), "BINARY": pa.binary(), "ARRAY<TINYINT>": pa.list_(pa.int8())}
 ROWS_PER_BATCH = 256
+BYTES_AT_ONCE = 2 << 20
 
 
 def _open(uri: str) -> zipfile.ZipFile:
@@ -50,9 +52,55 @@ def _open(uri: str) -> zipfile.ZipFile:
     return zipfile.ZipFile(fs.open_input_file(path))
 
 
+class _Inflated:
+    """The bytes of a deflated member in order, inflated into the size asked for; its checksum is tested behind the last."""
+
+    def __init__(self, archive: zipfile.ZipFile, info: zipfile.ZipInfo):
+        self._file, self._info, self._at = archive.fp, info, _first_byte(archive, info)
+        self._packed, self._left, self._crc, self._tail = info.compress_size, info.file_size, 0, b""
+        self._inflate = zlib.decompressobj(-15)
+
+    def read(self, size: int) -> bytes:
+        parts, size = [], min(size, self._left)
+        while size > 0:
+            if not self._tail and self._packed:
+                self._file.seek(self._at)
+                self._tail = self._file.read(min(self._packed, 1 << 16))
+                self._at, self._packed = self._at + len(self._tail), self._packed - len(self._tail)
+            before = len(self._tail)
+            part = self._inflate.decompress(self._tail, size)
+            self._tail = self._inflate.unconsumed_tail
+            if not part and len(self._tail) == before:
+                break  # the file ends early
+            self._crc, size, self._left = zlib.crc32(part, self._crc), size - len(part), self._left - len(part)
+            parts.append(part)
+            if not self._left and self._crc != self._info.CRC:
+                raise zipfile.BadZipFile(f"Bad CRC-32 for file {self._info.filename!r}")
+        return parts[0] if len(parts) == 1 else b"".join(parts)
+
+
+def _first_byte(archive: zipfile.ZipFile, info: zipfile.ZipInfo) -> int:
+    """Where a member's data begin, behind its local header."""
+    archive.fp.seek(info.header_offset)
+    local = archive.fp.read(30)
+    return info.header_offset + 30 + int.from_bytes(local[26:28], "little") + int.from_bytes(local[28:30], "little")
+
+
+def _opened(archive: zipfile.ZipFile, name: str):
+    """A member to be read in order. Members are many and short, so the usual kind goes without zipfile's layers."""
+    info = archive.getinfo(f"{name}.npy")
+    if info.compress_type == zipfile.ZIP_DEFLATED and not info.flag_bits & 1:
+        return _Inflated(archive, info)
+    return archive.open(info)
+
+
 def _member(archive: zipfile.ZipFile, name: str) -> np.ndarray:
-    with archive.open(f"{name}.npy") as f:
-        return np.lib.format.read_array(f, allow_pickle=False)
+    f = _opened(archive, name)
+    shape, by_column, dtype = _header(f)
+    if dtype.hasobject:
+        raise ValueError(f"array {name} holds Python objects")
+    n = int(np.prod(shape, dtype=np.int64))
+    return np.frombuffer(f.read(n * dtype.itemsize), dtype, n).reshape(shape, order="F" if by_column else "C")
 
 
 @lru_cache(maxsize=4096)
@@ -78,14 +126,14 @@ class StreamedArray:
     """
 
     def __init__(self, archive: zipfile.ZipFile, name: str):
-        self._file, self.name, self.at = archive.open(f"{name}.npy"), name, 0
+        self._file, self.name, self.at = _opened(archive, name), name, 0
         self.shape, by_column, self.dtype = _header(self._file)
         if self.dtype.hasobject:
             raise ValueError(f"array {name} holds Python objects")
         self._row = self.dtype.itemsize * int(np.prod(self.shape[1:], dtype=np.int64))
         self._whole = None
         if by_column and len(self.shape) > 1:
-            data = np.frombuffer(self._file.read(), dtype=self.dtype)
+            data = np.frombuffer(self._file.read(self._row * self.shape[0]), dtype=self.dtype)
             self._whole = np.ascontiguousarray(data.reshape(self.shape, order="F"))
 
     def read(self, rows: int) -> np.ndarray:
@@ -111,8 +159,7 @@ class StreamedArray:
 
 def _length(archive: zipfile.ZipFile, name: str) -> int | None:
     """Rows of an array, from its header only."""
-    with archive.open(f"{name}.npy") as f:
-        shape = _header(f)[0]
+    shape = _header(_opened(archive, name))[0]
     return shape[0] if shape else None
 
 
@@ -264,6 +311,19 @@ def as_column(name: str, data: np.ndarray | None, rows: int) -> pa.Array:
     return pa.array(data).cast(kind)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int = BYTES_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes where they came in smaller ones: each batch costs Spark a fixed share."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= size:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def known_arrays(arrays: list[str] | None) -> list[str]:
     wanted = list(arrays if arrays is not None else SCALAR_ARRAYS)
     unknown = [a for a in wanted if a not in ARRAY_TYPES]
@@ -312,5 +372,5 @@ def read_frames(placed: DataFrame, arrays: list[str] | None = None, tasks: int |
     masks = ["dropped"] if "dropped" in placed.columns else []
     source = placed.select("session", "chunk_idx", "chunk_path", "lengths", "chunk_version", "frame_base",
                            *masks, *[c for c in keep if c not in masks])
-    frames = spread(source, tasks).mapInArrow(run, schema)
+    frames = spread(source, tasks).mapInArrow(lambda batches: gathered(run(batches)), schema)
     return frames.withColumnRenamed("timestamps", "t") if "timestamps" in wanted else frames

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import CHUNK_FRAMES
 from ..functions.pixels import as_binary, resolve_input
-from .chunks import ARRAY_TYPES, ROWS_PER_BATCH, as_column, decode, known_arrays, spread
+from .chunks import ARRAY_TYPES, ROWS_PER_BATCH, as_column, decode, gathered, known_arrays, spread
 
 ASKED_AT_ONCE = 4096  # requests of a chunk that one task answers in one pass over it
 
@@ -131,7 +131,7 @@ def serve_by_chunk(request: DataFrame, placed: DataFrame, image="full", arrays:
                     done = end
                 if done != len(places):
                     raise AssertionError(f"{row['chunk_path']}: {done} of {len(places)} requests were served")
-    return spread(listed, tasks).mapInArrow(run, schema)
+    return spread(listed, tasks).mapInArrow(lambda batches: gathered(run(batches)), schema)
 
 
 def _served(positions, sessions, frame_idx, images, data: dict, others: list[str]) -> pa.RecordBatch:
