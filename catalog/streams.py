@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,15 +95,16 @@ def _crashing(write: Callable, batch_id: int) -> Callable:
     return once
 
 
-def _rows(spark: SparkSession, d: str) -> DataFrame:
+def _rows(spark: SparkSession, d: str, *kinds: str) -> DataFrame:
+    """Rows of the given kinds; the JSON of state updates is parsed only where they are among them."""
     def pad(df, kind):
         have = df.columns
         return df.select("session", "t", F.lit(kind).alias("kind"), F.col("n").cast("long").alias("n"),
                          (F.col("value") if "value" in have else F.lit(None)).cast("string").alias("value"),
                          *[(F.col(c) if c in have else F.lit(0)).cast("int").alias(c) for c in ("dx", "dy")])
-    states = v.states(spark, d).withColumn("value", F.to_json("state"))
-    return (pad(v.plain_frames(spark, d), "frame").unionByName(pad(states, "state"))
-            .unionByName(pad(v.mouse_events(spark, d), "mouse")))
+    sources = {"frame": lambda: v.plain_frames(spark, d), "mouse": lambda: v.mouse_events(spark, d),
+               "state": lambda: v.states(spark, d).withColumn("value", F.to_json("state"))}
+    return reduce(DataFrame.unionByName, [pad(sources[kind](), kind) for kind in kinds or sources])
 
 
 def _typed(spark: SparkSession, d: str, lines: DataFrame) -> DataFrame:
@@ -128,7 +130,7 @@ def _days(spark: SparkSession, d: str, share: float) -> tuple[str, float]:
 
 @query("select session, n, substr(changed, 2) as changed, died as death from ch where changed <> ''", _LAST)
 def stream_changes(spark, d):
-    stream, folder = _replay(spark, _steps(spark, d, _rows(spark, d).where("kind = 'state'")), end=False)
+    stream, folder = _replay(spark, _steps(spark, d, _rows(spark, d, "state")), end=False)
     updates = _typed(spark, d, stream).select("session", "t", "n", "state")
     return _run(change_stream(updates), folder).select("session", "n", F.array_join("changed", ",").alias("changed"), "death")
 
@@ -197,7 +199,7 @@ def stream_bad_lines(spark, d):
   arg_max(spectating, t) as spectating from st group by 1""", v.STATES)
 def stream_latest_slot(spark, d):
     """The slot of each session read from the stream's state, after a stop and a restart in the middle."""
-    steps = _steps(spark, d, _rows(spark, d).where("kind = 'state'"))
+    steps = _steps(spark, d, _rows(spark, d, "state"))
     stream, folder = _replay(spark, steps.where(f"step < {STEPS // 2}"), end=False)
     updates = _typed(spark, d, stream).select("session", "t", "n", "state")
 
@@ -239,7 +241,7 @@ def stream_chunks(spark, d):
   round(count(gap) / sum(gap), 9) as fps from x""", v.PLAIN + "," + _INDEXED)
 def stream_metrics(spark, d):
     """Frames, long gaps and rate of a stream, from the table that a listener stored batch by batch."""
-    stream, folder = _replay(spark, _steps(spark, d, _rows(spark, d).where("kind = 'frame'"), _MIXED))
+    stream, folder = _replay(spark, _steps(spark, d, _rows(spark, d, "frame"), _MIXED))
     delay, seconds = _days(spark, d, 2.1 / STEPS)
     out = record_stream(_recording(spark, d, stream), delay, require_contact=False, slice_seconds=seconds / 20)
     listener = metrics.StoredMetrics(spark, f"{folder}/metrics")
