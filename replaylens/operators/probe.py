@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -16,6 +18,14 @@ from pyspark.sql import functions as F
 from ..fixed_values import FEATURE_STD_FLOOR, PROBE_L2
 from .validate import checked_features
 
+#: Fits side by side hold at most this many feature values together (each keeps its own copy of the rows); one fit may hold more.
+VALUES_AT_ONCE = 1 << 27
+
+
+def fits_at_once(rows: int, width: int, limit: int) -> int:
+    """How many fits run side by side: all of them on few rows, one where a fit alone fills the cluster."""
+    return max(1, min(limit, VALUES_AT_ONCE // max(1, rows * width)))
+
 
 def feature_scale(train: DataFrame, features: str = "features", floor: float = FEATURE_STD_FLOOR) -> DataFrame:
     """One row: mean and floored population deviation of each feature, and n.
@@ -46,7 +56,7 @@ def fit_keys(train: DataFrame, keys: list[str], l2: float = PROBE_L2, max_iter:
     and leaves the intercept free. A key with a single class has no model: its
     constant is the prediction.
     """
-    stats = train.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"k_{k}").alias(k) for k in keys]).first()
+    stats = train.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size(vector_to_array("x"))), F.lit(0)).alias("_width"), *[F.avg(f"k_{k}").alias(k) for k in keys]).first()
     def fit(k: str):
         if stats[k] in (0.0, 1.0):
             return float(stats[k]), (k, 0.0, 0.0, True)
@@ -61,8 +71,8 @@ def fit_keys(train: DataFrame, keys: list[str], l2: float = PROBE_L2, max_iter:
 
     if stats["n"] == 0:
         raise ValueError("no training rows")
-    # Each iteration is a short job: independent fits side by side keep the cluster busy.
-    with ThreadPool(min(len(keys), parallelism)) as pool:
+    # On few rows an iteration is a short job, and fits side by side keep the cluster busy.
+    with ThreadPool(fits_at_once(stats["n"], stats["_width"], min(len(keys), parallelism))) as pool:
         done = pool.map(inheritable_thread_target(train.sparkSession)(fit), keys)
     models = {k: model for k, (model, _) in zip(keys, done)}
     table = train.sparkSession.createDataFrame(
@@ -79,21 +89,35 @@ def key_weights(spark: SparkSession, models: dict) -> DataFrame:
 def objective_gradient(train: DataFrame, weights: DataFrame, l2: float = PROBE_L2) -> DataFrame:
     """(key, at, gradient): the slope of the penalised loss in each weight, the intercept at -1; all 0 at the optimum.
 
-    ``train`` has the scaled vector ``x`` and ``k_<key>`` columns. Summed as (p - y) * x over
-    rows, in trees of partial results, so that a key's width is all that moves.
+    ``train`` has the scaled vector ``x`` and ``k_<key>`` columns. One pass for all keys: each task sums
+    (p - y) * x over its batches, so that keys times width is all that moves.
     """
-    parts = []
-    for row in weights.collect():  # a row per key
-        z = F.aggregate(F.zip_with("_x", F.lit(row["weights"]), lambda a, b: a * b), F.lit(row["intercept"]), lambda s, v: s + v)
-        miss = 1 / (1 + F.exp(-z)) - F.col(f"k_{row['key']}").cast("double")
-        shares = train.select(vector_to_array("x").alias("_x"), f"k_{row['key']}").select(
-            miss.alias("_m"), array_to_vector(F.transform("_x", lambda v: v * miss)).alias("_g"))
-        found = shares.agg(Summarizer.metrics("mean").summary(F.col("_g")).alias("s"), F.avg("_m").alias("m"),
-                           F.count(F.lit(1)).alias("n"))
-        slopes = F.zip_with(vector_to_array("s.mean"), F.lit(row["weights"]), lambda g, w: g + F.lit(l2) * w / F.col("n"))
-        parts.append(found.select(F.lit(row["key"]).alias("key"), F.posexplode(slopes).alias("at", "gradient")).unionByName(
-            found.select(F.lit(row["key"]).alias("key"), F.lit(-1).alias("at"), F.col("m").alias("gradient"))))
-    return reduce(DataFrame.unionByName, parts)
+    rows = weights.collect()  # a row per key
+    if not rows:
+        return train.sparkSession.createDataFrame([], "key STRING, at INT, gradient DOUBLE")
+    keys = [r["key"] for r in rows]
+    w, b = np.array([r["weights"] for r in rows]), np.array([r["intercept"] for r in rows])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((len(keys), w.shape[1] + 1)), 0
+        for batch in batches:
+            x = batch.column("_x").flatten().to_numpy().reshape(batch.num_rows, -1)
+            y = np.stack([batch.column(f"k_{k}").to_numpy() for k in keys])
+            miss = 1 / (1 + np.exp(-(w @ x.T + b[:, None]))) - y
+            total[:, 1:] += miss @ x
+            total[:, 0] += miss.sum(axis=1)
+            n += batch.num_rows
+        at = np.arange(-1, w.shape[1])
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.repeat(keys, len(at)).tolist()), pa.array(np.tile(at, len(keys)), pa.int32()),
+            pa.array(total.ravel()), pa.array(np.full(total.size, n), pa.int64())], names=["key", "at", "s", "n"])
+    narrow = train.select(vector_to_array("x").alias("_x"), *[F.col(f"k_{k}").cast("double").alias(f"k_{k}") for k in keys])
+    found = narrow.mapInArrow(sums, "key STRING, at INT, s DOUBLE, n LONG").groupBy("key", "at").agg(
+        F.sum("s").alias("s"), F.sum("n").alias("n"))
+    pulled = train.sparkSession.createDataFrame(
+        [(k, j, float(v)) for k, row in zip(keys, w) for j, v in enumerate(row)], "key STRING, at INT, w DOUBLE")
+    return found.join(F.broadcast(pulled), ["key", "at"], "left").select(
+        "key", "at", ((F.col("s") + F.lit(l2) * F.coalesce("w", F.lit(0.0))) / F.col("n")).alias("gradient"))
 
 
 def predict_keys(df: DataFrame, models: dict, keys: list[str]) -> DataFrame:
