@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from replaylens.llm import ngram_join, packing, suffix_dedup, toxicity
-from replaylens.session import written
+from replaylens.session import tune, written
+
+#: Bytes of texts that Spark hands to a Python worker at a time. What workers make of a batch is several times its size.
+TEXT_BATCH = 2 << 20
+
+
+def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable:
+    """The stage with the session's settings and batches of TEXT_BATCH bytes, so that an executor's memory doesn't grow with its rows."""
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        tune(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BATCH))
+        return stage(spark, docs, sf_dir)
+    return run_stage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +59,12 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, tokens)
 
 
-STAGES = [
+STAGES = [(name, in_small_batches(stage)) for name, stage in (
     ("toxicity", drop_toxic),
     ("ngram_join", keep_one_of_alike),
     ("suffix_dedup", remove_repeated_passages),
     ("packing", pack_sequences),
-]
+)]
 
 ORACLE_SQL = None  # nearest examples and a linear program are beyond SQL; tests compare it with brute force
 

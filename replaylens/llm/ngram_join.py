@@ -50,6 +50,14 @@ def _class_of(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
+def _repeated(hashes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes that occur ``least`` times or more (at least twice), and how often. Sorts in place: most occur once, and get no copy."""
+    hashes.sort()
+    apart = max(2, int(np.ceil(least))) - 1
+    found = np.unique(hashes[:-apart][hashes[apart:] == hashes[:-apart]])
+    return found, np.searchsorted(hashes, found, side="right") - np.searchsorted(hashes, found)
+
+
 def needed(n: int, percent: int) -> int:
     """T: how many shingles of a set of n anything alike has too."""
     return -(-percent * n // 100)
@@ -70,9 +78,10 @@ def shingle_classes(docs: DataFrame, words: int, common: int) -> tuple[DataFrame
         known, held, size, n_docs = WordHashes(), [], 0, 0
 
         def frequent() -> pd.DataFrame:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= max(2, n_docs / common)
-            return pd.DataFrame({"kind": 1, "class": _signed(values[often]), "n": counts[often]})
+            values = np.concatenate(held)
+            held.clear()
+            values, counts = _repeated(values, n_docs / common)
+            return pd.DataFrame({"kind": 1, "class": _signed(values), "n": counts})
         for batch in batches:
             sets = [shingle_hashes(t, words, known) for t in batch["text"]]
             yield pd.DataFrame({"kind": 0, "doc_id": batch["doc_id"], "n": [len(s) for s in sets],
@@ -82,7 +91,7 @@ def shingle_classes(docs: DataFrame, words: int, common: int) -> tuple[DataFrame
             size += sum(map(len, sets))
             if size > COUNTED:
                 yield frequent()
-                held, size, n_docs = [], 0, 0
+                size, n_docs = 0, 0
         if held:
             yield frequent()
 

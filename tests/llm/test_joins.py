@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -379,3 +380,25 @@ def test_pipeline(spark, tmp_path, fixture_rows):
         assert stage(spark, docs, path).schema == docs.schema, name
 
 
+def test_pipeline_stages_get_texts_in_small_batches(spark, tmp_path):
+    rows = spark.range(0, 1500, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abcdefg "), 1000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pd.DataFrame({"n": [len(b)], "bytes": [int(b["text"].str.len().sum())]})
+
+    def seen(spark, docs, sf_dir):
+        return docs.mapInPandas(sizes, "n long, bytes long")
+    found = corpus_pipeline.in_small_batches(seen)(spark, rows, "").collect()
+    assert sum(r.n for r in found) == 1500
+    assert max(r.bytes for r in found) <= corpus_pipeline.TEXT_BATCH
+    assert all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)
+
+
+def test_repeated_hashes_are_counted_without_those_that_occur_once():
+    for n, least in ((0, 2), (1, 2), (5, 0.5), (1000, 2.5), (1000, 3), (1000, 7)):
+        values = np.random.default_rng(n).integers(0, max(1, n // 3), n).astype(np.uint64)
+        expected, counts = np.unique(values, return_counts=True)
+        often = counts >= max(2, least)
+        found, k = ngram_join._repeated(values, least)
+        assert found.tolist() == expected[often].tolist() and k.tolist() == counts[often].tolist()
