@@ -401,7 +401,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     mixed = placed.groupBy("shingle").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi")
     placed = written(placed.join(mixed.select("shingle"), "shingle"), "placed")
     more = decided(block_candidates(placed, percent), sets, percent)
-    known = connected_components(links.unionAll(more))
+    known = connected_components(known.unionAll(more))  # a row a class now, so its rounds are few and their joins short
     of_class = classes.join(known.withColumnRenamed("node", "class"), "class", "left").withColumn(
         "root", F.coalesce("component", "class"))
     least = of_class.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))

@@ -402,3 +402,18 @@ def test_repeated_hashes_are_counted_without_those_that_occur_once():
         often = counts >= max(2, least)
         found, k = ngram_join._repeated(values, least)
         assert found.tolist() == expected[often].tolist() and k.tolist() == counts[often].tolist()
+
+
+def test_second_components_start_from_the_first(spark, monkeypatch):
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join(words[:i] + [f"x{i}"] + words[i + 1:]) for i in range(0, 120, 3)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    edges = []
+
+    def counted(df):
+        edges.append(df.count())
+        return connected_components(df)
+    monkeypatch.setattr(ngram_join, "connected_components", counted)
+    found = ngram_join.jaccard_components(rows, 5, 80).collect()
+    assert {r.component_id for r in found} == {0} and len(edges) == 2
+    assert edges[1] <= len(texts) < edges[0]
